@@ -86,6 +86,11 @@ AUTHORITY_MAX = 1.35
 # -----------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -120,15 +125,18 @@ def norm_query(q: Column, suffixes: Sequence[str] = QUERY_SUFFIXES) -> Column:
     steps, so ordinary text costs a single step.
     """
     one = "|".join(re.escape(s) for s in suffixes)
-    base = strip(F.regexp_replace(strip(q), SENTENCE_END, ""))
     shortest = min(len(s) for s in suffixes)
-    steps = F.floor(F.length(F.regexp_extract(base, f"((?:{WS}|{one})+)$", 1)) / shortest)
-    peeled = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), steps),
-        base,
-        lambda s, _: strip(F.regexp_replace(s, f"(?:{one})$", "")),
-    )
-    return F.when(F.length(peeled) > 0, peeled).otherwise(strip(q))
+
+    def peel(base: Column) -> Column:
+        steps = F.floor(F.length(F.regexp_extract(base, f"((?:{WS}|{one})+)$", 1)) / shortest)
+        return F.aggregate(
+            F.sequence(F.lit(0).cast("bigint"), steps),
+            base,
+            lambda s, _: strip(F.regexp_replace(s, f"(?:{one})$", "")),
+        )
+
+    peeled = let(strip(F.regexp_replace(strip(q), SENTENCE_END, "")), peel)
+    return F.coalesce(F.nullif(peeled, F.lit("")), strip(q))
 
 
 def norm_nav(c: Column) -> Column:
@@ -165,8 +173,10 @@ def query_terms(q: Column, normalized: Column | None = None) -> Column:
     words = F.filter(F.split(text, f"{WS}+"), lambda w: F.length(w) > 0)
 
     def parts(w: Column) -> Column:
-        pieces = F.filter(F.split(w, "の"), lambda p: F.length(p) > 0)
-        return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(w))
+        return let(
+            F.filter(F.split(w, "の"), lambda p: F.length(p) > 0),
+            lambda pieces: F.when(F.size(pieces) > 0, pieces).otherwise(F.array(w)),
+        )
 
     flat = F.flatten(F.transform(words, parts))
     return F.array_distinct(F.filter(flat, lambda w: ~w.isin(*PARTICLES)))
@@ -178,29 +188,27 @@ def query_variants(
     limit: int = MAX_VARIANTS,
 ) -> Column:
     """The question, its joined terms and its alias replacements; ordered, distinct, at most ``limit``."""
-    base = norm_query(q)
-    terms = query_terms(q, base)
     amap = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    none = F.array().cast("array<string>")
 
-    def replace_at(t: Column, i: Column) -> Column:
-        options = F.coalesce(F.try_element_at(amap, t), F.array().cast("array<string>"))
-        return F.transform(
-            options,
-            lambda a: F.array_join(F.transform(terms, lambda u, j: F.when(j == i, a).otherwise(u)), " "),
-        )
+    def with_terms(base: Column, terms: Column) -> Column:
+        def replace_at(t: Column, i: Column) -> Column:
+            return F.transform(
+                F.coalesce(F.try_element_at(amap, t), none),
+                lambda a: F.array_join(F.transform(terms, lambda u, j: F.when(j == i, a).otherwise(u)), " "),
+            )
 
-    by_term = F.flatten(F.transform(terms, replace_at))
-    in_text = [
-        F.when(base.contains(k), F.array(*[F.replace(base, F.lit(k), F.lit(a)) for a in v])).otherwise(
-            F.array().cast("array<string>")
-        )
-        for k, v in aliases.items()
-    ]
-    joined = F.when(F.size(terms) >= 2, F.array(F.array_join(terms, " "))).otherwise(F.array().cast("array<string>"))
-    everything = F.concat(F.array(base), joined, by_term, *in_text)
-    clean = F.array_distinct(F.filter(F.transform(everything, squeeze), lambda v: F.length(v) > 0))
-    picked = F.slice(clean, 1, limit)
-    return F.when(F.size(picked) > 0, picked).otherwise(F.array(strip(q)))
+        in_text = [
+            F.when(base.contains(k), F.array(*[F.replace(base, F.lit(k), F.lit(a)) for a in v])).otherwise(none)
+            for k, v in aliases.items()
+        ]
+        joined = F.when(F.size(terms) >= 2, F.array(F.array_join(terms, " "))).otherwise(none)
+        everything = F.concat(F.array(base), joined, F.flatten(F.transform(terms, replace_at)), *in_text)
+        clean = F.filter(F.transform(everything, squeeze), lambda v: F.length(v) > 0)
+        return F.slice(F.array_distinct(clean), 1, limit)
+
+    picked = let(norm_query(q), lambda base: let(query_terms(q, base), lambda terms: with_terms(base, terms)))
+    return let(picked, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip(q))))
 
 
 def ngrams(q: Column, n: int) -> Column:
@@ -212,8 +220,7 @@ def ngrams(q: Column, n: int) -> Column:
 
 def ngram_coverage(q: Column, text: Column, n: int = 2) -> Column:
     """Share of the distinct n-grams of ``q`` that occur in ``text``."""
-    grams = ngrams(q, n)
-    share = F.size(F.filter(grams, lambda g: F.contains(text, g))) / F.size(grams)
+    share = let(ngrams(q, n), lambda grams: F.size(F.filter(grams, lambda g: F.contains(text, g))) / F.size(grams))
     return (
         F.when((F.length(q) == 0) | (F.length(text) == 0), F.lit(0.0))
         .when(F.length(q) < n, F.contains(text, q).cast("double"))
@@ -262,44 +269,42 @@ def excerpt(raw: Column, terms: Column, max_chars: int = EXCERPT_CHARS) -> Colum
 
     At the same position the longest term decides the centre.
     """
-    text = squeeze(F.coalesce(raw, F.lit("")))
-    hits = F.filter(
-        F.transform(
-            F.filter(terms, lambda t: F.length(t) > 0),
-            lambda t: F.struct(F.instr(text, t).alias("p"),
-                               (-F.length(t)).alias("l")),
-        ),
-        lambda h: h["p"] > 0,
-    )
-    first = F.array_min(hits)
-    center = first["p"] - 1 + F.floor(-first["l"] / 2)
-    wanted = F.greatest(F.lit(0), F.coalesce(center - max_chars // 2, F.lit(0)))
-    start = F.greatest(F.lit(0), F.least(wanted, F.length(text) - max_chars))
-    cut = F.concat(
-        F.when(start > 0, "…").otherwise(""),
-        F.substring(text, (start + 1).cast("int"), F.lit(max_chars)),
-        F.when(start + max_chars < F.length(text), "…").otherwise(""),
-    )
-    return F.when(F.length(text) <= max_chars, text).otherwise(cut)
+
+    def wanted(text: Column) -> Column:
+        hits = F.filter(
+            F.transform(
+                F.filter(terms, lambda t: F.length(t) > 0),
+                lambda t: F.struct(F.instr(text, t).alias("p"), (-F.length(t)).alias("l")),
+            ),
+            lambda h: h["p"] > 0,
+        )
+        return let(F.array_min(hits), lambda h: h["p"] - 1 + F.floor(-h["l"] / 2) - max_chars // 2)
+
+    return let(squeeze(F.coalesce(raw, F.lit(""))), lambda text: _window(text, wanted(text), max_chars))
+
+
+def _window(text: Column, wanted: Column, size: int) -> Column:
+    """The text, or ``size`` characters of it from ``wanted`` on, marked with ellipses where it was cut."""
+
+    def cut(start: Column) -> Column:
+        return F.concat(
+            F.when(start > 0, "…").otherwise(""),
+            F.substring(text, (start + 1).cast("int"), F.lit(size)),
+            F.when(start + size < F.length(text), "…").otherwise(""),
+        )
+
+    start = F.greatest(F.lit(0), F.least(F.coalesce(wanted, F.lit(0)), F.length(text) - size))
+    return F.when(F.length(text) <= size, text).otherwise(let(start, cut))
 
 
 def structured_excerpt(raw: Column, terms: Column, max_chars: int = STRUCTURED_CHARS) -> Column:
     """The whole page text, or a window that starts a fifth before the earliest term hit."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    first = F.array_min(
-        F.filter(
-            F.transform(F.filter(terms, lambda t: F.length(t) > 0), lambda t: F.instr(text, t)),
-            lambda p: p > 0,
-        )
-    )
-    wanted = F.greatest(F.lit(0), F.coalesce(first - 1 - max_chars // 5, F.lit(0)))
-    start = F.greatest(F.lit(0), F.least(wanted, F.length(text) - max_chars))
-    cut = F.concat(
-        F.when(start > 0, "…").otherwise(""),
-        F.substring(text, (start + 1).cast("int"), F.lit(max_chars)),
-        F.when(start + max_chars < F.length(text), "…").otherwise(""),
-    )
-    return F.when(F.length(text) <= max_chars, text).otherwise(cut)
+
+    def wanted(text: Column) -> Column:
+        found = F.transform(F.filter(terms, lambda t: F.length(t) > 0), lambda t: F.instr(text, t))
+        return F.array_min(F.filter(found, lambda p: p > 0)) - 1 - max_chars // 5
+
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda text: _window(text, wanted(text), max_chars))
 
 
 def authority(weight: Column) -> Column:

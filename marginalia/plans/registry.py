@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +13,7 @@ Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = (
-    "corpus_cases", "text_cases", "search_cases", "pagemap_cases", "navigation_cases",
-    "context_cases", "correction_cases", "crawl_cases", "chat_cases",
-)
+MODULES = tuple(sorted(p.stem for p in Path(__file__).parent.glob("*_cases.py")))
 
 
 def case(name: str, oracle: str | None = None) -> Callable[[Job], Job]:

@@ -98,7 +98,8 @@ def variants(normalized: str, terms: str, aliases: Mapping[str, Sequence[str]],
         f"WHEN t = '{k}' THEN [" + ", ".join(
             f"array_to_string(list_transform({terms}, lambda u, j: CASE WHEN j = i THEN '{a}' ELSE u END), ' ')" for a in v) + "]"
         for k, v in aliases.items())
-    parts.append(f"flatten(list_transform({terms}, lambda t, i: CASE {branches} ELSE CAST([] AS VARCHAR[]) END))")
+    if branches:
+        parts.append(f"flatten(list_transform({terms}, lambda t, i: CASE {branches} ELSE CAST([] AS VARCHAR[]) END))")
     for k, v in aliases.items():
         parts.append(f"CASE WHEN contains({normalized}, '{k}') THEN [" + ", ".join(f"replace({normalized}, '{k}', '{a}')" for a in v)
                      + "] ELSE CAST([] AS VARCHAR[]) END")
