@@ -6,16 +6,20 @@ Ties are broken by the chunk key, upwards.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
+from marginalia.session import scratch_dir
 
 # --- Fixed values: fusion and table-search weights ---
 RRF_K = 60.0
@@ -39,64 +43,64 @@ def explode_variants(questions: DataFrame, aliases=T.DOMAIN_ALIASES, limit: int
 
 # ---- TF-IDF over character n-grams ---------------------------------------------
 
-def gram_counts(docs: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
+def gram_counts(
+    docs: DataFrame, keys: Sequence[str], text: str, sizes: Sequence[int] = (2, 3, 4), placed: bool = False
+) -> DataFrame:
     """Term frequency of every character n-gram per document.
 
     The texts are shuffled by document key, not the grams: counting per document then
-    needs no further exchange, and document keys are never skewed.
+    needs no further exchange, and document keys are never skewed. ``placed`` says that the
+    rows are already spread by key.
     """
     flat = F.regexp_replace(F.lower(text), f"{T.WS}{{2,}}", " ")
-    chars = spread(docs.select(*keys, flat.alias("_t")), *keys).select(*keys, F.split("_t", "").alias("_cs"))
-    at = lambda i: F.get("_cs", F.col("_i") + i)
-    grams = F.array(*[F.concat(*[at(j) for j in range(n)]) for n in sizes])
+
+    def grams(cs: Column) -> Column:
+        def of_size(n: int) -> Column:
+            each = F.transform(
+                F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + j) for j in range(n)])
+            )
+            return F.when(F.size(cs) >= n, each).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[of_size(n) for n in sizes]))
+
+    texts = docs.select(*keys, flat.alias("_t"))
     return (
-        chars.select(*keys, "_cs", F.posexplode("_cs").alias("_i", "_c"))
-        .select(*keys, F.explode(grams).alias("gram"))
-        .where(F.col("gram").isNotNull())
+        (texts if placed else spread(texts, *keys))
+        .select(*keys, F.explode(T.let(F.split("_t", ""), grams)).alias("gram"))
         .groupBy(*keys, "gram")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def tfidf_fit(tf: DataFrame, docs: DataFrame) -> DataFrame:
-    """Document frequency and smoothed inverse document frequency per gram."""
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    return tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
-    )
+def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """The n-gram index as a written table, one row per document: its grams and their counts.
 
+    Document frequencies, norms and scores read it, so it is built once.
+    """
+    sizes = tuple(sizes)
 
-def _norms(tf: DataFrame, idf: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    weight = F.col("tf") * F.col("idf")
-    return tf.join(idf, "gram").groupBy(*keys).agg(F.sqrt(F.sum(weight * weight)).alias(name))
+    @F.pandas_udf("struct<grams: array<string>, tfs: array<int>>")
+    def count(texts: pd.Series) -> pd.DataFrame:
+        found = [Counter(t[i:i + n] for n in sizes for i in range(len(t) - n + 1)) for t in texts]
+        return pd.DataFrame({"grams": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
 
+    path = scratch_dir(docs.sparkSession, "postings")
+    flat = F.regexp_replace(F.lower("text"), f"{T.WS}{{2,}}", " ")
+    spread(docs.select(*keys, flat.alias("_t")), *keys).select(*keys, count("_t").alias("_g")).select(
+        *keys, "_g.grams", "_g.tfs").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
-def tfidf_scores(
-    docs: DataFrame, queries: DataFrame, keys: Sequence[str] = KEY, ask: Sequence[str] = ASK, digits: int = 6
-) -> DataFrame:
-    """Cosine of every (query, document) pair that shares a gram, through an inverted-index join.
 
-    Query grams unknown to the documents are dropped before the query norm. The join is on
-    the gram; frequent grams are split by the adaptive skew join when it is not broadcast.
-    """
-    tf = gram_counts(docs, keys, "text")
-    idf = tfidf_fit(tf, docs).select("gram", "idf")
-    qtf = gram_counts(queries, ask, "query").join(idf, "gram")
-    qw = F.col("tf") * F.col("idf")
-    qnorm = qtf.groupBy(*ask).agg(F.sqrt(F.sum(qw * qw)).alias("_qn"))
-    # idf enters once for the query and once for the document weight
-    weights = qtf.join(qnorm, list(ask)).select(
-        *ask, "gram", (qw * F.col("idf") / F.col("_qn")).alias("_w")
-    )
-    dots = (
-        tf.join(weights, "gram")
-        .groupBy(*keys, *ask)
-        .agg(F.sum(F.col("tf") * F.col("_w")).alias("_dot"))
+def _flat(index: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return index.select(*keys, F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("tfs").alias("tf"))))
+
+
+def tfidf_fit(index: DataFrame) -> DataFrame:
+    """Document frequency and smoothed inverse document frequency per gram of a ``postings`` table."""
+    n = index.agg(F.count(F.lit(1))).scalar()
+    return index.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn(
+        "idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
     )
-    norms = _norms(tf, idf, keys, "_dn")
-    return dots.join(norms, list(keys)).select(
-        *ask, *keys, F.round(F.col("_dot") / F.col("_dn"), digits).alias("score")
-    ).where("score > 0")
 
 
 def lexical_search(
@@ -105,12 +109,106 @@ def lexical_search(
     k: int = CANDIDATES,
     keys: Sequence[str] = KEY,
     ask: Sequence[str] = ASK,
+    index: DataFrame | None = None,
+    block_rows: int = 4_000,
+    query_rows: int = 500,
 ) -> DataFrame:
-    """Top ``k`` documents per query by TF-IDF cosine; a book filter applies before the cut."""
-    scored = tfidf_scores(docs, queries, keys, ask)
-    if "books" in queries.columns:
-        scored = scored.join(queries.select(*ask, "books"), list(ask)).where(allowed(F.col("books"), F.col("book"))).drop("books")
-    return top_k(scored, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
+    """Top ``k`` documents per query by TF-IDF cosine over character n-grams.
+
+    Query grams unknown to the documents are dropped before the query norm, and a ``books``
+    allow-list applies before the cut. Documents and queries are hashed into blocks of
+    bounded size; each block pair is one sparse product inside a task, and only the ``k``
+    best per query leave it. A gram that occurs everywhere therefore never becomes a hot
+    join key, and the table of all scored pairs is never built.
+    """
+    index = postings(docs, keys) if index is None else index
+    idf = tfidf_fit(index).select("gram", "idf")
+    weight = F.col("tf") * F.col("idf")
+    norms = _flat(index, keys).join(idf, "gram").groupBy(*keys).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    known = gram_counts(queries, ask, "query").join(idf, "gram")
+    # idf enters once for the query and once for the document side of the product
+    packed = known.groupBy(*ask).agg(
+        F.sqrt(F.sum(weight * weight)).alias("norm"),
+        F.collect_list(F.struct("gram", (weight * F.col("idf")).alias("w"))).alias("_g"),
+    )
+    books = queries.select(*ask, "books") if "books" in queries.columns else queries.select(
+        *ask, F.lit(None).cast("array<string>").alias("books"))
+    wanted = packed.join(books, list(ask)).select(
+        *ask, "books", "norm", F.col("_g.gram").alias("grams"), F.col("_g.w").alias("ws"))
+    near = _blocked(index.join(norms, list(keys)), wanted, keys, ask, k, block_rows, query_rows)
+    return top_k(near, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
+
+
+def _blocked(
+    docs: DataFrame, wanted: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int, block_rows: int, query_rows: int
+) -> DataFrame:
+    d_blocks = max(1, -(-docs.count() // block_rows), docs.sparkSession.sparkContext.defaultParallelism)
+    q_blocks = max(1, -(-wanted.count() // query_rows))
+    left = docs.select(
+        *keys, "norm", "grams", "tfs", F.pmod(F.xxhash64(*keys), F.lit(d_blocks)).cast("int").alias("_d"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
+    )
+    right = wanted.select(
+        *ask, "books", "norm", "grams", "ws", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("_d"),
+        F.pmod(F.xxhash64(*ask), F.lit(q_blocks)).cast("int").alias("_q"),
+    )
+    types = {**dict(docs.dtypes), **dict(wanted.dtypes)}
+    schema = ", ".join(f"{c} {types[c]}" for c in (*ask, *keys)) + ", score double"
+    ask, keys = list(ask), list(keys)
+
+    def best(block: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, cols, scores = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
+        if block.num_rows and asked.num_rows:
+            n = block.num_rows
+            order = np.empty(n, "int64")
+            order[pc.sort_indices(block, [(c, "ascending") for c in keys]).to_numpy()] = np.arange(n)
+            grams, owner = _unnest(block, "grams")
+            tfs = _unnest(block, "tfs")[0].to_numpy(zero_copy_only=False).astype("float64")
+            qgrams, qowner = _unnest(asked, "grams")
+            ws = _unnest(asked, "ws")[0].to_numpy(zero_copy_only=False) / asked.column("norm").to_numpy()[qowner]
+            vocabulary = pc.unique(qgrams)
+            codes = pc.fill_null(pc.index_in(grams, vocabulary), -1).to_numpy()
+            qcodes = pc.index_in(qgrams, vocabulary).to_numpy()
+            by_gram = np.argsort(codes, kind="stable")
+            by_gram = by_gram[codes[by_gram] >= 0]
+            owner, tfs = owner[by_gram], tfs[by_gram]
+            counts = np.bincount(codes[by_gram], minlength=len(vocabulary))
+            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            norm = block.column("norm").to_numpy()
+            books = np.array(block.column("book").to_pylist(), dtype=object) if "book" in block.column_names else None
+            bounds = np.searchsorted(qowner, np.arange(asked.num_rows + 1))
+            for q in range(asked.num_rows):
+                c, w = qcodes[bounds[q]:bounds[q + 1]], ws[bounds[q]:bounds[q + 1]]
+                size = counts[c]
+                shift = np.cumsum(size) - size
+                at = np.repeat(starts[c] - shift, size) + np.arange(size.sum())
+                dot = np.bincount(owner[at], weights=tfs[at] * np.repeat(w, size), minlength=n)
+                score = np.round(dot / norm, 6)
+                allow = asked.column("books")[q].as_py()
+                if allow:
+                    score[~np.isin(books, allow)] = 0.0
+                hit = np.nonzero(score > 0)[0]
+                if len(hit) > k:
+                    hit = hit[score[hit] >= -np.partition(-score[hit], k - 1)[k - 1]]
+                hit = hit[np.lexsort((order[hit], -score[hit]))][:k]
+                rows.append(np.full(len(hit), q))
+                cols.append(hit)
+                scores.append(score[hit])
+        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        return pa.table({
+            **{a: asked.column(a).take(i) for a in ask}, **{c: block.column(c).take(j) for c in keys},
+            "score": np.concatenate(scores),
+        })
+
+    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(best, schema)
+
+
+def _unnest(block: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list column and the row each of them belongs to."""
+    lists = block.column(name).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
 
 # ---- exact nearest neighbours ----------------------------------------------------
@@ -184,8 +282,8 @@ def surviving_ranks(ranked: DataFrame, docs: DataFrame, ask: Sequence[str], keys
 # ---- definitions -------------------------------------------------------------------
 
 def _prefixes(docs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Distinct substrings of 1 to ``width`` characters per document."""
-    chars = spread(docs.select(*keys, "text"), *keys).select(*keys, F.split("text", "").alias("_cs"))
+    """Distinct substrings of 1 to ``width`` characters per document; rows are spread by key."""
+    chars = docs.select(*keys, F.split("text", "").alias("_cs"))
     at = lambda i: F.get("_cs", F.col("_i") + i)
     return (
         chars.select(*keys, "_cs", F.posexplode("_cs").alias("_i", "_c"))
@@ -202,6 +300,7 @@ def contained_terms(docs: DataFrame, terms: DataFrame, term: str, keys: Sequence
     their own short substrings, and only those pairs are verified.
     """
     anchored = terms.select(F.col(term), F.substring(term, 1, width).alias("anchor")).distinct()
+    docs = spread(docs, *keys)
     pairs = _prefixes(docs, keys, width).join(anchored, "anchor").drop("anchor")
     return docs.join(pairs, list(keys)).where(F.contains(F.col("text"), F.col(term)))
 
@@ -347,7 +446,8 @@ def structured_search(
     """
     asked = questions.where(T.is_structured(F.col("question"), words)).select("query_id", "books", "question")
     rated = (
-        docs.join(weights.select("book", "authority"), "book", "left")
+        spread(docs.select(*KEY, "logical_page", "text"), *KEY)
+        .join(weights.select("book", "authority"), "book", "left")
         .withColumn("authority", F.coalesce("authority", F.lit(1.0)))
         .withColumn("_norm", T.norm_nav(F.col("text")))
         .where(F.length("_norm") > 0)
@@ -364,7 +464,7 @@ def structured_search(
         F.explode(F.when(F.length("_v") < 2, F.array("_v")).otherwise(T.ngrams(F.col("_v"), 2))).alias("gram"),
     )
     sizes = vgrams.groupBy("query_id", "variant_no").agg(F.count(F.lit(1)).alias("_n"))
-    dgrams = gram_counts(rated.select(*KEY, F.col("_norm").alias("text")), KEY, "text", (1, 2)).select(*KEY, "gram")
+    dgrams = gram_counts(rated.select(*KEY, F.col("_norm").alias("text")), KEY, "text", (1, 2), True).select(*KEY, "gram")
     shared = dgrams.join(vgrams, "gram").groupBy(*KEY, "query_id", "variant_no").agg(F.count(F.lit(1)).alias("_m"))
     close = shared.join(sizes, ["query_id", "variant_no"]).where(F.col("_m") >= F.col("_n") * min_coverage)
     linked = close.join(wanted, ["query_id", "variant_no"]).join(

@@ -89,8 +89,7 @@ def indexed(spark, sf):
     f"WITH tf AS ({grams_sql('searchable', _KEY, 'text')}) SELECT gram, count(*) AS df, "
     "round(ln((1.0 + (SELECT count(*) FROM searchable)) / (1.0 + count(*))) + 1, 6) AS idf FROM tf GROUP BY gram", "searchable"))
 def tfidf_fit(spark, sf):
-    docs = B.searchable(spark, sf)
-    return R.tfidf_fit(R.gram_counts(docs, R.KEY, "text"), docs).withColumn("idf", F.round("idf", 6))
+    return R.tfidf_fit(R.postings(B.searchable(spark, sf))).withColumn("idf", F.round("idf", 6))
 
 
 @case("lexical_search", sql(
@@ -113,13 +112,10 @@ def rank_positions(spark, sf):
 
 
 @case("topk_per_query", sql(
-    f"WITH {_SCORES} SELECT query_id, variant_no, book, max(score) AS best, count(*) AS n FROM (SELECT *, row_number() OVER "
-    f"(PARTITION BY query_id, variant_no, book ORDER BY score DESC, {_KEY}) AS rank FROM scored) WHERE rank <= 3 GROUP BY ALL", "searchable", "variants"))
+    f"WITH {_SCORES} SELECT * FROM (SELECT query_id, variant_no, {_KEY}, score, row_number() OVER "
+    f"(PARTITION BY query_id, variant_no ORDER BY score DESC, {_KEY}) AS rank FROM scored) WHERE rank <= 3", "searchable", "variants"))
 def topk_per_query(spark, sf):
-    from marginalia.operators.ranking import top_k
-    scored = R.tfidf_scores(B.searchable(spark, sf), variants(spark, sf))
-    kept = top_k(scored, [*R.ASK, "book"], [F.col("score").desc(), *[F.col(c) for c in R.KEY]], 3)
-    return kept.groupBy(*R.ASK, "book").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
+    return typed(R.lexical_search(B.searchable(spark, sf), variants(spark, sf), 3))
 
 
 @case("vector_search", f"WITH {_VEC} SELECT query_id, vec_id, distance, rank FROM near")
@@ -193,7 +189,7 @@ _STRUCT_QUERY = S.any_of(S.norm_query("question"), B.LATIN_TABLE_TERMS)
     f"pairs AS (SELECT query_id, variant_no, query, book, pdf_page, logical_page, chunk, authority, signal, contains(t, v) AS hit, {S.coverage('v', 't')} AS cov "
     "FROM wanted, rated), "
     f"scored AS (SELECT query_id, {_KEY}, logical_page, authority, signal + sum(CASE WHEN hit THEN (CASE WHEN variant_no = 1 THEN 120.0 ELSE 40.0 END) "
-    "WHEN cov >= 0.65 THEN cov * 18.0 ELSE 0.0 END) AS raw, min_by(query, variant_no) FILTER (hit) AS term FROM pairs GROUP BY ALL), "
+    "WHEN cov >= 0.65 THEN cov * 18.0 ELSE 0.0 END) AS raw, min_by(query, variant_no) FILTER (hit) AS term FROM pairs GROUP BY query_id, book, pdf_page, chunk, logical_page, authority, signal), "
     "pages_ AS (SELECT query_id, book, pdf_page, logical_page, authority, max(score) AS score, min_by(term, (-score, chunk)) AS term FROM "
     "(SELECT *, round(raw * authority, 6) AS score FROM scored WHERE raw >= 25) GROUP BY ALL), "
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, book ORDER BY score DESC, pdf_page) AS rn FROM pages_) "
