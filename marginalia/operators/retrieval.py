@@ -52,7 +52,7 @@ def gram_counts(
     needs no further exchange, and document keys are never skewed. ``placed`` says that the
     rows are already spread by key.
     """
-    flat = F.regexp_replace(F.lower(text), f"{T.WS}{{2,}}", " ")
+    flat = F.regexp_replace(F.lower("_t"), f"{T.WS}{{2,}}", " ")
 
     def grams(cs: Column) -> Column:
         def of_size(n: int) -> Column:
@@ -63,9 +63,10 @@ def gram_counts(
 
         return F.flatten(F.array(*[of_size(n) for n in sizes]))
 
-    texts = docs.select(*keys, flat.alias("_t"))
+    texts = docs.select(*keys, F.col(text).alias("_t"))
     return (
         (texts if placed else spread(texts, *keys))
+        .select(*keys, flat.alias("_t"))
         .select(*keys, F.explode(T.let(F.split("_t", ""), grams)).alias("gram"))
         .groupBy(*keys, "gram")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -86,7 +87,7 @@ def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] =
 
     path = scratch_dir(docs.sparkSession, "postings")
     flat = F.regexp_replace(F.lower("text"), f"{T.WS}{{2,}}", " ")
-    spread(docs.select(*keys, flat.alias("_t")), *keys).select(*keys, count("_t").alias("_g")).select(
+    spread(docs.select(*keys, "text"), *keys).select(*keys, count(flat).alias("_g")).select(
         *keys, "_g.grams", "_g.tfs").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
