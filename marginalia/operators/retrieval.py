@@ -73,11 +73,8 @@ def gram_counts(
     )
 
 
-def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """The n-gram index as a written table, one row per document: its grams and their counts.
-
-    Document frequencies, norms and scores read it, so it is built once.
-    """
+def packed_grams(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """One row per document with its distinct n-grams and their counts (``docs`` has a ``text``)."""
     sizes = tuple(sizes)
 
     @F.pandas_udf("struct<grams: array<string>, tfs: array<int>>")
@@ -85,10 +82,18 @@ def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] =
         found = [Counter(t[i:i + n] for n in sizes for i in range(len(t) - n + 1)) for t in texts]
         return pd.DataFrame({"grams": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
 
+    return docs.select(*keys, count("text").alias("_g")).select(*keys, "_g.grams", "_g.tfs")
+
+
+def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
+    """The n-gram index as a written table, one row per document: its grams and their counts.
+
+    Document frequencies, norms and scores read it, so it is built once.
+    """
     path = scratch_dir(docs.sparkSession, "postings")
     flat = F.regexp_replace(F.lower("text"), f"{T.WS}{{2,}}", " ")
-    spread(docs.select(*keys, "text"), *keys).select(*keys, count(flat).alias("_g")).select(
-        *keys, "_g.grams", "_g.tfs").write.parquet(path)
+    placed = spread(docs.select(*keys, "text"), *keys).withColumn("text", flat)
+    packed_grams(placed, keys, sizes).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -135,14 +140,19 @@ def lexical_search(
     books = queries.select(*ask, "books") if "books" in queries.columns else queries.select(
         *ask, F.lit(None).cast("array<string>").alias("books"))
     wanted = packed.join(books, list(ask)).select(
-        *ask, "books", "norm", F.col("_g.gram").alias("grams"), F.col("_g.w").alias("ws"))
+        *ask, "books", "norm", F.lit(0.0).alias("least"), F.col("_g.gram").alias("grams"), F.col("_g.w").alias("ws"))
     near = _blocked(index.join(norms, list(keys)), wanted, keys, ask, k, block_rows, query_rows)
     return top_k(near, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
 
 
 def _blocked(
-    docs: DataFrame, wanted: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int, block_rows: int, query_rows: int
+    docs: DataFrame, wanted: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int | None,
+    block_rows: int = 4_000, query_rows: int = 500,
 ) -> DataFrame:
+    """Sparse product of packed documents and packed queries, block by block.
+
+    Scores are positive and at least the query's ``least``; ``k`` cuts them per block and query.
+    """
     d_blocks = max(1, -(-docs.count() // block_rows), docs.sparkSession.sparkContext.defaultParallelism)
     q_blocks = max(1, -(-wanted.count() // query_rows))
     left = docs.select(
@@ -150,7 +160,7 @@ def _blocked(
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
     )
     right = wanted.select(
-        *ask, "books", "norm", "grams", "ws", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("_d"),
+        *ask, "books", "norm", "least", "grams", "ws", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("_d"),
         F.pmod(F.xxhash64(*ask), F.lit(q_blocks)).cast("int").alias("_q"),
     )
     types = {**dict(docs.dtypes), **dict(wanted.dtypes)}
@@ -188,10 +198,11 @@ def _blocked(
                 allow = asked.column("books")[q].as_py()
                 if allow:
                     score[~np.isin(books, allow)] = 0.0
-                hit = np.nonzero(score > 0)[0]
-                if len(hit) > k:
-                    hit = hit[score[hit] >= -np.partition(-score[hit], k - 1)[k - 1]]
-                hit = hit[np.lexsort((order[hit], -score[hit]))][:k]
+                hit = np.nonzero((score > 0) & (score >= asked.column("least")[q].as_py()))[0]
+                if k is not None:
+                    if len(hit) > k:
+                        hit = hit[score[hit] >= -np.partition(-score[hit], k - 1)[k - 1]]
+                    hit = hit[np.lexsort((order[hit], -score[hit]))][:k]
                 rows.append(np.full(len(hit), q))
                 cols.append(hit)
                 scores.append(score[hit])
@@ -464,10 +475,15 @@ def structured_search(
         "query_id", "variant_no",
         F.explode(F.when(F.length("_v") < 2, F.array("_v")).otherwise(T.ngrams(F.col("_v"), 2))).alias("gram"),
     )
-    sizes = vgrams.groupBy("query_id", "variant_no").agg(F.count(F.lit(1)).alias("_n"))
-    dgrams = gram_counts(rated.select(*KEY, F.col("_norm").alias("text")), KEY, "text", (1, 2), True).select(*KEY, "gram")
-    shared = dgrams.join(vgrams, "gram").groupBy(*KEY, "query_id", "variant_no").agg(F.count(F.lit(1)).alias("_m"))
-    close = shared.join(sizes, ["query_id", "variant_no"]).where(F.col("_m") >= F.col("_n") * min_coverage)
+    share = vgrams.groupBy("query_id", "variant_no").agg(
+        F.collect_list("gram").alias("grams"), F.count(F.lit(1)).alias("_n"))
+    asked_grams = share.select(
+        "query_id", "variant_no", F.lit(None).cast("array<string>").alias("books"), F.lit(1.0).alias("norm"),
+        (F.col("_n") * min_coverage).alias("least"), "grams", F.array_repeat(F.lit(1.0), F.col("_n").cast("int")).alias("ws"))
+    dgrams = packed_grams(rated.select(*KEY, F.col("_norm").alias("text")), KEY, (1, 2)).select(
+        *KEY, "grams", F.array_repeat(F.lit(1), F.size("grams")).alias("tfs"), F.lit(1.0).alias("norm"))
+    close = _blocked(dgrams, asked_grams, KEY, ASK, None).withColumnRenamed("score", "_m").join(
+        share.drop("grams"), ["query_id", "variant_no"])
     linked = close.join(wanted, ["query_id", "variant_no"]).join(
         rated.select(*KEY, "_norm"), list(KEY)
     ).withColumn("_hit", F.contains(F.col("_norm"), F.col("_v")))
