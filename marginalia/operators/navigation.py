@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.functions.match import char_tokens, sequence_ratio
 from marginalia.operators.corpus import allowed
-from marginalia.operators.ranking import keep_best, top_k
+from marginalia.operators.ranking import keep_best, spread, top_k
 from marginalia.operators.retrieval import ASK, contained_terms
 
 # --- Fixed values: heading words, scan ranges, match scores and caps ---
@@ -277,7 +277,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     met = rare(a, "q").join(rare(b, "e"), "_c").where(fits).select("q", "e").distinct()
     full = met.join(a, "q").join(b, "e")
     bound = F.lit(2.0) * F.size(F.array_intersect("_tq", "_te")) / (F.col("_lq") + F.col("_le"))
-    return full.where(bound >= threshold - 1e-9).select("q", "e", sequence_ratio(F.col("q"), F.col("e")).alias("ratio")).where(
+    close = spread(full.where(bound >= threshold - 1e-9).select("q", "e"), "q", "e")
+    return close.select("q", "e", sequence_ratio(F.col("q"), F.col("e")).alias("ratio")).where(
         F.col("ratio") >= threshold)
 
 

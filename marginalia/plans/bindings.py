@@ -78,8 +78,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def toc(spark: SparkSession, sf: str) -> DataFrame:
-    """First line of a page as a contents entry that points at the page."""
-    title = F.element_at(F.split("text", "\n"), 1)
+    """Opening phrase of a page as a contents entry that points at the page."""
+    title = F.regexp_extract("text", "^[^.,\n]*", 0)
     return pages(spark, sf).where(F.col("logical_page").isNotNull()).select(
         "book", T.strip(title).alias("title"), "pdf_page", "logical_page",
         (F.length(title) % 3 + 1).cast("bigint").alias("level"),
@@ -126,8 +126,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "questions": ((), "SELECT item_id AS query_id, text AS question FROM benchmark"),
     "toc": (
         ("bpages",),
-        "SELECT book, trim(split_part(text, chr(10), 1)) AS title, pdf_page, logical_page, "
-        "CAST(length(split_part(text, chr(10), 1)) % 3 + 1 AS BIGINT) AS level FROM bpages WHERE logical_page IS NOT NULL",
+        "SELECT book, trim(regexp_extract(text, '^[^.,\n]*', 0)) AS title, pdf_page, logical_page, "
+        "CAST(length(regexp_extract(text, '^[^.,\n]*', 0)) % 3 + 1 AS BIGINT) AS level FROM bpages WHERE logical_page IS NOT NULL",
     ),
     "index_terms": (
         ("bpages",),
