@@ -110,10 +110,10 @@ def split_notes(spark, sf):
     return typed(c.select("doc", "pdf_page", "line", F.nullif("_s.main", F.lit("")).alias("main"), "_s.note"))
 
 
-@case("y_band_rows", sql("SELECT doc, pdf_page, dense_rank() OVER (PARTITION BY doc, pdf_page ORDER BY line) - 1 AS band, text, x_min FROM items_", "items_"))
+@case("y_band_rows", sql("SELECT doc, pdf_page, dense_rank() OVER (PARTITION BY doc, pdf_page ORDER BY line) - 1 AS band, text, CAST(x_min AS DOUBLE) AS x_min FROM items_", "items_"))
 def y_band_rows(spark, sf):
     items = layout(spark, sf).where(F.length(F.trim("text")) > 0).withColumn("y_min", F.col("y_min") + F.col("x_min") / 500.0)
-    return K.y_bands(items).select("doc", "pdf_page", "band", "text", "x_min").withColumn("x_min", F.col("x_min"))
+    return K.y_bands(items).select("doc", "pdf_page", "band", "text", "x_min")
 
 
 @case("carry_forward_records", sql("SELECT doc, pdf_page, record, target_page, location, before, after FROM recs", "recs"))
