@@ -7,9 +7,10 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from marginalia.functions import text as T
-from marginalia.operators.ranking import positions, top_k
+from marginalia.operators.ranking import positions
 
 # --- Fixed values: layout ratios, tolerances and marker lists (order matters) ---
 COLUMN_CUTS = (125.0 / 595.32, 270.0 / 595.32, 415.0 / 595.32)
@@ -76,24 +77,34 @@ def starred(item_text: Column) -> Column:
     return F.replace(cell(item_text), F.lit(" "), F.lit("")).rlike("^[★☆]")
 
 
-def y_bands(items: DataFrame, tolerance: float = BAND_TOLERANCE) -> DataFrame:
-    """Adds ``band``: greedy rows by the running mean of y. A group is one page of one document.
-
-    The running mean depends on earlier choices, which no window frame expresses, so each
-    page is banded in a small Arrow batch.
-    """
-    def bands(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y_min", "x_min", "text"], kind="stable")
+@F.pandas_udf(ArrayType(LongType()))
+def _bands(pages: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Band number of every y of a page, given in order."""
+    def one(ys, limit):
         band, total, n, out = -1, 0.0, 0, []
-        for y in pdf["y_min"]:
-            if n and abs(y - total / n) <= tolerance:
+        for y in ys:
+            if n and abs(y - total / n) <= limit:
                 total, n = total + y, n + 1
             else:
                 band, total, n = band + 1, y, 1
             out.append(band)
-        return pdf.assign(band=out)
+        return out
+
+    return pd.Series([one(ys, limit) for ys, limit in zip(pages, tolerance)])
 
-    return items.groupBy("doc", "pdf_page").applyInPandas(bands, items.select("*", F.lit(0).cast("bigint").alias("band")).schema)
+
+def y_bands(items: DataFrame, tolerance: float = BAND_TOLERANCE) -> DataFrame:
+    """Adds ``band``: greedy rows by the running mean of y, top to bottom.
+
+    The running mean depends on earlier choices, which no window frame expresses. A page is
+    packed into one sorted array, so Arrow batches carry many pages at a time.
+    """
+    rest = [c for c in items.columns if c not in ("doc", "pdf_page", "y_min", "x_min", "text")]
+    pages = items.groupBy("doc", "pdf_page").agg(
+        F.array_sort(F.collect_list(F.struct("y_min", "x_min", "text", *rest))).alias("_i"))
+    banded = pages.withColumn("_b", _bands(F.col("_i.y_min"), F.lit(tolerance)))
+    return banded.select("doc", "pdf_page", F.inline(F.arrays_zip(F.col("_i").alias("item"), F.col("_b").alias("band")))).select(
+        "doc", "pdf_page", "item.*", "band")
 
 
 def banded_items(items: DataFrame) -> DataFrame:

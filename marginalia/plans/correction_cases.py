@@ -161,9 +161,9 @@ def errata_quality(spark, sf):
 
 @case("errata_records", sql(
     "SELECT doc, count(*) AS n, max(pdf_page) AS last_page, count(*) FILTER (target_page IS NULL) AS rescued FROM (SELECT doc, pdf_page, target_page FROM recs UNION ALL "
-    "SELECT doc, pdf_page, NULL FROM (SELECT i.doc, i.pdf_page, i.line, count(*) AS n, max(trim(text)) FILTER (rk = 2) AS b, max(trim(text)) FILTER (rk = 4) AS a, max(trim(text)) FILTER (rk = 3) AS x, bool_or(contains(text, '|')) AS bar FROM items_ i "
-    "WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc = i.doc AND c.pdf_page = i.pdf_page AND c.line <= i.line AND c.page IS NOT NULL) GROUP BY 1, 2, 3) WHERE n IN (3, 4) AND NOT bar "
-    "AND a IS NOT NULL AND coalesce(x, b) <> a) GROUP BY 1", "recs", "items_", "cells"))
+    "SELECT doc, pdf_page, NULL FROM (SELECT doc, pdf_page, list_transform(string_split(string_agg(trim(text), ' | ' ORDER BY rk), '|'), lambda p: trim(p)) AS p FROM items_ i "
+    "WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc = i.doc AND c.pdf_page = i.pdf_page AND c.line <= i.line AND c.page IS NOT NULL) GROUP BY doc, pdf_page, line) "
+    "WHERE len(p) IN (3, 4) AND NOT list_contains(p, '') AND p[-1] <> p[-2]) GROUP BY 1", "recs", "items_", "cells"))
 def errata_records(spark, sf):
     return typed(records(spark, sf)[0].groupBy("doc").agg(
         F.count(F.lit(1)).alias("n"), F.max("pdf_page").alias("last_page"), F.count_if(F.col("target_page").isNull()).alias("rescued")))
