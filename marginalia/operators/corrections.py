@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from marginalia.functions import text as T
 from marginalia.operators.ranking import positions
+from marginalia.session import written
 
 # --- Fixed values: layout ratios, tolerances and marker lists (order matters) ---
 COLUMN_CUTS = (125.0 / 595.32, 270.0 / 595.32, 415.0 / 595.32)
@@ -344,7 +345,7 @@ def errata_records(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Numbers run over a whole document, rescued rows last; numbering works in slices of pages.
     """
-    banded = banded_items(items)
+    banded = written(banded_items(items), "banded")  # read by records, tables and diagnostics
     base = carry_forward(banded).join(internal_table(banded), ["doc", "pdf_page", "record"], "left").withColumn(
         "internal_table_detected", F.coalesce("internal_table_detected", F.lit(False)))
     rated = quality(classify(base))
