@@ -160,7 +160,7 @@ def test_errata_classify_branches(spark):
 
 
 def test_y_bands(spark):
-    df = spark.createDataFrame([("d", 1, "t", float(i), y) for i, y in enumerate((10, 12, 13.9, 20))], "doc STRING, pdf_page INT, text STRING, x_min DOUBLE, y_min DOUBLE")
+    df = spark.createDataFrame([("d", 1, "t", float(i), y) for i, y in enumerate((10.0, 12.0, 13.9, 20.0))], "doc STRING, pdf_page INT, text STRING, x_min DOUBLE, y_min DOUBLE")
     assert [r.band for r in K.y_bands(df).orderBy("y_min").collect()] == [0, 0, 1, 2]
 
 
