@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.ranking import longest_runs, top_k
+from marginalia.session import written
 
 # --- Fixed values: thresholds of the confidence rules ---
 MIN_MATCHES = 10
@@ -122,9 +123,9 @@ def status_summary(rows: DataFrame, statuses=STATUSES) -> DataFrame:
 
 def page_map_job(pages: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(status per book, page map) for all books in one job."""
-    cands = candidates(pages)
-    evaluated = offset_evaluation(cands, overrides)
-    books = pages.select("book").distinct()
+    cands = written(candidates(pages), "page-numbers")  # the texts are read once
+    evaluated = written(offset_evaluation(cands, overrides), "offsets")
+    books = cands.select("book").distinct()
     decided = offset_confidence(books.join(best_offset(evaluated), "book", "left"))
     status = offset_override(decided, evaluated, overrides)
-    return status, page_map_build(pages, status)
+    return status, page_map_build(cands, status)

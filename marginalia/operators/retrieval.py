@@ -141,20 +141,22 @@ def lexical_search(
         *ask, F.lit(None).cast("array<string>").alias("books"))
     wanted = packed.join(books, list(ask)).select(
         *ask, "books", "norm", F.lit(0.0).alias("least"), F.col("_g.gram").alias("grams"), F.col("_g.w").alias("ws"))
-    near = _blocked(index.join(norms, list(keys)), wanted, keys, ask, k, block_rows, query_rows)
+    sizes = (index.count(), queries.count())  # file counts; the joined tables are not evaluated for them
+    near = _blocked(index.join(norms, list(keys)), wanted, keys, ask, k, sizes, block_rows, query_rows)
     return top_k(near, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
 
 
 def _blocked(
     docs: DataFrame, wanted: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int | None,
-    block_rows: int = 4_000, query_rows: int = 500,
+    sizes: tuple[int, int], block_rows: int = 4_000, query_rows: int = 500,
 ) -> DataFrame:
     """Sparse product of packed documents and packed queries, block by block.
 
     Scores are positive and at least the query's ``least``; ``k`` cuts them per block and query.
+    ``sizes`` are the row counts of documents and queries, which set the number of blocks.
     """
-    d_blocks = max(1, -(-docs.count() // block_rows), docs.sparkSession.sparkContext.defaultParallelism)
-    q_blocks = max(1, -(-wanted.count() // query_rows))
+    d_blocks = max(1, -(-sizes[0] // block_rows), docs.sparkSession.sparkContext.defaultParallelism)
+    q_blocks = max(1, -(-sizes[1] // query_rows))
     left = docs.select(
         *keys, "norm", "grams", "tfs", F.pmod(F.xxhash64(*keys), F.lit(d_blocks)).cast("int").alias("_d"),
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
@@ -482,7 +484,7 @@ def structured_search(
         (F.col("_n") * min_coverage).alias("least"), "grams", F.array_repeat(F.lit(1.0), F.col("_n").cast("int")).alias("ws"))
     dgrams = packed_grams(rated.select(*KEY, F.col("_norm").alias("text")), KEY, (1, 2)).select(
         *KEY, "grams", F.array_repeat(F.lit(1), F.size("grams")).alias("tfs"), F.lit(1.0).alias("norm"))
-    close = _blocked(dgrams, asked_grams, KEY, ASK, None).withColumnRenamed("score", "_m").join(
+    close = _blocked(dgrams, asked_grams, KEY, ASK, None, (docs.count(), variants.count())).withColumnRenamed("score", "_m").join(
         share.drop("grams"), ["query_id", "variant_no"])
     linked = close.join(wanted, ["query_id", "variant_no"]).join(
         rated.select(*KEY, "_norm"), list(KEY)

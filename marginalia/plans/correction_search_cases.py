@@ -71,7 +71,15 @@ def correction_lexical(spark, sf):
     return typed(R.lexical_search(corrections(spark, sf), SC.variants(spark, sf), 100, Q.CKEY))
 
 
-@case("correction_search")
+_CFUSED = (
+    f"WITH {SC.scores_sql('corr', 'chunk_id', 'variants', 'query_id, variant_no')}, lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 100), "
+    f"{SC._VEC.replace('rank <= 100', 'rank <= 200')}, surv AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near JOIN corr USING (vec_id)), "
+    "lists AS (SELECT query_id, chunk_id, s.rank, 0.4 AS w FROM surv s JOIN variants USING (query_id) UNION ALL SELECT query_id, chunk_id, rank, 0.6 FROM lex), "
+    "fused AS (SELECT query_id, chunk_id, round(sum(w::DOUBLE / (60.0 + rank)), 9) AS score FROM lists GROUP BY ALL) "
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 20")
+
+
+@case("correction_search", sql(_CFUSED, "corr", "variants"))
 def correction_search(spark, sf):
     return typed(Q.correction_search(corrections(spark, sf), SC.vectors(spark, sf), SC.variants(spark, sf), SC.query_vectors(spark, sf)).drop("reason"))
 
@@ -165,3 +173,9 @@ def correction_context_text(spark, sf):
     blocks = F.split("corrections", "\\[OFFICIAL CORRECTION\\]\\n")
     body = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), lambda b: F.regexp_extract(b, "(?s)公式訂正内容:\\n(.*?)\\n現行ルール上の扱い", 1))
     return texts.select("query_id", (F.size(blocks) - 1).cast("bigint").alias("n"), F.md5(F.array_join(body, "\n")).alias("digest"))
+
+
+@case("correction_target_context")
+def correction_target_context(spark, sf):
+    s = _picked(spark, sf).withColumn("relevance", F.lit(1.0)).withColumn("append_text", F.lit(None).cast("string"))
+    return typed(Q.target_context(s, _targets(spark, sf), B.chunks(spark, sf), B.questions(spark, sf), B.book_weights(spark, sf)))
