@@ -43,10 +43,10 @@ def index_headings(spark, sf):
 
 
 @case("collapse_seeds", sql(
-    "SELECT book, pdf_page AS seed FROM (SELECT book, pdf_page, lag(pdf_page) OVER (PARTITION BY book ORDER BY pdf_page) AS prev FROM bpages WHERE n_chars % 4 = 0) "
+    "SELECT book, pdf_page AS seed FROM (SELECT book, pdf_page, lag(pdf_page) OVER (PARTITION BY book ORDER BY pdf_page) AS prev FROM bpages WHERE regexp_matches(text, '[0-9]')) "
     "WHERE prev IS NULL OR pdf_page - prev > 3", "bpages"))
 def collapse_seeds(spark, sf):
-    return N.collapse_seeds(B.pages(spark, sf).where("n_chars % 4 = 0").select("book", F.col("pdf_page").alias("seed")))
+    return N.collapse_seeds(B.pages(spark, sf).where(F.col("text").rlike("[0-9]")).select("book", F.col("pdf_page").alias("seed")))
 
 
 B.CTES["last_"] = (("bpages",), "SELECT book, max(pdf_page) AS last FROM bpages GROUP BY 1")
@@ -97,14 +97,14 @@ _RESULTS = "SELECT book, pdf_page, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_c
 
 @case("sequence_stop_rule", sql(
     f"WITH RECURSIVE res AS ({_RESULTS}), walk AS (SELECT book, pdf_page AS seed, pdf_page, positive, coalesce(positive, false) AS found, "
-    "CASE WHEN positive = false THEN 1 ELSE 0 END AS misses, 1 AS n FROM res WHERE pdf_page % 5 = 1 UNION ALL "
+    "CASE WHEN positive = false THEN 1 ELSE 0 END AS misses, 1 AS n FROM res UNION ALL "
     "SELECT w.book, w.seed, r.pdf_page, r.positive, w.found OR coalesce(r.positive, false), w.misses + CASE WHEN r.positive = false THEN 1 ELSE 0 END, n + 1 "
     "FROM walk w JOIN res r ON r.book = w.book AND r.pdf_page = w.pdf_page + 1 WHERE n < 10 AND NOT (w.positive IS NOT NULL AND NOT w.positive AND (w.found OR w.misses >= 2))) "
     "SELECT book, seed, pdf_page, positive, positive IS NULL AS error FROM walk", "bpages").replace("WITH bpages", "WITH RECURSIVE bpages").replace(", RECURSIVE res", ", res"))
 def sequence_stop_rule(spark, sf):
     p = B.pages(spark, sf).where("n_chars % 13 <> 0")
     results = p.select("book", "pdf_page", F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 3 != 0).alias("positive"))
-    seeds = p.where("pdf_page % 5 = 1").select("book", F.col("pdf_page").alias("seed"))
+    seeds = p.select("book", F.col("pdf_page").alias("seed"))
     return N.sequence_stop_rule(seeds, results, N.TOC_MAX_PAGES)
 
 
@@ -153,10 +153,10 @@ def index_type_join(spark, sf):
 
 
 @case("unresolved_errors", sql(
-    "SELECT book, 'toc' AS kind, pdf_page FROM bpages WHERE n_chars % 3 = 0 AND n_chars % 2 = 0", "bpages"))
+    "SELECT book, 'toc' AS kind, pdf_page FROM bpages WHERE NOT regexp_matches(text, '[0-9]')", "bpages"))
 def unresolved_errors(spark, sf):
     p = B.pages(spark, sf).withColumn("kind", F.lit("toc"))
-    return N.unresolved_errors(p.where("n_chars % 3 = 0").select("book", "kind", "pdf_page"), p.where("n_chars % 2 <> 0"))
+    return N.unresolved_errors(p.select("book", "kind", "pdf_page"), p.where(F.col("text").rlike("[0-9]")))
 
 
 @case("navigation_status", sql(
