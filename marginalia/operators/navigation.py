@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.functions.match import char_tokens, sequence_ratio
+from marginalia.functions.match import char_tokens, sequence_ratio, sequence_ratio_at_least
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
 from marginalia.operators.retrieval import ASK, contained_terms
@@ -278,7 +278,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     full = met.join(a, "q").join(b, "e")
     bound = F.lit(2.0) * F.size(F.array_intersect("_tq", "_te")) / (F.col("_lq") + F.col("_le"))
     close = spread(full.where(bound >= threshold - 1e-9).select("q", "e"), "q", "e")
-    return close.select("q", "e", sequence_ratio(F.col("q"), F.col("e")).alias("ratio")).where(
+    return close.select("q", "e", sequence_ratio_at_least(F.col("q"), F.col("e"), F.lit(threshold)).alias("ratio")).where(
         F.col("ratio") >= threshold)
 
 
