@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ def fan_out(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts add up to about ``limit`` bytes, one row at least."""
-    sizes = np.asarray(batch.column(column).cast(pa.large_binary() if not pa.types.is_string(batch.schema.field(column).type) else pa.string()).to_pandas().map(lambda v: len(v) if v is not None else 0), dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)
@@ -84,6 +84,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     raise RuntimeError("components did not settle")
 
-
-def doubles(rows: Iterable[Sequence[float]]) -> np.ndarray:
-    return np.asarray(list(rows), dtype=np.float64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, packing, simhash, urlrules
+from marginalia.llm import chatformat, hilbert, mixing, packing, perplexity, simhash, urlrules
 from marginalia.llm.common import table
 
 #: The rule list of the url query.
@@ -33,11 +33,35 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return judged.select(F.col("doc_id").cast("bigint"), *perplexity.COUNTS, "base_failed", "kept", "perplexity")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chatformat.format_and_read(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more))
+
+
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op7_chat_format, op9_hilbert_neighbours)
 }
 
 ORACLES: dict[str, str] = {
+    "op7_chat_format": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, length(regexp_replace(regexp_replace(t, '(<)(s>|/s>|<SYS>>|</SYS>>|\\|turn\\|>|\\|body\\|>|\\|endoftext\\|>)', '\\1␛\\2', 'g'), '(\\[)(/?INST\\])', '\\1␛\\2', 'g')) AS n
+  FROM (SELECT *, replace(role || chr(1) || text, '␛', '␛␛') AS t FROM c))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(n - 1 + 20) + 3 AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
     "op2_mixing": """
 WITH RECURSIVE d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
