@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chatformat, hilbert, mixing, packing, perplexity, simhash, urlrules
+from marginalia.llm import chatformat, hilbert, htmlcrf, mixing, packing, perplexity, simhash, urlrules
 from marginalia.llm.common import table
 
 #: The rule list of the url query.
@@ -38,6 +38,12 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("doc_id").cast("bigint"), *perplexity.COUNTS, "base_failed", "kept", "perplexity")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = htmlcrf.extract(pages, htmlcrf.fit(pages))
+    return got.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -49,7 +55,7 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op7_chat_format, op9_hilbert_neighbours)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op6_html_text, op7_chat_format, op9_hilbert_neighbours)
 }
 
 ORACLES: dict[str, str] = {
