@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chatformat, hilbert, htmlcrf, mixing, packing, perplexity, simhash, urlrules
+from marginalia.llm import chatformat, hilbert, htmlcrf, mixing, packing, perplexity, simhash, substrings, urlrules
 from marginalia.llm.common import table
 
 #: The rule list of the url query.
@@ -50,12 +50,17 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.format_and_read(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op6_html_text, op7_chat_format, op9_hilbert_neighbours)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op6_html_text, op7_chat_format, op8_suffix_dedup, op9_hilbert_neighbours)
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,10 @@ run of white space crosses a chunk border, or which hold a reserved string, are
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 from array import array
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -16,7 +19,6 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 #: How the byte-level vocabulary cuts a text (fixed by its tokenizer).
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ACROSS = re.compile(r"\s \s|\s \Z")
-_OPEN: dict[tuple[str, int], "Encoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -90,11 +92,13 @@ class Encoder:
 
 
 def encoder(name: str) -> Encoder:
-    """This worker's encoder for a vocabulary file name or path."""
-    import os
+    """This worker's encoder for a vocabulary file name or path.
 
+    Task functions travel by value, so their module is new in every task; the cache is kept where a worker process keeps it.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = (name, os.getpid())
-    if key not in _OPEN:
-        _OPEN[key] = Encoder(name if os.path.sep in name else vocabulary(name))
-    return _OPEN[key]
+    kept = sys.modules.setdefault("marginalia_worker_cache", types.ModuleType("marginalia_worker_cache")).__dict__
+    key = f"{name} {os.getpid()}"
+    if key not in kept:
+        kept[key] = Encoder(name if os.path.sep in name else vocabulary(name))
+    return kept[key]
