@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chatformat, hilbert, htmlcrf, mixing, packing, perplexity, simhash, substrings, urlrules
+from marginalia.llm import chatformat, hilbert, htmlcrf, mixing, packing, perplexity, simhash, substrings, tokenfile, urlrules
 from marginalia.llm.common import table
 
 #: The rule list of the url query.
@@ -59,8 +59,12 @@ def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op6_html_text, op7_chat_format, op8_suffix_dedup, op9_hilbert_neighbours)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_simhash, op4_url_rules, op5_perplexity, op6_html_text, op7_chat_format, op8_suffix_dedup, op9_hilbert_neighbours, op10_token_file)
 }
 
 ORACLES: dict[str, str] = {
