@@ -7,38 +7,82 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, packing, simhash
-from marginalia.llm.common import WORD, table
-from marginalia.session import written
+from marginalia.llm import mixing, packing, perplexity, simhash, substrings
+from marginalia.llm.common import table
+from marginalia.session import drop_scratch, scratch_folders, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_made: list[str] = []
+
+
+def _tidy(stage: Stage, first: bool = False) -> Stage:
+    """The stage, which begins by dropping the scratch tables of the one before it (its rows are written by then)."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            drop_scratch(spark, _made)
+        before = set(scratch_folders())
+        out = stage(spark, docs, sf_dir)
+        _made[:] = [f for f in scratch_folders() if f not in before]
+        return out
+
+    return run_stage
+
+
+def _renamed(docs: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """Every column under a name of its own, beside doc_id, text, lang and source: none can be in an operator's way."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return names, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "text", "lang", "source")
+
+
+def _restored(df: DataFrame, names: dict[str, str], text: str | None = None) -> DataFrame:
+    """The columns of the documents again, with another text and its length if ``text`` names one."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("bigint")} if text else {}
+    return df.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their language's perplexity band."""
+    names, named = _renamed(docs)
+    return _restored(perplexity.judge(named, carry=(*names.values(), "lang")).where("kept"), names)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near-duplicates stays, once."""
-    first = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
+    """The document with the smallest doc_id of every group of near-duplicates stays, in one row."""
+    first = simhash.near_duplicates(docs).select(F.col("component_id").alias("_first")).distinct()
     once = Window.partitionBy("doc_id").orderBy("doc_id", "_h")
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; the one in which a source's share ends is cut after so many words."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    times = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    part = (F.col("_taken") - (F.col("_k") - 1) * F.col("_size")).cast("int")
-    head = F.expr(rf"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*){{', least(part, 1), '}}'), 0)")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(*[docs[c] for c in docs.columns], "_taken", "_size")
-    return rows
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that an earlier one has in a string of 50; a character that loses a byte goes whole."""
+    names, named = _renamed(docs)
+    return _restored(substrings.remove_repeats(named, carry=tuple(names.values()), as_text=True), names, "kept")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; where a source's share ends within a document, its first words, one space apart."""
+    names, named = _renamed(docs)
+    mine = mixing.mix(named, carry=(*names.values(), "text")).where("taken > 0")
+    copies = mine.withColumn("_k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("_k") - 1) * F.col("size")
+    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), left.cast("int"))
+    return _restored(copies.withColumn("_text", F.when(left >= F.col("size"), F.col("text")).otherwise(F.concat_ws(" ", words))), names, "_text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", _tidy(quality_rules, first=True)), ("near_dedup", _tidy(near_dedup)), ("suffix_dedup", _tidy(suffix_dedup)),
+    ("mix_sources", _tidy(mix_sources)), ("packing", _tidy(pack)),
+]
 
-#: Perplexity and byte-wise suffix comparison have no SQL form; the stages are tested against brute force.
+#: Perplexity and suffix comparison have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

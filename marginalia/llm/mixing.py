@@ -42,20 +42,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int =
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken) of all documents.
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, and the carried columns) of all documents.
 
     A source whose target is r times its size is taken floor(r) times whole; the fraction is a seeded sample: in the order of
     md5(seed:doc_id) documents are taken once more until it is reached, the last one as far as needed, so that a source's words
     add up to its rounded target. Null text: size 0. Null source: a source of its own, last. Null doc_id: sorts by the hash
-    of the seed alone. Repeated rows count each; an empty table gives no rows; other columns are left out.
+    of the seed alone. Repeated rows count each; an empty table gives no rows; other columns than the carried ones are left out.
 
     The order is cut into slices by the hash's first digits: sums per slice find the slice in which a source's sample ends, and only
     that slice is sorted.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_h"), *carry,
     ).withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
     rows = written(rows, "sizes")
     slices = written(rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum")), "slices")
@@ -81,4 +81,4 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, se
     left = F.col("_more") - F.col("_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     hard = joined.where(cut).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("bigint")
-    return easy.unionByName(hard).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return easy.unionByName(hard).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)

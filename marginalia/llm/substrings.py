@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -199,15 +199,15 @@ def _leaders(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, n
     return order, new_h, new_h | np.concatenate([[True], c[1:] != c[:-1]])
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """Rows (_doc, _part, _data): documents as bytes. _part is 0, and a hash of the text where a doc_id names several texts."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+def _marked(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (_doc, _part, _data, and the carried columns): documents as bytes. _part is 0, and a hash of the text where a doc_id names several texts."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), *carry)
     tag = F.shiftrightunsigned(F.xxhash64("_text"), 40)
     several = written(rows.groupBy("_doc").agg(F.min(tag).alias("a"), F.max(tag).alias("b")).where("a < b").select("_doc"), "several")
     if several.isEmpty():
-        return rows.select("_doc", F.lit(0).cast("bigint").alias("_part"), F.col("_text").cast("binary").alias("_data"))
+        return rows.select("_doc", F.lit(0).cast("bigint").alias("_part"), F.col("_text").cast("binary").alias("_data"), *carry)
     more = several.withColumn("_more", F.lit(True))
-    return rows.join(more, "_doc", "left").select("_doc", F.when(F.col("_more"), tag).otherwise(F.lit(0)).cast("bigint").alias("_part"), F.col("_text").cast("binary").alias("_data"))
+    return rows.join(more, "_doc", "left").select("_doc", F.when(F.col("_more"), tag).otherwise(F.lit(0)).cast("bigint").alias("_part"), F.col("_text").cast("binary").alias("_data"), *carry)
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def removals(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     without texts; the first of equal surroundings stands for all in later steps. Where surroundings differ, the bytes around the anchors are
     fetched, their suffixes sorted with hash-compared extensions, and equal ones verified.
     """
-    marked = _marked(docs) if marked is None else marked
+    marked = (_marked(docs) if marked is None else marked).select("_doc", "_part", "_data")
     buckets = 8 * common.fan_out(docs.sparkSession)
     found = written(_met(_anchored(marked, buckets), buckets), "anchors")
     contexts = _contexts(_squeezed(marked), _places(found, 2))
@@ -423,14 +423,15 @@ def removals(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     return _places(found.where("kind = 1").unionByName(more), 1)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, kept, n_bytes, n_removed, n_spans): the bytes of each document without those covered by a string of SPAN bytes that also
+def remove_repeats(docs: DataFrame, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """Rows (doc_id, kept, n_bytes, n_removed, n_spans, and the carried columns): the bytes of each document without those covered by a string of SPAN bytes that also
     starts in a document with a smaller doc_id. Strings are judged on the input; overlaps count; matches never cross documents.
 
     Null text: empty. Null doc_id: after all others, and not before one another. Rows with the same doc_id are one document: its texts do not remove
-    from one another. Texts under SPAN bytes are whole. An empty table gives no rows; other columns are left out.
+    from one another. Texts under SPAN bytes are whole. An empty table gives no rows; other columns than the
+    carried ones are left out. ``as_text``: kept is a string, without characters that lost a byte.
     """
-    marked = _marked(docs)
+    marked = _marked(docs, carry)
     places = removals(docs, marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,9 +451,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     gone = np.cumsum(cover[:-1]) > 0
                     removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                if as_text:
+                    kept = kept.decode("utf-8", "ignore")
                 out.append((None if doc == _NONE else doc, kept, len(data), removed, spans))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            kinds = (pa.int64(), pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            made = [pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in range(3, batch.num_columns))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 
-    joined = _squeezed(marked).join(places, ["_doc", "_part"], "left").select("_doc", "_data", "_at")
-    return joined.mapInArrow(run, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    joined = _squeezed(marked).join(places, ["_doc", "_part"], "left").select("_doc", "_data", "_at", *carry)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(run, f"doc_id bigint, kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint{carried}")

@@ -21,7 +21,7 @@ from marginalia.session import scratch_dir
 LANES = 1 << 14
 BLOCK = 1 << 22
 _MAGIC = b"TIDB\x01"
-_HEAD = struct.Struct("<5sQIIII")  # magic, ids, lanes, alphabet, words, crc32 of the ids
+_HEAD = "<5sQIIII"  # magic, ids, lanes, alphabet, words, crc32 of the ids
 _ONE = 1 << 16  # probabilities are 16-bit integers: nothing depends on floating point
 _LEAST = 256
 _U = np.uint64
@@ -152,17 +152,17 @@ def encode_block(ids: np.ndarray) -> bytes:
         out_word.append((end >> _U(shift)).astype(np.uint16))
     lane, word = np.concatenate(out_lane), np.concatenate(out_word)
     word = word[np.argsort(lane, kind="stable")]
-    head = _HEAD.pack(_MAGIC, n, lanes, alphabet, len(word), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
+    head = struct.pack(_HEAD, _MAGIC, n, lanes, alphabet, len(word), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
     return head + np.bincount(lane, minlength=lanes)[:lanes].astype("<u4").tobytes() + word.astype("<u2").tobytes()
 
 
 def decode_block(block: bytes) -> np.ndarray:
     """The ids of a block; an error if they do not match its checksum."""
-    magic, n, lanes, alphabet, words, crc = _HEAD.unpack_from(block)
-    if magic != _MAGIC or len(block) != _HEAD.size + 4 * lanes + 2 * words:
+    magic, n, lanes, alphabet, words, crc = struct.unpack_from(_HEAD, block)
+    if magic != _MAGIC or len(block) != struct.calcsize(_HEAD) + 4 * lanes + 2 * words:
         raise ValueError("no block of token ids, or one cut short")
-    ends = np.cumsum(np.frombuffer(block, "<u4", lanes, _HEAD.size).astype(np.int64))
-    word = np.concatenate([np.frombuffer(block, "<u2", words, _HEAD.size + 4 * lanes), np.zeros(1, np.uint16)]).astype(_U)
+    ends = np.cumsum(np.frombuffer(block, "<u4", lanes, struct.calcsize(_HEAD)).astype(np.int64))
+    word = np.concatenate([np.frombuffer(block, "<u2", words, struct.calcsize(_HEAD) + 4 * lanes), np.zeros(1, np.uint16)]).astype(_U)
     at = np.concatenate([[0], ends[:-1]]) if lanes else np.zeros(0, np.int64)
     length = -(-n // lanes) if n else 0
     model = _Model(alphabet, lanes)
