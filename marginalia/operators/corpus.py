@@ -110,6 +110,12 @@ def page_map_violations(maps: DataFrame) -> DataFrame:
     return bad.unionByName(repeated)
 
 
+def checked_page_maps(maps: DataFrame) -> DataFrame:
+    """Page-map rows of documents that all keep the rules; any violation stops the build."""
+    require_empty(page_map_violations(maps), "page maps without book or mappings, or with a repeated book")
+    return page_map_rows(maps)
+
+
 OPERATIONS = ("replace", "append", "delete")
 
 
@@ -127,10 +133,12 @@ def correction_verdict(rows: DataFrame) -> DataFrame:
 
 
 def correction_documents(rows: DataFrame) -> DataFrame:
-    """Valid correction rows as chunks: no physical page, the target page as printed page."""
+    """Valid correction rows as chunks: no physical page, the target page as printed page. An invalid row fails the job."""
     m = "metadata."
     target = F.expr("try_cast(metadata.target_page AS INT)")
-    return correction_verdict(rows).where("verdict = 'valid'").select(
+    stop = F.raise_error(F.concat(F.lit("invalid correction row: "), F.coalesce("id", F.lit("no id")))).cast("boolean")
+    checked = correction_verdict(rows).where(F.when(F.col("verdict") == "invalid", stop).otherwise(F.col("verdict") == "valid"))
+    return checked.select(
         F.coalesce(m + "source_key", F.lit(CORRECTION_CLASS)).alias("book"),
         F.lit(None).cast("int").alias("pdf_page"),
         target.alias("logical_page"),
@@ -169,9 +177,14 @@ def unmatched_books(pages: DataFrame, categories: DataFrame) -> DataFrame:
     return pages.select("book").distinct().join(categories, "book", "left_anti")
 
 
-def join_logical_page(pages: DataFrame, page_map: DataFrame) -> DataFrame:
-    """Printed page number per page; null without a mapping."""
-    return pages.drop("logical_page").join(page_map.select("book", "pdf_page", "logical_page"), ["book", "pdf_page"], "left")
+def join_logical_page(pages: DataFrame, page_map: DataFrame, strict: bool = False) -> DataFrame:
+    """Printed page number per page; null without a mapping. ``strict``: a page that no mapping names fails the job."""
+    known = page_map.select("book", "pdf_page", "logical_page", F.lit(True).alias("_mapped"))
+    joined = pages.drop("logical_page").join(known, ["book", "pdf_page"], "left")
+    if strict:
+        stop = F.raise_error(F.concat_ws(" ", F.lit("no mapping for page"), "book", F.col("pdf_page").cast("string"))).cast("boolean")
+        joined = joined.where(F.when(F.col("_mapped").isNull(), stop).otherwise(F.lit(True)))
+    return joined.drop("_mapped")
 
 
 def books_without_map(pages: DataFrame, page_map: DataFrame) -> DataFrame:

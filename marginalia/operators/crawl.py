@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marginalia.functions import text as T
+from marginalia.session import written
 
 # Content type by file extension (public registry names).
 TYPES = {"html": "text/html", "htm": "text/html", "pdf": "application/pdf", "txt": "text/plain", "json": "application/json",
@@ -77,12 +81,27 @@ def content_type(value: Column, url: Column, types: Mapping[str, str] = TYPES) -
     return F.when(head == OCTETS, guess).otherwise(head)
 
 
+# What is no markup of the page, a start tag of a link (quoted values may hold any sign), and its first href.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title)\b.*?(?:</\1\s*>|\z)"
+_LINK = r"(?is)<a(?=[\s/])((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>"
+_HREF = r"(?is)^(?:[\s/]*(?!href[\s=])[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*[\s/]*href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
+
+
+@F.pandas_udf(StringType())
+def character_references(s: pd.Series) -> pd.Series:
+    """Numeric and named references as characters."""
+    return s.map(lambda v: html.unescape(v) if v and "&" in v else v)
+
+
 def link_graph(pages: DataFrame) -> DataFrame:
-    """Ordered distinct canonical out-links: (src, pos, dst) from (url, html)."""
-    tags = F.regexp_extract_all("html", F.lit("(?is)<a\\s([^>]*)>"), F.lit(1))
-    href = lambda t: T.strip(F.regexp_replace(F.regexp_extract(t, "(?is)(?:^|\\s)href\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>]+)", 1), "^[\"']|[\"']$", ""))
-    unescaped = lambda h: F.replace(h, F.lit("&amp;"), F.lit("&"))
-    links = pages.select(F.col("url").alias("src"), F.posexplode(F.transform(tags, lambda t: unescaped(href(t)))).alias("pos", "raw")).where("raw <> ''")
+    """Ordered distinct canonical out-links: (src, pos, dst) from (url, html).
+
+    Comments, scripts and the like hold no links; the first href of a tag counts, with its character references decoded.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_LINK), F.lit(1))
+    href = lambda t: T.strip(F.regexp_replace(F.regexp_extract(t, _HREF, 1), "^[\"']|[\"']$", ""))
+    links = pages.select(F.col("url").alias("src"), F.posexplode(F.transform(tags, href)).alias("pos", "raw")).where("raw <> ''")
+    links = links.withColumn("raw", character_references("raw"))
     found = links.select("src", "pos", canonical_url(F.col("raw"), F.col("src")).alias("dst")).where(F.col("dst").isNotNull())
     return found.groupBy("src", "dst").agg(F.min("pos").alias("pos")).select("src", "pos", "dst")
 
@@ -92,8 +111,10 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 2) -> Da
 
     seeds: (source_id, url); edges: (src, pos, dst). The queue order of a URL is its path of
     link positions, so the first discoverer is an aggregate minimum and no ordered pass is
-    needed. ``max_depth`` bounds the number of joins.
+    needed. ``max_depth`` bounds the number of joins. Links and every level are written once, so a level
+    reads the one before it and not the pages again.
     """
+    edges = written(edges, "links")
     level = seeds.select("source_id", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"),
                          F.array(F.lit(0)).alias("_path"))
     found = level
@@ -102,7 +123,7 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 2) -> Da
             "source_id", F.col("dst").alias("_u"), F.col("url").alias("_from"), F.concat("_path", F.array("pos")).alias("_p"))
         fresh = reached.groupBy("source_id", "_u").agg(F.min(F.struct("_p", "_from")).alias("_b")).select(
             "source_id", F.col("_u").alias("url"), F.lit(depth).alias("depth"), F.col("_b._from").alias("discovered_from"), F.col("_b._p").alias("_path"))
-        level = fresh.join(found.select("source_id", "url"), ["source_id", "url"], "left_anti")
+        level = written(fresh.join(found.select("source_id", "url"), ["source_id", "url"], "left_anti"), "level")
         found = found.unionByName(level)
     return found.drop("_path")
 

@@ -8,6 +8,7 @@ from marginalia.operators import chat as H
 from marginalia.plans import bindings as B
 from marginalia.plans import sqltext as S
 from marginalia.plans.registry import case, typed
+from marginalia.session import scratch_dir
 from marginalia.streaming import tables as M
 
 _HIST = f"SELECT conv_id, turn, lower(trim(role)) AS role, {S.strip('text')} AS text FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant') AND {S.strip('text')} <> ''"
@@ -91,26 +92,42 @@ def token_cost(spark, sf):
 
 # ---- streams: the final table equals the batch aggregate ----
 
+def _twice(spark, sf, table, order, run):
+    """A stream over a table that lands in two turns of several files: run, land the rest, and run again from the same folder."""
+    root, rows = scratch_dir(spark, f"stream-{table}"), B.table(spark, sf, table)
+    half = F.pmod(F.xxhash64(order), F.lit(2)) == 0
+    for part in (rows.where(half), rows.where(~half)):
+        M.landed(part, root, order)
+        out = run(M.table_stream(spark, f"{root}/landing.parquet", "*.parquet"), f"{root}/job")
+    return out
+
+
 @case("stream_last_seen", "SELECT user_id, max(ts) AS last_seen_at FROM events GROUP BY 1")
 def stream_last_seen(spark, sf):
-    return M.run_aggregate(M.table_stream(spark, f"{sf}/events.parquet"), H.last_seen, ["user_id"], "last-seen")
+    return _twice(spark, sf, "events", "ts", lambda stream, root: M.run_aggregate(stream, H.last_seen, ["user_id"], root))
 
 
 @case("stream_chat_sources", _SOURCES)
 def stream_chat_sources(spark, sf):
-    stream = M.table_stream(spark, f"{sf}/events.parquet")
-    return M.run_aggregate(stream, lambda s: H.upsert_sources(_source_rows(spark, sf, s)), ["chat_id", "book", "pdf_page"], "chat-sources")
+    return _twice(spark, sf, "events", "ts", lambda stream, root: M.run_aggregate(
+        stream, lambda s: H.upsert_sources(_source_rows(spark, sf, s)), ["chat_id", "book", "pdf_page"], root))
 
 
 @case("stream_chat_activity", f"SELECT conv_id AS chat_id, count(*) AS messages, coalesce(substring(min_by({S.squeeze('text')}, turn) FILTER (role = 'user'), 1, 40) || CASE WHEN length(min_by({S.squeeze('text')}, turn) FILTER (role = 'user')) > 40 THEN '…' ELSE '' END, '新しいチャット') AS title, "
       "max(turn) AS updated_at FROM conversations GROUP BY 1")
 def stream_chat_activity(spark, sf):
-    stream = M.table_stream(spark, f"{sf}/conversations.parquet")
-    rows = stream.select(F.col("conv_id").alias("chat_id"), "turn", "role", "text", F.col("turn").alias("ts"))
-    return M.run_aggregate(rows, H.chat_activity, ["chat_id"], "chat-activity")
+    turns = lambda s: s.select(F.col("conv_id").alias("chat_id"), "turn", "role", "text", F.col("turn").alias("ts"))
+    return _twice(spark, sf, "conversations", "turn", lambda stream, root: M.run_aggregate(turns(stream), H.chat_activity, ["chat_id"], root))
 
 
-@case("stream_manifest", "SELECT url, sha256(html) AS sha256 FROM pages")
+@case("stream_manifest", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS url, max_by(sha256(html), page_id) AS sha256 FROM pages GROUP BY 1")
 def stream_manifest(spark, sf):
-    stream = M.table_stream(spark, f"{sf}/pages.parquet")
-    return M.run_manifest(stream.select("url", F.sha2("html", 256).alias("sha256")))
+    # one document per host, changed by every page of the host; the turns follow one another by page_id
+    root, pages = scratch_dir(spark, "stream-pages"), B.table(spark, sf, "pages")
+    middle = pages.agg(F.percentile_approx("page_id", 0.5)).first()[0]
+    for part in (pages.where(F.col("page_id") <= middle), pages.where(F.col("page_id") > middle)):
+        M.landed(part, root, "page_id", 1)
+        stream = M.table_stream(spark, f"{root}/landing.parquet", "*.parquet")
+        rows = stream.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("url"), F.sha2("html", 256).alias("sha256"), "page_id")
+        out = M.run_manifest(rows, f"{root}/job", "page_id")
+    return out

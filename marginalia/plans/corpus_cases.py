@@ -115,6 +115,11 @@ def _correction_rows(spark, sf):
     return d.select(F.from_json(line, schemas.CORRECTION_ROW).alias("r")).select("r.*")
 
 
+def _sound_rows(spark, sf):
+    """The rows without the invalid ones, which would fail the job."""
+    return corpus.correction_verdict(_correction_rows(spark, sf)).where("verdict <> 'invalid'").drop("verdict")
+
+
 _VERDICT_SQL = ("CASE WHEN lang = 'de' THEN 'skipped' WHEN lang = 'es' THEN 'invalid' WHEN n_chars % 4 = 3 THEN 'invalid' ELSE 'valid' END")
 
 
@@ -129,7 +134,7 @@ def scan_corrections(spark, sf):
       "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS official_chunk_id FROM documents "
       f"WHERE {_VERDICT_SQL} = 'valid'")
 def correction_documents(spark, sf):
-    return typed(corpus.correction_documents(_correction_rows(spark, sf)).select(
+    return typed(corpus.correction_documents(_sound_rows(spark, sf)).select(
         "book", "logical_page", "category", F.length("text").alias("chars"), "official_chunk_id"))
 
 
@@ -175,7 +180,7 @@ def _index(spark, sf):
     path = scratch_dir(spark, "index")
     book = B.chunks(spark, sf).select("book", "pdf_page", "logical_page", "chunk", "text", F.col("doc_id").alias("vec_id"),
                                       F.lit("book").alias("source_class"))
-    corr = corpus.correction_documents(_correction_rows(spark, sf)).select(
+    corr = corpus.correction_documents(_sound_rows(spark, sf)).select(
         "book", F.col("pdf_page").cast("bigint"), F.col("logical_page").cast("bigint"), F.col("chunk").cast("bigint"), "text",
         F.col("official_chunk_id").cast("bigint").alias("vec_id"), "source_class")
     vectors = B.table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -207,7 +212,7 @@ def verify_index(spark, sf):
     f"SELECT book, source_class, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ({_INDEX_SQL}) GROUP BY 1, 2", "chunks"))
 def union_corpus(spark, sf):
     book = B.chunks(spark, sf).withColumn("source_class", F.lit("book"))
-    both = corpus.union_corpus(book, corpus.correction_documents(_correction_rows(spark, sf)))
+    both = corpus.union_corpus(book, corpus.correction_documents(_sound_rows(spark, sf)))
     return both.groupBy("book", "source_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -216,7 +221,7 @@ def union_corpus(spark, sf):
     f"ELSE source_class END AS part FROM ({_INDEX_SQL})) GROUP BY 1", "chunks"))
 def split_by_class(spark, sf):
     both = corpus.union_corpus(B.chunks(spark, sf).withColumn("source_class", F.lit(None).cast("string")),
-                               corpus.correction_documents(_correction_rows(spark, sf)))
+                               corpus.correction_documents(_sound_rows(spark, sf)))
     return corpus.split_by_class(both).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -243,10 +248,9 @@ def sanitize_metadata(spark, sf):
 
 
 @case("meaningful_pages", sql(
-    "SELECT (length(trim(split_part(text, chr(10), 1))) >= 10) AS meaningful, count(*) AS n FROM bpages GROUP BY 1", "bpages"))
+    "SELECT (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10) AS meaningful, count(*) AS n FROM bpages GROUP BY 1", "bpages"))
 def meaningful_pages(spark, sf):
-    first = F.element_at(F.split("text", "\n"), 1)
-    return B.pages(spark, sf).groupBy(corpus.meaningful(first).alias("meaningful")).agg(F.count(F.lit(1)).alias("n"))
+    return B.pages(spark, sf).groupBy(corpus.meaningful(F.col("text")).alias("meaningful")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @case("join_category", sql(
@@ -326,23 +330,23 @@ def corpus_summary(spark, sf):
 @case("class_summary", sql(f"SELECT source_class, count(*) AS documents FROM ({_INDEX_SQL}) GROUP BY 1", "chunks"))
 def class_summary(spark, sf):
     both = corpus.union_corpus(B.chunks(spark, sf).withColumn("source_class", F.lit("book")),
-                               corpus.correction_documents(_correction_rows(spark, sf)))
+                               corpus.correction_documents(_sound_rows(spark, sf)))
     return corpus.class_summary(both)
 
 
 @case("page_sequence_check", sql(
     "SELECT book, count(*) FILTER (n > 1) AS repeated, min(p) AS first_page, max(p) - count(*) AS missing FROM "
-    "(SELECT book, n_chars // 100 AS p, count(*) AS n FROM bpages WHERE n_chars >= 100 GROUP BY 1, 2) GROUP BY 1", "bpages"))
+    "(SELECT book, n_chars // 100 + 1 AS p, count(*) AS n FROM bpages GROUP BY 1, 2) GROUP BY 1", "bpages"))
 def page_sequence_check(spark, sf):
-    p = B.pages(spark, sf).where("n_chars >= 100").select("book", F.floor(F.col("n_chars") / 100).alias("pdf_page"))
+    p = B.pages(spark, sf).select("book", (F.floor(F.col("n_chars") / 100) + 1).alias("pdf_page"))
     return corpus.page_sequence_check(p)
 
 
 @case("missing_except", sql(
-    "SELECT book, p AS pdf_page FROM (SELECT book, unnest(generate_series(1, max(n_chars // 100))) AS p FROM bpages WHERE n_chars >= 100 GROUP BY 1) "
-    "EXCEPT SELECT book, n_chars // 100 FROM bpages", "bpages"))
+    "SELECT book, p AS pdf_page FROM (SELECT book, unnest(generate_series(1, max(n_chars // 100) + 1)) AS p FROM bpages GROUP BY 1) "
+    "EXCEPT SELECT book, n_chars // 100 + 1 FROM bpages", "bpages"))
 def missing_except(spark, sf):
-    p = B.pages(spark, sf).where("n_chars >= 100").select("book", F.floor(F.col("n_chars") / 100).alias("pdf_page"))
+    p = B.pages(spark, sf).select("book", (F.floor(F.col("n_chars") / 100) + 1).alias("pdf_page"))
     return corpus.missing_pages(p).select("book", F.col("pdf_page").cast("bigint"))
 
 

@@ -2,10 +2,6 @@
 
 RAW_PAGE = "book STRING, page STRING, text STRING"
 
-CATALOGUE = (
-    "MAP<STRING, STRUCT<weight: DOUBLE, books: ARRAY<STRUCT<name: STRING, display_name: STRING>>>>"
-)
-
 PAGE_MAP = (
     "book STRING, status STRING, reason STRING, `offset` INT, detection_source STRING, "
     "statistics STRUCT<match_count: INT, candidate_page_count: INT, match_ratio: DOUBLE, longest_consecutive_run: INT>, "

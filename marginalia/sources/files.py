@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +25,19 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue document as one row per (category, book) in file order."""
+    """Catalogue document as one row per (category, book) in file order.
+
+    Categories, and books of a category, are parsed one by one: an entry that is no object or has no name is left
+    out and the others stay.
+    """
     raw = spark.read.option("wholetext", True).text(path)
-    parsed = raw.select(F.from_json("value", schemas.CATALOGUE).alias("m"))
-    return (
-        parsed.select(F.posexplode("m").alias("category_pos", "category", "info"))
-        .select(
-            "category_pos",
-            "category",
-            F.coalesce("info.weight", F.lit(1.0)).alias("weight"),
-            F.posexplode("info.books").alias("book_pos", "entry"),
-        )
-        .where(F.col("entry.name").isNotNull())
-        .select(
-            "category_pos", "category", "weight", "book_pos",
-            F.col("entry.name").alias("book"), F.col("entry.display_name").alias("display_name"),
-        )
+    categories = raw.select(F.posexplode(F.from_json("value", "MAP<STRING, STRING>")).alias("category_pos", "category", "info"))
+    parsed = categories.select("category_pos", "category", F.from_json("info", "weight STRING, books ARRAY<STRING>").alias("c"))
+    books = parsed.select(
+        "category_pos", "category", F.coalesce(F.expr("try_cast(c.weight AS DOUBLE)"), F.lit(1.0)).alias("weight"), F.posexplode("c.books").alias("book_pos", "entry")
+    ).withColumn("entry", F.from_json("entry", "name STRING, display_name STRING"))
+    return books.where(F.length("entry.name") > 0).select(
+        "category_pos", "category", "weight", "book_pos", F.col("entry.name").alias("book"), F.col("entry.display_name").alias("display_name"),
     )
 
 
@@ -81,8 +80,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Publish a table: readers see the committed files or nothing (task and job commit)."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    """Publish a table: it is written beside its place and renamed when it is whole, so a failing write leaves the old rows."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    fresh, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, coming, going = (hadoop.Path(p) for p in (path, fresh, old))
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.format(fmt).save(fresh)
+        if store.exists(place) and not store.rename(place, going):
+            raise OSError(f"cannot move {path}")
+        if not store.rename(coming, place):
+            store.rename(going, place)
+            raise OSError(f"cannot publish {path}")
+    finally:
+        store.delete(coming, True)
+    store.delete(going, True)
 
 
 def write_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:

@@ -12,24 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import crawl
-from marginalia.session import scratch_dir
+from marginalia.session import drop_scratch
+from marginalia.sources import files
 
 
-def table_stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Parquet folder as a stream with the schema of the files already there."""
-    folder, name = path.rsplit("/", 1)
+def table_stream(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """Parquet folder as a stream, a file per micro-batch, with the schema of the files already there."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob or name).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_aggregate(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], keys: list[str], purpose: str) -> DataFrame:
+def landed(df: DataFrame, folder: str, order: str, parts: int = 3) -> None:
+    """Add the rows to a landing folder as several files by ``order``, as a producer would over time."""
+    df.repartitionByRange(parts, order).write.mode("append").parquet(f"{folder}/landing.parquet")
+
+
+def run_aggregate(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame], keys: list[str], root: str) -> DataFrame:
     """Run an aggregating stream to the end of its input and return the latest row per key.
 
-    Every micro-batch writes the changed rows with its number; readers take the last one, so a
-    replayed batch changes nothing.
+    ``root`` is the caller's folder for state and results: a later call with the same folder goes on where this one ended, and a
+    stopped one is resumed. Every micro-batch writes the changed rows under its number, so a replayed batch changes nothing;
+    at the end of a run the rows are compacted to the latest per key.
     """
     spark = stream.sparkSession
-    root = scratch_dir(spark, purpose)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
@@ -41,20 +46,25 @@ def run_aggregate(stream: DataFrame, aggregate: Callable[[DataFrame], DataFrame]
     query.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     rest = [c for c in out.columns if c not in (*keys, "batch")]
-    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    latest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    last = out.agg(F.max("batch")).first()[0]
+    files.write_atomic(latest, f"{root}/latest")
+    files.write_atomic(spark.read.parquet(f"{root}/latest"), f"{root}/out/batch={last}")
+    drop_scratch(spark, [f"{root}/out/batch={n}" for n in range(last)])
+    return spark.read.parquet(f"{root}/latest")
 
 
-def run_manifest(stream: DataFrame, purpose: str = "manifest") -> DataFrame:
-    """Idempotent upsert of (url, sha256) rows: only new and changed documents are written."""
+def run_manifest(stream: DataFrame, root: str, order: str) -> DataFrame:
+    """Idempotent upsert of (url, sha256, and the ``order`` column): the last row of a url counts; only new and changed documents are
+    written. ``root`` is the caller's folder, as for ``run_aggregate``."""
     spark = stream.sparkSession
-    root = scratch_dir(spark, purpose)
     schema = "url STRING, sha256 STRING, batch BIGINT"
-    spark.createDataFrame([], "url STRING, sha256 STRING").write.parquet(f"{root}/out/batch=-1")
+    spark.createDataFrame([], "url STRING, sha256 STRING").write.mode("overwrite").parquet(f"{root}/out/batch=-1")
 
     def upsert(batch: DataFrame, number: int) -> None:
         # only earlier batches count, so a replayed batch rewrites its own folder with the same rows
         known = crawl.manifest_last(spark.read.schema(schema).parquet(f"{root}/out").where(F.col("batch") < number), "batch")
-        latest = batch.groupBy("url").agg(F.max("sha256").alias("sha256"))
+        latest = batch.groupBy("url").agg(F.max_by("sha256", order).alias("sha256"))
         status = crawl.manifest_diff(latest, known)
         changed = latest.join(status.where(F.col("status").isin("new", "changed")), "url").select("url", "sha256")
         changed.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
