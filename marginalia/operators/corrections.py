@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from marginalia.functions import text as T
-from marginalia.operators.ranking import positions
+from marginalia.operators.ranking import positions_in
 from marginalia.session import written
 
 # --- Fixed values: layout ratios, tolerances and marker lists (order matters) ---
@@ -354,10 +354,9 @@ def errata_records(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = diags.join(saved.select("doc", "pdf_page", "band", F.lit("UNASSIGNED_ROW").alias("type")), ["doc", "pdf_page", "band", "type"], "left_anti")
     methods = items.groupBy("doc").agg(F.count_distinct("extract_method").alias("_n"), F.max("extract_method").alias("_m")).select(
         "doc", F.when(F.col("_n") == 1, F.col("_m")).otherwise("mixed").alias("extract_method"))
-    late = 2**50
-    everything = rated.withColumn("_o", F.col("pdf_page") * 2**20 + F.col("record")).drop("record").unionByName(
-        saved.join(methods, "doc").withColumn("_o", F.lit(late) + F.col("pdf_page") * 2**20 + F.col("band")).drop("band"))
-    return positions(everything, ["doc"], "_o", "record_index", 2**28).drop("_o"), left
+    everything = rated.withColumn("_rescued", F.lit(False)).withColumnRenamed("record", "_o").unionByName(
+        saved.join(methods, "doc").withColumn("_rescued", F.lit(True)).withColumnRenamed("band", "_o"))
+    return positions_in(everything, ["doc"], ["_rescued", "pdf_page"], ["_o"], "record_index").drop("_o", "_rescued"), left
 
 
 # ---- chunks -----------------------------------------------------------------------

@@ -63,6 +63,19 @@ def positions(
     )
 
 
+def positions_in(df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """1-based position of each row within ``keys`` by (slices, order), both in ascending order.
+
+    Like ``positions`` for rows that come in slices (the pages of a document): rows are numbered inside a slice, and a table of one
+    count per slice supplies the offsets. The order columns stay what they are, so there is no largest number.
+    """
+    counts = df.groupBy(*keys, *slices).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, *slices, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, *slices).orderBy(*order)
+    return df.join(offsets, [*keys, *slices]).withColumn(name, (F.row_number().over(inside) + F.col("_offset")).cast("bigint")).drop("_offset")
+
+
 def longest_runs(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "longest_run", width: int = 65536
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import corrections as K
+from marginalia.operators.ranking import positions_in
 from marginalia.plans import bindings as B
 from marginalia.plans import sqltext as S
 from marginalia.plans.bindings import sql
@@ -104,9 +105,10 @@ def truncation_flag(spark, sf):
     return typed(_cells(spark, sf).select("doc", "pdf_page", "line", K.truncated(F.concat("location", tail)).alias("flag")))
 
 
-@case("split_notes", sql("SELECT doc, pdf_page, line, nullif(trim(split_part(before, '※', 1)), '') AS main, CASE WHEN contains(trim(before), '※') THEN '※' || split_part(before, '※', 2) END AS note FROM cells WHERE NOT starts_with(trim(before), '※')", "cells"))
+@case("split_notes", sql("SELECT doc, pdf_page, line, CASE WHEN instr(t, '※') > 1 THEN nullif(trim(split_part(t, '※', 1)), '') ELSE nullif(t, '') END AS main, CASE WHEN instr(t, '※') > 1 THEN substring(t, instr(t, '※')) END AS note "
+      "FROM (SELECT doc, pdf_page, line, trim(before) AS t FROM cells)", "cells"))
 def split_notes(spark, sf):
-    c = _cells(spark, sf).where(~F.trim("before").startswith("※")).withColumn("_s", K.split_note(F.col("before")))
+    c = _cells(spark, sf).withColumn("_s", K.split_note(F.col("before")))
     return typed(c.select("doc", "pdf_page", "line", F.nullif("_s.main", F.lit("")).alias("main"), "_s.note"))
 
 
@@ -128,9 +130,8 @@ def internal_table_flag(spark, sf):
 
 @case("record_numbering", sql("SELECT doc, pdf_page, record, row_number() OVER (PARTITION BY doc ORDER BY pdf_page, record) AS record_index FROM recs", "recs"))
 def record_numbering(spark, sf):
-    from marginalia.operators.ranking import positions
     r = K.carry_forward(K.banded_items(layout(spark, sf))).select("doc", "pdf_page", "record")
-    return typed(positions(r.withColumn("_o", F.col("pdf_page") * 2**20 + F.col("record")), ["doc"], "_o", "record_index", 2**24).drop("_o"))
+    return typed(positions_in(r, ["doc"], ["pdf_page"], ["record"], "record_index"))
 
 
 @case("errata_classify")
@@ -142,12 +143,11 @@ def errata_classify(spark, sf):
 
 
 @case("errata_rescue", sql(
-    "SELECT doc, pdf_page, replace(location, '|', '') AS location, trim(before) AS before, trim(after) AS after FROM cells WHERE n % 6 > 1 AND trim(location) <> '' AND trim(before) <> '' AND trim(after) <> '' AND trim(before) <> trim(after) "
-    "AND NOT contains(location || before || after, '|')", "cells"))
+    "SELECT doc, pdf_page, array_to_string(p[1:-3], ' ') AS location, p[-2] AS before, p[-1] AS after FROM (SELECT doc, pdf_page, list_transform(string_split(concat_ws(' | ', location, before, after), '|'), lambda v: trim(v)) AS p FROM cells) "
+    "WHERE len(p) IN (3, 4) AND NOT list_contains(p, '') AND p[-1] <> p[-2]", "cells"))
 def errata_rescue(spark, sf):
-    d = _cells(spark, sf).select("doc", "pdf_page", F.col("line").alias("band"), F.lit("UNASSIGNED_ROW").alias("type"),
-                                 F.concat_ws(" | ", "location", "before", "after").alias("text"), F.concat("location", "before", F.coalesce("after", F.lit(""))).alias("_all"))
-    return K.rescue(d.where(~F.col("_all").contains("|"))).select("doc", "pdf_page", "location", "before", "after")
+    d = _cells(spark, sf).select("doc", "pdf_page", F.col("line").alias("band"), F.lit("UNASSIGNED_ROW").alias("type"), F.concat_ws(" | ", "location", "before", "after").alias("text"))
+    return K.rescue(d).select("doc", "pdf_page", "location", "before", "after")
 
 
 def records(spark, sf):

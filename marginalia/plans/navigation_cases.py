@@ -112,12 +112,12 @@ def _toc_entries(spark, sf):
     """Title lines seen on contents pages of ten pages each; printed pages repeat by length."""
     t = B.toc(spark, sf)
     return t.select("book", F.floor(F.col("pdf_page") / 10).alias("source_pdf_page"), F.col("pdf_page").alias("pos"),
-                    F.substring("title", 1, 6).alias("title"), (F.col("logical_page") % 7).alias("logical_page"), (F.col("level") * 2 - 2).alias("level"))
+                    "title", (F.col("logical_page") % 7).alias("logical_page"), (F.col("level") * 2 - 2).alias("level"))
 
 
 @case("toc_merge", sql(
     "SELECT m.book, m.title, m.logical_page, b.pdf_page, m.level, m.pages FROM (SELECT book, regexp_replace(title, '\\s+', '', 'g') AS k, logical_page, min_by(title, (s, pos)) AS title, "
-    "min(least(3, greatest(1, level))) AS level, array_to_string(list_sort(list(DISTINCT s)), ',') AS pages FROM (SELECT book, pdf_page // 10 AS s, pdf_page AS pos, trim(substring(title, 1, 6)) AS title, "
+    "min(least(3, greatest(1, level))) AS level, array_to_string(list_sort(list(DISTINCT s)), ',') AS pages FROM (SELECT book, pdf_page // 10 AS s, pdf_page AS pos, trim(title) AS title, "
     "logical_page % 7 AS logical_page, level * 2 - 2 AS level FROM toc) WHERE title <> '' GROUP BY ALL) m LEFT JOIN bpages b ON b.book = m.book AND b.logical_page = m.logical_page", "toc"))
 def toc_merge(spark, sf):
     merged = N.toc_merge(_toc_entries(spark, sf), _lookup(spark, sf))

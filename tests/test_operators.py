@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import chat, citations, corpus, navigation, pagemap, retrieval
@@ -221,3 +222,88 @@ def test_index_type_rules(spark):
     got = {(r.pdf_page, r.detected): (r.index_type, r.candidate_index_types) for r in navigation.index_type_join(det, exp).collect()}
     assert got == {(1, "x"): ("A索引", []), (2, "A索引"): ("A索引", []), (2, "索引"): ("索引", ["A索引", "戦闘特技索引"]),
                    (2, "闘特技索引"): ("戦闘特技索引", []), (3, "魔法索引"): ("魔法索引", [])}
+
+
+def test_catalogue_skips_only_the_bad_entries(spark, tmp_path):
+    from marginalia.sources import files
+
+    (tmp_path / "c.json").write_text('{"a": {"weight": 2, "books": [{"name": "x"}, 5, {"no": 1}, {"name": ""}, {"name": "y", "display_name": "Y"}]}, "b": "no object",'
+                                     ' "c": {"books": "none"}, "d": {"weight": "z", "books": [{"name": "x"}]}}')
+    got = [tuple(r) for r in files.read_catalogue(spark, str(tmp_path / "c.json")).select("category", "weight", "book", "display_name", "book_pos").orderBy("category_pos", "book_pos").collect()]
+    assert got == [("a", 2.0, "x", None, 0), ("a", 2.0, "y", "Y", 4), ("d", 1.0, "x", None, 0)]
+
+
+def test_failing_write_leaves_the_published_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marginalia.sources import files
+
+    path = str(tmp_path / "t")
+    files.write_atomic(spark.range(5), path)
+    with pytest.raises(Exception):
+        files.write_atomic(spark.range(9).select(F.raise_error(F.lit("stop")).cast("bigint").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+    files.write_atomic(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 3
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_links_of_real_markup(spark):
+    from marginalia.operators import crawl
+
+    page = ('<!-- <a href="/no"> --><script>"<a href=/js>"</script><a title="x>y" href="/p">1</a><A data-href="/d" HREF=\'/q?x=1&#38;y=2\'>2</a>'
+            '<a class=x href=/caf&eacute;?a=1&amp;b=2 href="/second">3</a><abbr href="/abbr"></abbr><a name="href=/fake">4</a><!-- <a href="/open">')
+    got = [tuple(r) for r in crawl.link_graph(spark.createDataFrame([("http://h.com/", page)], "url string, html string")).orderBy("pos").collect()]
+    assert got == [("http://h.com/", 0, "http://h.com/p"), ("http://h.com/", 1, "http://h.com/q?x=1&y=2"), ("http://h.com/", 2, "http://h.com/café?a=1&b=2")]
+
+
+def test_frontier_is_breadth_first_in_queue_order(spark):
+    import random
+
+    from marginalia.operators import crawl
+
+    rng = random.Random(4)
+    edges = sorted({(f"n{rng.randrange(40)}", rng.randrange(6), f"n{rng.randrange(40)}") for _ in range(110)})
+    edges = [(s, i, d) for i, (s, _, d) in enumerate(edges)]
+    seen, queue, order = {"n0": (0, None)}, ["n0"], {s: [] for s, _, _ in edges}
+    for s, p, d in edges:
+        order[s].append(d)
+    for u in queue:
+        for d in order.get(u, []):
+            if d not in seen and seen[u][0] < 4:
+                seen[d] = (seen[u][0] + 1, u)
+                queue.append(d)
+    got = crawl.crawl_frontier(spark.createDataFrame([("s", "n0")], "source_id string, url string"), spark.createDataFrame(edges, "src string, pos int, dst string"), 4)
+    assert {r["url"]: (r["depth"], r["discovered_from"]) for r in got.collect()} == seen
+
+
+def test_manifest_stream_keeps_the_last_version_and_resumes(spark, tmp_path):
+    from marginalia.streaming import tables
+
+    root = str(tmp_path)
+    rows = lambda *r: spark.createDataFrame(list(r), "url string, sha256 string, n bigint")
+    tables.landed(rows(("u", "zz", 1), ("u", "aa", 2), ("v", "b", 3)), root, "n", 1)
+    run = lambda: {r["url"]: r["sha256"] for r in tables.run_manifest(tables.table_stream(spark, f"{root}/landing.parquet"), f"{root}/job", "n").collect()}
+    assert run() == {"u": "aa", "v": "b"}
+    assert run() == {"u": "aa", "v": "b"}
+    tables.landed(rows(("u", "aa", 4), ("w", "c", 5)), root, "n", 2)
+    assert run() == {"u": "aa", "v": "b", "w": "c"}
+
+
+def test_gates_stop_the_job(spark):
+    from marginalia.operators import corpus
+
+    maps = spark.createDataFrame([("a", [("1", "2", "x")]), ("a", [("1", "2", "x")])], "book string, mappings array<struct<pdf_page: string, logical_page: string, source: string>>")
+    with pytest.raises(ValueError):
+        corpus.checked_page_maps(maps)
+    assert corpus.checked_page_maps(maps.limit(1)).count() == 1
+    pages = spark.createDataFrame([("a", 1), ("a", 2)], "book string, pdf_page int")
+    known = spark.createDataFrame([("a", 1, None)], "book string, pdf_page int, logical_page int")
+    assert corpus.join_logical_page(pages, known).count() == 2
+    with pytest.raises(Exception, match="no mapping"):
+        corpus.join_logical_page(pages, known, strict=True).collect()
+    row = "id string, text string, metadata struct<rag_eligible: boolean, source_class: string, operation: string, source_key: string, target_page: string>"
+    good, bad = ("1", "t", (True, "official_correction", "replace", "k", "3")), ("2", "", (True, "official_correction", "replace", "k", "3"))
+    assert corpus.correction_documents(spark.createDataFrame([good], row)).count() == 1
+    with pytest.raises(Exception, match="invalid correction row: 2"):
+        corpus.correction_documents(spark.createDataFrame([good, bad], row)).collect()
