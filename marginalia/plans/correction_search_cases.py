@@ -170,8 +170,8 @@ def correction_citation_join(spark, sf):
 def correction_context_text(spark, sf):
     s = _picked(spark, sf).withColumn("match_status", F.lit("PAGE_ONLY")).withColumn("match_score", F.lit(0.5)).withColumn("own_citation", F.col("rank")).withColumn("page_citation", F.lit(None).cast("int"))
     texts = Q.context_text(s)
-    blocks = F.split("corrections", "\\[OFFICIAL CORRECTION\\]\\n")
-    body = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), lambda b: F.regexp_extract(b, "(?s)公式訂正内容:\\n(.*?)\\n現行ルール上の扱い", 1))
+    blocks = F.split("corrections", "(?:^|\\n\\n)\\[訂正\\]\\n")
+    body = F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), lambda b: F.regexp_extract(b, "(?s)\\n内容:\\n(.*)$", 1))
     return texts.select("query_id", (F.size(blocks) - 1).cast("bigint").alias("n"), F.md5(F.array_join(body, "\n")).alias("digest"))
 
 
