@@ -127,12 +127,14 @@ def source_labels(citations: DataFrame) -> DataFrame:
 
 
 def prompt_context(items: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Context text per query in item order. A context is a few dozen bounded items."""
+    """Context text per query in item order. A context is a few dozen bounded items; an item's own ``context_text`` goes before its chunk."""
+    if "context_text" not in items.columns:
+        items = items.withColumn("context_text", F.lit(None).cast("string"))
     joined = items.join(citations.select("query_id", "book", "pdf_page", "id", "page"), ["query_id", "book", "pdf_page"]).join(
         chunks.select(*KEY, "text"), list(KEY))
     block = F.concat(
         F.lit("引用ID: [C"), F.col("id").cast("string"), F.lit("]\n書籍: "), "book", F.lit("\n書籍ページ: "), F.col("page").cast("string"),
         F.when(F.length("source") > 0, F.concat(F.lit("\n検索種別: "), "source")).otherwise(""),
-        F.when(F.length("reason") > 0, F.concat(F.lit("\n検索補助情報: "), "reason")).otherwise(""), F.lit("\n本文:\n"), "text")
+        F.when(F.length("reason") > 0, F.concat(F.lit("\n検索補助情報: "), "reason")).otherwise(""), F.lit("\n本文:\n"), F.coalesce("context_text", "text"))
     return joined.groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("position", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))

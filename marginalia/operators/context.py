@@ -22,6 +22,7 @@ NEXT_PAGE, PREVIOUS_PAGE = "次頁|次ページ|次のページ", "前頁|前ペ
 SOURCE_BASE = {"reference": 1500.0, "structured": 1350.0, "index": 1200.0, "toc": 1100.0, "section": 1050.0}
 CONTEXT_ITEMS, HYBRID_RESERVE = 28, 8
 REFERENCES_PER_SEED, REFERENCE_PAGES, MEMORY_PAGES, FRESH_ITEMS = 2, 8, 8, 20
+REFERENCE_SEEDS, STRUCTURED_FULL, CHUNKS_A_PAGE = 12, 3, 2
 # ---------------------------------------------------------------
 
 

@@ -6,12 +6,15 @@ binding (for the DuckDB side of a check) lives next to it in ``CTES``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import corpus
 from marginalia.operators.ranking import positions
+from marginalia.session import written
 
 CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 400
@@ -27,6 +30,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate table that many cases start from, written once for a session and a data folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _ONCE:
+        _ONCE[key] = written(make(), name)
+    return _ONCE[key]
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """documents as pages: book = source, page = position in the source, printed page = page - 3."""
     docs = table(spark, sf, "documents").select(

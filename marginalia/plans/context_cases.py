@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.operators import answer as A
 from marginalia.operators import citations as C
 from marginalia.operators import context as X
 from marginalia.operators.ranking import top_k
 from marginalia.plans import bindings as B
+from marginalia.plans import navigation_cases as NC
+from marginalia.plans import search_cases as SC
 from marginalia.plans import sqltext as S
 from marginalia.plans.bindings import sql
 from marginalia.plans.registry import case, typed
@@ -37,63 +40,69 @@ def reference_edges(spark, sf):
 
 
 @case("reference_expand_join", sql(
-    "WITH seeds AS (SELECT n_chars % 25 AS query_id, book, pdf_page, n_chars * 1.0 AS s FROM bpages WHERE logical_page IS NOT NULL), cand AS (SELECT query_id, s.book, b.pdf_page, e.target AS logical_page, s + 150.0 AS score, authority, "
+    "WITH seeds AS (SELECT query_id, book, pdf_page, 100.0 - rank AS s FROM hybrid WHERE rank <= 12), cand AS (SELECT query_id, s.book, b.pdf_page, e.target AS logical_page, s + 150.0 AS score, authority, "
     "'参照先補完: ' || s.book || ' p.' || e.logical_page || ' の「' || label || '」から p.' || target AS label FROM seeds s JOIN edges e USING (book, pdf_page) JOIN bpages b ON b.book = s.book AND b.logical_page = e.target "
     "JOIN book_weights w ON w.book = s.book WHERE pos <= 2 AND b.pdf_page <> s.pdf_page), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, book, pdf_page ORDER BY score DESC, label) AS rn FROM cand) WHERE rn = 1) "
     "SELECT query_id, book, pdf_page, logical_page, CAST(score AS DOUBLE) AS score, label, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, authority DESC, book, pdf_page) AS rank FROM best) WHERE rank <= 8",
-    "edges", "bpages", "book_weights"))
+    "edges", "bpages", "book_weights", "hybrid"))
 def reference_expand_join(spark, sf):
     p = B.pages(spark, sf).where(F.col("logical_page").isNotNull())
-    seeds = p.select((F.col("n_chars") % 25).alias("query_id"), "book", "pdf_page", F.col("n_chars").cast("double").alias("context_score"))
+    seeds = SC.hits(spark, sf).where(F.col("rank") <= X.REFERENCE_SEEDS).select("query_id", "book", "pdf_page", (F.lit(100.0) - F.col("rank")).alias("context_score"))
     out = X.reference_expand(seeds, X.reference_edges(_pages(spark, sf)), p.select("book", "logical_page", "pdf_page"), B.book_weights(spark, sf))
     return typed(out.drop("authority", "source"))
 
 
-# Candidate pages: every page is a candidate of the question its length points at.
 def _questions(spark, sf):
     return B.questions(spark, sf)
 
 
+# Candidate pages: the pages of a question's fused hits, as one kind or another by their best rank.
 def _candidates(spark, sf):
-    n = F.col("n_chars")
-    return B.pages(spark, sf).where(F.col("logical_page").isNotNull()).select(
-        (n % 40).alias("query_id"), "book", "pdf_page", F.element_at(F.array(*[F.lit(s) for s in ("index", "toc", "reference")]), (n % 3 + 1).cast("int")).alias("source"),
-        (n % 100).cast("double").alias("score"), F.concat(F.lit("目次: "), F.substring("category", 1, 2), F.lit(" / x")).alias("label"))
+    page = SC.hits(spark, sf).groupBy("query_id", "book", "pdf_page").agg(F.min("rank").alias("r"))
+    category = B.pages(spark, sf).select("book", "pdf_page", "category")
+    return page.join(category, ["book", "pdf_page"]).select(
+        "query_id", "book", "pdf_page", F.element_at(F.array(*[F.lit(s) for s in ("index", "toc", "reference")]), (F.col("r") % 3 + 1).cast("int")).alias("source"),
+        (F.lit(100) - F.col("r")).cast("double").alias("score"), F.concat(F.lit("目次: "), F.substring("category", 1, 2), F.lit(" / x")).alias("label"))
 
 
-_CAND = ("SELECT n_chars % 40 AS query_id, book, pdf_page, ['index', 'toc', 'reference'][n_chars % 3 + 1] AS source, CAST(n_chars % 100 AS DOUBLE) AS score, category AS lang, "
-         "'目次: ' || category || ' / x' AS label FROM bpages WHERE logical_page IS NOT NULL")
+_CAND = ("SELECT query_id, book, pdf_page, ['index', 'toc', 'reference'][r % 3 + 1] AS source, CAST(100 - r AS DOUBLE) AS score, category AS lang, '目次: ' || category || ' / x' AS label "
+         "FROM (SELECT query_id, book, pdf_page, min(rank) AS r FROM hybrid GROUP BY 1, 2, 3) JOIN (SELECT book, pdf_page, category FROM bpages) USING (book, pdf_page)")
 _ASK = (f"asks AS (SELECT query_id, {S.nav('nq')} AS q, list_transform({S.distinct('raw')}, lambda w: {S.nav('w')}) AS terms, {S.distinct('raw')} AS rawterms, nq FROM "
         f"(SELECT query_id, nq, {S.terms_list('nq')} AS raw FROM (SELECT query_id, {S.norm_query('question')} AS nq FROM questions)))")
 
 
-@case("page_chunk_select", sql(
+B.CTES["chosen"] = (
+    ("bpages", "chunks", "questions", "book_weights", "hybrid"),
     f"WITH {_ASK}, rows AS (SELECT c.query_id, c.source, c.score, c.label, d.book, d.pdf_page, d.chunk, {S.nav('d.text')} AS t, q, list_prepend(lang, terms) AS terms, authority FROM ({_CAND}) c JOIN chunks d USING (book, pdf_page) "
     "JOIN asks USING (query_id) JOIN book_weights w ON w.book = d.book), "
     f"scored AS (SELECT *, round({S.relevance('t', 'q', 'terms', 'authority', 'CASE WHEN source IN (\'toc\', \'reference\') AND chunk = 0 THEN 5.0 ELSE 0.0 END')}, 6) AS s FROM rows) "
     f"SELECT query_id, {_K}, rn = 1 AS mandatory, round(CASE source WHEN 'index' THEN 1200.0 WHEN 'toc' THEN 1100.0 ELSE 1500.0 END + score + s, 6) AS context_score, "
-    "label || CASE WHEN authority > 1.0 THEN ' / 資料優先度を加味' ELSE '' END AS reason, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id, book, pdf_page, source ORDER BY s DESC, chunk) AS rn FROM scored) WHERE rn <= 2",
-    "bpages", "chunks", "questions", "book_weights"))
+    "label || CASE WHEN authority > 1.0 THEN ' / 資料優先度を加味' ELSE '' END AS reason, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id, book, pdf_page, source ORDER BY s DESC, chunk) AS rn FROM scored) WHERE rn <= 2")
+
+
+@case("page_chunk_select", sql("SELECT * FROM chosen", "chosen"))
 def page_chunk_select(spark, sf):
     return X.page_chunk_select(_candidates(spark, sf), B.chunks(spark, sf), _questions(spark, sf), B.book_weights(spark, sf), 2)
 
 
+B.CTES["hitems"] = (
+    ("chunks", "questions", "book_weights", "hybrid"),
+    f"WITH {_ASK}, rows AS (SELECT h.query_id, h.rank, h.reason, d.book, d.pdf_page, d.chunk, {S.nav('d.text')} AS t, q, terms, authority FROM hybrid h JOIN chunks d USING (book, pdf_page, chunk) JOIN asks USING (query_id) JOIN book_weights w ON w.book = d.book) "
+    f"SELECT query_id, {_K}, false AS mandatory, round(100.0 + greatest(0.0, 30.0 - rank) + {S.relevance('t', 'q', 'terms', 'authority')}, 6) AS context_score, "
+    "reason || CASE WHEN authority > 1.0 THEN ' / 資料優先度を加味' ELSE '' END AS reason, 'hybrid' AS source FROM rows")
+
+
+@case("hybrid_items", sql("SELECT * FROM hitems", "hitems"))
+def hybrid_items(spark, sf):
+    return X.hybrid_items(SC.hits(spark, sf), B.chunks(spark, sf), _questions(spark, sf), B.book_weights(spark, sf))
+
+
 def _items(spark, sf):
-    """Context items of 60 queries: pools and scores follow the document length."""
-    c = B.searchable(spark, sf)
-    n = F.col("n_chars")
-    src = F.element_at(F.array(*[F.lit(s) for s in ("reference", "structured", "index", "hybrid")]), (n % 4 + 1).cast("int"))
-    a = c.select((n % 60).alias("query_id"), "book", "pdf_page", "chunk", (n % 3 == 0).alias("mandatory"), (n * 1.0 + F.col("chunk")).cast("double").alias("context_score"),
-                 F.concat(F.lit("r"), (n % 5).cast("string")).alias("reason"), src.alias("source"))
-    b = c.where(n % 2 == 0).select((n % 60).alias("query_id"), "book", "pdf_page", "chunk", F.lit(False).alias("mandatory"), (F.lit(100000.0) - n).cast("double").alias("context_score"),
-                                   F.lit("h").alias("reason"), F.lit("hybrid").alias("source"))
-    return a.unionByName(b)
-
-
-B.CTES["items"] = (
-    ("searchable",),
-    f"SELECT n_chars % 60 AS query_id, {_K}, n_chars % 3 = 0 AS mandatory, CAST(n_chars + chunk AS DOUBLE) AS context_score, 'r' || n_chars % 5 AS reason, ['reference', 'structured', 'index', 'hybrid'][n_chars % 4 + 1] AS source FROM searchable "
-    f"UNION ALL SELECT n_chars % 60, {_K}, false, CAST(100000 - n_chars AS DOUBLE), 'h', 'hybrid' FROM searchable WHERE n_chars % 2 = 0")
+    """Context items: the best chunks of the candidate pages, and the fused hits."""
+    return B.once(spark, sf, "items", lambda: page_chunk_select(spark, sf).unionByName(hybrid_items(spark, sf)))
+
+
+B.CTES["items"] = (("chosen", "hitems"), "SELECT * FROM chosen UNION ALL BY NAME SELECT * FROM hitems")
 _ORD = f"context_score DESC, source, {_K}"
 B.CTES["packed"] = (
     ("items",),
@@ -114,7 +123,7 @@ def context_pack(spark, sf):
 
 
 @case("retrieval_usage", sql(
-    "SELECT query_id, count(*) AS context_items, count(*) FILTER (source = 'hybrid') AS hybrid, count(*) FILTER (source = 'index') AS navigation, "
+    "SELECT query_id, count(*) AS context_items, count(*) FILTER (source = 'hybrid') AS hybrid, count(*) FILTER (source IN ('index', 'toc', 'section')) AS navigation, "
     "count(*) FILTER (source = 'structured') AS structured, count(*) FILTER (source = 'reference') AS reference FROM packed GROUP BY 1", "packed"))
 def retrieval_usage(spark, sf):
     return X.retrieval_usage(X.context_pack(_items(spark, sf)))
@@ -134,7 +143,7 @@ def ordered_union_distinct(spark, sf):
     f"WITH {_ASK}, rows AS (SELECT c.query_id, d.book, d.pdf_page, d.chunk, {S.nav('d.text')} AS t, q, terms, authority FROM ({_CAND}) c JOIN chunks d USING (book, pdf_page) JOIN asks USING (query_id) JOIN book_weights w ON w.book = d.book), "
     f"scored AS (SELECT *, round(180.0 + {S.relevance('t', 'q', 'terms', 'authority')}, 6) AS s FROM rows), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, book, pdf_page ORDER BY s DESC, chunk) AS rn FROM scored) WHERE rn = 1) "
     f"SELECT query_id, {_K}, s AS context_score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, book, pdf_page) AS position FROM best) WHERE position <= 8",
-    "bpages", "chunks", "questions", "book_weights"))
+    "bpages", "chunks", "questions", "book_weights", "hybrid"))
 def chat_memory_join(spark, sf):
     out = X.chat_memory(_candidates(spark, sf), B.chunks(spark, sf), _questions(spark, sf), B.book_weights(spark, sf))
     return typed(out.select("query_id", "book", "pdf_page", "chunk", "context_score", "position"))
@@ -142,8 +151,8 @@ def chat_memory_join(spark, sf):
 
 # ---- citations ----
 
-def _numbered(spark, sf):
-    return C.citation_numbering(X.context_pack(_items(spark, sf)), B.chunks(spark, sf), _questions(spark, sf))
+def numbered(spark, sf):
+    return B.once(spark, sf, "citations", lambda: C.citation_numbering(X.context_pack(_items(spark, sf)), B.chunks(spark, sf), _questions(spark, sf)))
 
 
 _REASONS = S.distinct("rs")
@@ -151,20 +160,20 @@ B.CTES["cited"] = (
     ("packed", "chunks", "questions"),
     f"WITH {_ASK}, g AS (SELECT query_id, book, pdf_page, min(position) AS f, max_by(chunk, (context_score, -position)) AS chunk, max_by(source, (context_score, -position)) AS source, max(context_score) AS context_score, "
     f"list(reason ORDER BY position) AS rs FROM packed GROUP BY 1, 2, 3), h AS (SELECT *, array_to_string({_REASONS}, ' / ') AS reason FROM g), "
-    f"j AS (SELECT h.*, c.logical_page AS page, c.category, {S.squeeze('c.text')} AS raw, list_prepend(nq, rawterms) AS tl FROM h JOIN chunks c USING (book, pdf_page, chunk) JOIN asks USING (query_id)) "
+    f"j AS (SELECT h.*, c.logical_page AS page, c.category, {S.squeeze('c.text')} AS raw, list_prepend(nq, list_concat(regexp_extract_all(reason, '^目次: (.*?) / ', 1), rawterms)) AS tl FROM h JOIN chunks c USING (book, pdf_page, chunk) JOIN asks USING (query_id)) "
     f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS id, book, page, pdf_page, category, {S.excerpt('raw', 'tl')} AS excerpt, reason, context_score, source FROM j")
 
 
 @case("citation_numbering", sql("SELECT * FROM cited", "cited"))
 def citation_numbering(spark, sf):
-    return typed(_numbered(spark, sf))
+    return typed(numbered(spark, sf))
 
 
 @case("citation_relevance", sql(
     f"WITH {_ASK} SELECT query_id, id, round(CASE WHEN q <> '' AND contains(hay, q) THEN 30.0 ELSE 0.0 END + coalesce(list_sum(list_transform(terms, lambda w: CASE WHEN length(w) = 0 THEN 0.0::DOUBLE WHEN contains(hay, w) THEN 12.0 "
     f"ELSE {S.coverage('w', 'hay')} * 3.0 END)), 0.0), 6) AS relevance FROM (SELECT query_id, id, {S.nav('excerpt || chr(32) || reason')} AS hay FROM cited) JOIN asks USING (query_id)", "cited", "questions"))
 def citation_relevance(spark, sf):
-    return typed(C.citation_relevance(_numbered(spark, sf), _questions(spark, sf)).select("query_id", "id", "relevance"))
+    return typed(C.citation_relevance(numbered(spark, sf), _questions(spark, sf)).select("query_id", "id", "relevance"))
 
 
 def _answers(spark, sf):
@@ -179,7 +188,7 @@ def _answers(spark, sf):
 @case("citation_marker_join", sql(
     "SELECT query_id, id, book, pdf_page FROM cited JOIN (SELECT query_id, length(question) % 5 + 1 AS n FROM questions) USING (query_id) WHERE id IN (n, n + 2)", "cited", "questions"))
 def citation_marker_join(spark, sf):
-    return typed(C.citation_marker_join(_answers(spark, sf), _numbered(spark, sf)).select("query_id", "id", "book", "pdf_page"))
+    return typed(C.citation_marker_join(_answers(spark, sf), numbered(spark, sf)).select("query_id", "id", "book", "pdf_page"))
 
 
 @case("collapse_citations",
@@ -193,14 +202,14 @@ def collapse_citations(spark, sf):
 
 @case("return_citations")
 def return_citations(spark, sf):
-    out = C.return_citations(_answers(spark, sf), _numbered(spark, sf), _questions(spark, sf), B.LATIN_TABLE_TERMS)
+    out = C.return_citations(_answers(spark, sf), numbered(spark, sf), _questions(spark, sf), B.LATIN_TABLE_TERMS)
     return typed(out.select("query_id", "position", "id", "book", "pdf_page", "used_in_answer"))
 
 
 @case("source_labels", sql(
     "SELECT query_id, id, CASE WHEN id % 3 = 0 THEN '公式エラッタ・追加訂正 / ' || book || ' - p.' || pdf_page WHEN id % 3 = 1 THEN category || ' / ' || book || ' - p.' || page ELSE book || ' - p.' || page END AS label FROM cited", "cited"))
 def source_labels(spark, sf):
-    c = _numbered(spark, sf).withColumn("source_type", F.when(F.col("id") % 3 == 0, "official_correction").otherwise("book")).withColumn(
+    c = numbered(spark, sf).withColumn("source_type", F.when(F.col("id") % 3 == 0, "official_correction").otherwise("book")).withColumn(
         "target_book", F.lit(None).cast("string")).withColumn("target_page", F.col("pdf_page")).withColumn("category", F.when(F.col("id") % 3 != 2, F.col("category")))
     return typed(C.source_labels(c).select("query_id", "id", "label"))
 
@@ -209,4 +218,19 @@ def source_labels(spark, sf):
     "SELECT query_id, md5(string_agg('引用ID: [C' || id || ']' || chr(10) || '書籍: ' || book || chr(10) || '書籍ページ: ' || page || chr(10) || '検索種別: ' || p.source || chr(10) || '検索補助情報: ' || p.reason || chr(10) || '本文:' || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS digest "
     "FROM packed p JOIN (SELECT query_id, book, pdf_page, id, page FROM cited) USING (query_id, book, pdf_page) JOIN (SELECT book, pdf_page, chunk, text FROM chunks) USING (book, pdf_page, chunk) GROUP BY 1", "packed", "cited", "chunks"))
 def prompt_context(spark, sf):
-    return C.prompt_context(X.context_pack(_items(spark, sf)), _numbered(spark, sf), B.chunks(spark, sf)).select("query_id", F.md5("context").alias("digest"))
+    return C.prompt_context(X.context_pack(_items(spark, sf)), numbered(spark, sf), B.chunks(spark, sf)).select("query_id", F.md5("context").alias("digest"))
+
+
+# ---- the whole way ----
+
+def answer(spark, sf):
+    memory = SC.hits(spark, sf).where("rank > 15").select("query_id", "book", "pdf_page")  # what a chat has seen before
+    edges = X.reference_edges(_pages(spark, sf))
+    return A.answer_context(B.searchable(spark, sf), _questions(spark, sf), B.book_weights(spark, sf), SC.hits(spark, sf), NC.navigation(spark, sf), SC.structured(spark, sf), edges, memory)
+
+
+@case("answer_context")
+def answer_context(spark, sf):
+    a = answer(spark, sf)
+    cited = a.citations.groupBy("query_id").agg(F.max("id").alias("citations"))
+    return typed(a.usage.join(cited, "query_id").join(a.prompt.select("query_id", F.md5("context").alias("digest")), "query_id"))

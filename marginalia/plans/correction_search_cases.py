@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import correction_search as Q
 from marginalia.operators import retrieval as R
 from marginalia.plans import bindings as B
+from marginalia.plans import context_cases as CC
 from marginalia.plans import search_cases as SC
 from marginalia.plans import sqltext as S
 from marginalia.plans.bindings import sql
@@ -79,18 +80,26 @@ _CFUSED = (
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 20")
 
 
-@case("correction_search", sql(_CFUSED, "corr", "variants"))
+B.CTES["chits"] = (("corr", "variants"), _CFUSED)
+
+
+def _hits(spark, sf):
+    """The corrections that a question's search finds, as a table that later steps start from."""
+    return B.once(spark, sf, "correction-hits", lambda: correction_search(spark, sf))
+
+
+@case("correction_search", sql("SELECT * FROM chits", "chits"))
 def correction_search(spark, sf):
     return typed(Q.correction_search(corrections(spark, sf), SC.vectors(spark, sf), SC.variants(spark, sf), SC.query_vectors(spark, sf)).drop("reason"))
 
 
 @case("correction_relevance", sql(
     f"SELECT query_id, chunk_id, round(CASE WHEN wm THEN 1.0 WHEN len(s) = 1 THEN s[1] ELSE list_min(s) * 0.65 + list_sum(s) / len(s) * 0.35 END, 6) AS relevance, wm AS whole_match FROM (SELECT query_id, chunk_id, length(whole) >= 4 AND contains(hay, whole) AS wm, "
-    f"list_transform(terms, lambda w: CASE WHEN contains(hay, w) THEN 1.0::DOUBLE WHEN length(w) >= 2 THEN {S.coverage('w', 'hay')} ELSE 0.0 END) AS s FROM (SELECT t.query_id, c.chunk_id, whole, terms, {S.override('c.text')} AS hay FROM ({_OTERMS}) t JOIN corr c ON c.target_page = t.query_id + 1))", "questions", "corr"))
+    f"list_transform(terms, lambda w: CASE WHEN contains(hay, w) THEN 1.0::DOUBLE WHEN length(w) >= 2 THEN {S.coverage('w', 'hay')} ELSE 0.0 END) AS s FROM (SELECT t.query_id, c.chunk_id, whole, terms, {S.override('c.text')} AS hay FROM ({_OTERMS}) t JOIN chits h USING (query_id) JOIN corr c USING (chunk_id)))", "questions", "corr", "chits"))
 def correction_relevance(spark, sf):
-    pairs = Q.question_terms(B.questions(spark, sf)).join(corrections(spark, sf).select("chunk_id", "target_page", "text"), F.col("query_id") + 1 == F.col("target_page"))
+    pairs = Q.question_terms(B.questions(spark, sf)).join(_hits(spark, sf).select("query_id", "chunk_id"), "query_id")
     hay = Q.haystacks(corrections(spark, sf).select("chunk_id", "text"))
-    return typed(Q.relevance(pairs.drop("text").join(hay, "chunk_id")).select("query_id", "chunk_id", "relevance", "whole_match"))
+    return typed(Q.relevance(pairs.join(hay, "chunk_id")).select("query_id", "chunk_id", "relevance", "whole_match"))
 
 
 @case("correction_target_book", sql("SELECT * FROM targets", "targets"))
@@ -139,34 +148,33 @@ def selected(spark, sf):
 
 
 def _picked(spark, sf):
-    """Corrections of the page a question points at, ranked by number."""
-    from marginalia.operators.ranking import top_k
+    """The first corrections that a question's search finds, with the book they amend."""
     c = corrections(spark, sf).join(_targets(spark, sf), "source_key", "left")
-    return top_k(c.withColumn("query_id", F.col("vec_id") % 40), ["query_id"], [F.col("vec_id")], Q.TOP)
+    return _hits(spark, sf).where(F.col("rank") <= Q.TOP).select("query_id", "chunk_id", "rank").join(c, "chunk_id")
 
 
-_PICKED = "SELECT * FROM (SELECT *, vec_id % 40 AS query_id, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) AS rank FROM corr LEFT JOIN targets USING (source_key)) WHERE rank <= 6"
+_PICKED = "SELECT * FROM (SELECT query_id, chunk_id, rank FROM chits WHERE rank <= 6) JOIN corr USING (chunk_id) LEFT JOIN targets USING (source_key)"
 
 
 @case("correction_citations", sql(
     f"SELECT query_id, chunk_id, query_id + rank AS id, source_key AS book, coalesce(target_page, 0) AS page, '公式エラッタ・追加訂正 / operation=' || operation || CASE WHEN location <> '' THEN ' / 対象箇所=' || location ELSE '' END AS reason, "
-    f"{S.excerpt('raw', 'CAST([] AS VARCHAR[])')} AS excerpt FROM (SELECT *, {S.squeeze('text')} AS raw FROM ({_PICKED}))", "corr", "targets"))
+    f"{S.excerpt('raw', 'CAST([] AS VARCHAR[])')} AS excerpt FROM (SELECT *, {S.squeeze('text')} AS raw FROM ({_PICKED}))", "corr", "targets", "chits"))
 def correction_citations(spark, sf):
     cited = B.questions(spark, sf).select("query_id", F.col("query_id").alias("id"))
     return typed(Q.correction_citations(_picked(spark, sf), cited).select("query_id", "chunk_id", "id", "book", "page", "reason", "excerpt"))
 
 
 @case("correction_citation_join", sql(
-    f"SELECT query_id, chunk_id, rank AS own_citation, p.id AS page_citation FROM ({_PICKED}) k LEFT JOIN (SELECT n_chars % 40 AS query_id, book AS target_book, pdf_page AS target_page, doc_id AS id FROM bpages) p USING (query_id, target_book, target_page)", "corr", "targets", "bpages"))
+    f"SELECT query_id, chunk_id, rank AS own_citation, p.id AS page_citation FROM ({_PICKED}) k LEFT JOIN (SELECT query_id, book AS target_book, pdf_page AS target_page, id FROM cited) p USING (query_id, target_book, target_page)", "corr", "targets", "chits", "cited"))
 def correction_citation_join(spark, sf):
     picked = _picked(spark, sf).withColumn("target_pdf_page", F.col("target_page"))
-    pages = B.pages(spark, sf).select((F.col("n_chars") % 40).alias("query_id"), "book", "pdf_page", F.col("doc_id").alias("id"))
+    pages = CC.numbered(spark, sf).select("query_id", "book", "pdf_page", "id")
     own = picked.select("query_id", "chunk_id", F.col("rank").alias("id"))
     return typed(Q.citation_join(picked, own, pages).select("query_id", "chunk_id", "own_citation", "page_citation"))
 
 
 @case("correction_context_text", sql(
-    f"SELECT query_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY rank)) AS digest FROM ({_PICKED}) GROUP BY 1", "corr", "targets"))
+    f"SELECT query_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY rank)) AS digest FROM ({_PICKED}) GROUP BY 1", "corr", "targets", "chits"))
 def correction_context_text(spark, sf):
     s = _picked(spark, sf).withColumn("match_status", F.lit("PAGE_ONLY")).withColumn("match_score", F.lit(0.5)).withColumn("own_citation", F.col("rank")).withColumn("page_citation", F.lit(None).cast("int"))
     texts = Q.context_text(s)

@@ -138,10 +138,14 @@ _FUSED = (
     "ORDER BY variant_no, kind) FILTER (rank <= 15), 1, 3), ' / ') AS reasons FROM lists JOIN variants USING (query_id, variant_no) GROUP BY ALL)")
 
 
-@case("hybrid_search", sql(
+B.CTES["hybrid"] = (
+    ("searchable", "variants", "book_weights"),
     _FUSED + f" SELECT * FROM (SELECT query_id, {_KEY}, score, '通常検索で高関連' || CASE WHEN reasons <> '' THEN '（' || reasons || '）' ELSE '' END AS reason, "
     f"row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_KEY}) AS rank FROM (SELECT query_id, {_KEY}, reasons, "
-    "round(score * authority, 9) AS score FROM fused JOIN book_weights USING (book))) WHERE rank <= 20", "searchable", "variants", "book_weights"))
+    "round(score * authority, 9) AS score FROM fused JOIN book_weights USING (book))) WHERE rank <= 20")
+
+
+@case("hybrid_search", sql("SELECT * FROM hybrid", "hybrid"))
 def hybrid_search(spark, sf):
     return typed(hybrid(spark, sf))
 
@@ -151,6 +155,11 @@ def hybrid(spark, sf, k=20):
                            B.book_weights(spark, sf), k)
 
 
+def hits(spark, sf):
+    """The fused hits as a table that later steps start from."""
+    return B.once(spark, sf, "hybrid", lambda: typed(hybrid(spark, sf)))
+
+
 @case("top_reasons", sql(
     _FUSED + f" SELECT query_id, {_KEY}, round(score, 9) AS score, coalesce(reasons, '') AS reasons FROM fused", "searchable", "variants"))
 def top_reasons(spark, sf):
