@@ -134,7 +134,30 @@ def record_numbering(spark, sf):
     return typed(positions_in(r, ["doc"], ["pdf_page"], ["record"], "record_index"))
 
 
-@case("errata_classify")
+# The ordered rules on the marks that the driver's lines carry (を削除, ※追記, ※注).
+B.CTES["classed"] = (
+    ("recs",),
+    "SELECT doc, pdf_page, record, before, CASE WHEN rule = 'kept' THEN 'complex' ELSE rule END AS operation, after, internal_table_detected, "
+    "CASE WHEN rule = 'append' THEN added END AS append_text, CASE WHEN rule = 'append' THEN instr END AS append_instruction, "
+    "CASE WHEN rule = 'delete' THEN nullif(CASE WHEN contains(suffix, '※') OR suffix = '' THEN trim(regexp_replace(prefix, '^※+', '')) ELSE suffix END, '') END AS delete_text, "
+    "CASE WHEN rule = 'delete' THEN 'を削除' END AS delete_instruction, CASE WHEN rule = 'delete' AND contains(suffix, '※') THEN substring(suffix, instr(suffix, '※')) END AS note FROM ("
+    "SELECT *, CASE WHEN internal_table_detected THEN 'kept' WHEN before IS NOT NULL AND after IS NOT NULL THEN 'replace' WHEN contains(b, 'を削除') THEN 'delete' "
+    "WHEN contains(b, '※追記') AND t0 <> '' AND added <> '' THEN 'append' ELSE 'kept' END AS rule FROM (SELECT *, trim(regexp_replace(t0, '^[。．.、 ]+', '')) AS added FROM (SELECT *, coalesce(before, '') AS b, "
+    "trim(split_part(coalesce(before, ''), 'を削除', 1)) AS prefix, trim(substring(coalesce(before, ''), instr(coalesce(before, ''), 'を削除') + 3)) AS suffix, "
+    "trim(split_part(coalesce(before, ''), '※追記', 1) || '※追記') AS instr, trim(substring(coalesce(before, ''), instr(coalesce(before, ''), '※追記') + 3)) AS t0 FROM recs)))")
+B.CTES["rated"] = (
+    ("classed", "items_", "cells"),
+    "WITH w AS (SELECT *, list_filter([CASE WHEN before IS NULL OR after IS NULL THEN 'MISSING_BEFORE_OR_AFTER' END, CASE WHEN contains(coalesce(before, ''), '※追記') OR contains(coalesce(after, ''), '※追記') THEN 'APPEND_INSTRUCTION_PATTERN' END, "
+    "CASE WHEN internal_table_detected THEN 'INTERNAL_TABLE_PATTERN' END], lambda v: v IS NOT NULL) AS why FROM classed), "
+    "e AS (SELECT *, CASE WHEN operation = 'append' THEN list_filter(why, lambda v: v NOT IN ('MISSING_BEFORE_OR_AFTER', 'APPEND_INSTRUCTION_PATTERN')) WHEN operation = 'delete' AND delete_text IS NOT NULL THEN list_filter(why, lambda v: v <> 'MISSING_BEFORE_OR_AFTER') ELSE why END AS l FROM w), "
+    "q AS (SELECT *, CASE WHEN operation = 'complex' AND len(l) = 0 THEN ['COMPLEX_OPERATION'] ELSE l END AS reasons FROM e) "
+    "SELECT doc, pdf_page, record AS o, false AS rescued, CASE WHEN operation = 'complex' OR len(reasons) > 0 THEN 'complex' ELSE operation END AS operation, "
+    "CASE WHEN operation = 'complex' OR len(reasons) > 0 THEN 'LAYOUT_COMPLEX' ELSE 'LAYOUT_PARSED' END AS parse_status, array_to_string(reasons, ',') AS reasons FROM q UNION ALL "
+    "SELECT doc, pdf_page, line, true, 'replace', 'LAYOUT_PARSED', '' FROM (SELECT doc, pdf_page, line, list_transform(string_split(string_agg(trim(text), ' | ' ORDER BY rk), '|'), lambda p: trim(p)) AS p FROM items_ i "
+    "WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc = i.doc AND c.pdf_page = i.pdf_page AND c.line <= i.line AND c.page IS NOT NULL) GROUP BY doc, pdf_page, line) WHERE len(p) IN (3, 4) AND NOT list_contains(p, '') AND p[-1] <> p[-2]")
+
+
+@case("errata_classify", sql("SELECT doc, pdf_page, record, operation, after, append_text, append_instruction, delete_text, delete_instruction, note FROM classed", "classed"))
 def errata_classify(spark, sf):
     banded = K.banded_items(layout(spark, sf))
     base = K.carry_forward(banded).join(K.internal_table(banded), ["doc", "pdf_page", "record"], "left").withColumn(
@@ -154,7 +177,7 @@ def records(spark, sf):
     return K.errata_records(layout(spark, sf))
 
 
-@case("errata_quality")
+@case("errata_quality", sql("SELECT parse_status, operation, reasons, count(*) AS n FROM rated GROUP BY ALL", "rated"))
 def errata_quality(spark, sf):
     return records(spark, sf)[0].groupBy("parse_status", "operation", F.array_join("quality_reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -169,7 +192,7 @@ def errata_records(spark, sf):
         F.count(F.lit(1)).alias("n"), F.max("pdf_page").alias("last_page"), F.count_if(F.col("target_page").isNull()).alias("rescued")))
 
 
-@case("correction_eligibility")
+@case("correction_eligibility", sql("SELECT doc, CASE WHEN parse_status <> 'LAYOUT_PARSED' THEN 'not_layout_parsed' END AS skip_reason, count(*) AS n FROM rated GROUP BY ALL", "rated"))
 def correction_eligibility(spark, sf):
     return K.skip_reason(records(spark, sf)[0]).groupBy("doc", "skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -179,7 +202,7 @@ def errata_chunk_text(spark, sf):
     return typed(K.correction_chunks(records(spark, sf)[0]).select("chunk_id", "operation", "override_candidate", "supplement_candidate", "text"))
 
 
-@case("document_counts")
+@case("document_counts", sql(" UNION ALL ".join(f"SELECT doc, '{k}' AS kind, {v} AS name, count(*) AS n FROM rated GROUP BY ALL" for k, v in (("parse_status", "parse_status"), ("operation", "operation"), ("extract_method", "'layout'"))), "rated"))
 def document_counts(spark, sf):
     return K.document_counts(records(spark, sf)[0])
 
@@ -189,7 +212,9 @@ def normalization_report(spark, sf):
     return typed(K.normalization_report(*records(spark, sf)))
 
 
-@case("correction_manifest")
+@case("correction_manifest", sql(
+    "SELECT doc, CASE WHEN doc LIKE '%9' THEN 'EXCLUDED' ELSE 'BUILT' END AS status, CAST(count(*) AS BIGINT) AS record_count, CAST(count(*) FILTER (parse_status = 'LAYOUT_PARSED' AND doc NOT LIKE '%9') AS BIGINT) AS chunk_count, "
+    "CASE WHEN count(*) FILTER (parse_status <> 'LAYOUT_PARSED') > 0 THEN '{\"not_layout_parsed\":' || count(*) FILTER (parse_status <> 'LAYOUT_PARSED') || '}' ELSE '{}' END AS skipped_counts FROM rated GROUP BY doc", "rated"))
 def correction_manifest(spark, sf):
     r = records(spark, sf)[0]
     return typed(K.correction_manifest(r, r.where(F.col("doc").endswith("9")).select("doc").distinct()))

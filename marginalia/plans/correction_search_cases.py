@@ -43,7 +43,9 @@ def _targets(spark, sf):
 B.CTES["targets"] = ((), "SELECT a.source AS source_key, min(b.source) AS target_book FROM (SELECT DISTINCT source FROM documents) a JOIN (SELECT DISTINCT source FROM documents) b ON contains(b.source, a.source) GROUP BY 1 HAVING count(*) = 1")
 
 
-@case("norm_nfkc")
+@case("norm_nfkc", sql(
+    f"SELECT chunk_id, md5({S.override('said')}) AS digest FROM (SELECT source || ':errata:' || doc_id AS chunk_id, concat_ws(chr(10), nullif(text, ''), nullif(regexp_extract(text, '^([^ ]*)', 1), ''), nullif(regexp_extract(text, '^[^.,\n]*', 0), ''), "
+    "CASE WHEN n_chars % 3 = 0 THEN nullif(regexp_extract(text, '[.,\n]([^.,\n]*)', 1), '') END, CASE WHEN n_chars % 3 = 2 THEN nullif(regexp_extract(text, '^([^ ]+ ?[^ ]*)', 1), '') END, source) AS said FROM documents)"))
 def norm_nfkc(spark, sf):
     return Q.haystacks(corrections(spark, sf)).select("chunk_id", F.md5("hay").alias("digest"))
 
