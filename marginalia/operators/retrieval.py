@@ -307,15 +307,20 @@ def _prefixes(docs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     )
 
 
-def contained_terms(docs: DataFrame, terms: DataFrame, term: str, keys: Sequence[str] = KEY, width: int = 3) -> DataFrame:
+def contained_terms(docs: DataFrame, terms: DataFrame, term: str, keys: Sequence[str] = KEY, width: int = 4) -> DataFrame:
     """(document, term) pairs where the text contains the term, without a cross join.
 
-    A term is anchored by its first characters; documents meet it through an equi join on
-    their own short substrings, and only those pairs are verified.
+    A term is anchored by the one of its substrings of ``width`` characters (or itself, if shorter) that the fewest documents hold;
+    documents meet it through an equi join on their own short substrings, and only those pairs are verified.
     """
-    anchored = terms.select(F.col(term), F.substring(term, 1, width).alias("anchor")).distinct()
+    wanted = terms.select(term).where(F.length(term) > 0).distinct()
+    own = F.when(F.length(term) <= width, F.array(F.col(term))).otherwise(F.array_distinct(T.ngrams(F.col(term), width)))
+    grams = wanted.select(term, F.explode(own).alias("anchor"))
     docs = spread(docs, *keys)
-    pairs = _prefixes(docs, keys, width).join(anchored, "anchor").drop("anchor")
+    held = _prefixes(docs, keys, width)
+    df = held.join(grams.select("anchor").distinct(), "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
+    anchored = keep_best(grams.join(df, "anchor"), [term], [F.col("_df"), F.col("anchor")]).select(term, "anchor")
+    pairs = held.join(anchored, "anchor").drop("anchor")
     return docs.join(pairs, list(keys)).where(F.contains(F.col("text"), F.col(term)))
 
 

@@ -222,7 +222,7 @@ def toc_containment_join(spark, sf):
 
 @case("fuzzy_ratio_join")
 def fuzzy_ratio_join(spark, sf):
-    q = B.questions(spark, sf).select(T.norm_nav(T.norm_query(F.col("question"))).alias("q")).distinct()
+    q = B.index_terms(spark, sf).select(T.norm_nav(F.col("term")).alias("q")).distinct()
     e = B.toc(spark, sf).select(T.norm_nav(F.col("title")).alias("e")).distinct()
     return N.fuzzy_pairs(q, e, N.TOC_FUZZY).withColumn("ratio", F.round("ratio", 6))
 
