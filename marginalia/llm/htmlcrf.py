@@ -16,7 +16,7 @@ from marginalia.llm import common
 
 #: Rows whose words fill the labelled pages that the field is trained on (those with the smallest hashed ids), and how many pages are laid out.
 TRAINING_ROWS = 200
-TRAINING_PAGES = 400
+TRAINING_PAGES = 900
 
 _PIECE = re.compile(
     r"""<!--(?:>|->|.*?--!?>|.*\Z)|<(script|style|template|noscript|svg|iframe|textarea|title|select|object)\b(?:"[^"]*"|'[^']*'|[^"'>])*(?:/>|>.*?(?:</\1\s*>|\Z))"""
@@ -33,7 +33,7 @@ _HINTS = frozenset("copyright cookie cookies privacy terms subscribe newsletter
 
 
 class _Node:
-    __slots__ = ("tag", "features", "score", "link")
+    __slots__ = ("tag", "own", "features", "score", "link")
 
     def __init__(self, tag: str, attributes: str, above: _Node | None):
         own = ["t:" + tag]
@@ -44,6 +44,7 @@ class _Node:
             elif name != "style" or "display:none" in value.replace(" ", ""):
                 own.append("hidden")
         self.tag = tag
+        self.own = ["p:" + tag, *("i:" + f for f in own[1:])]
         self.features = frozenset(own) | (above.features if above else frozenset())
         self.link = tag == "a" or bool(above and above.link)
         self.score: float | None = None
@@ -138,7 +139,7 @@ class Field:
         out = []
         for i, (node, text, linked) in enumerate(page):
             if node.score is None:
-                node.score = get("bias", 0.0) + get("p:" + node.tag, 0.0) + sum(get(f, 0.0) for f in node.features)
+                node.score = get("bias", 0.0) + sum(get(f, 0.0) for f in node.own) + sum(get(f, 0.0) for f in node.features)
             out.append(node.score + sum(get(f, 0.0) for f in text_features(text, linked, i, len(page))))
         return out
 
@@ -164,7 +165,7 @@ class Field:
         return "\n\n".join(t for (_, t, _), main in zip(found, self.decode(found)) if main)
 
 
-def train(pages: Sequence[tuple[str, Sequence[bool]]], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
+def train(pages: Sequence[tuple[str, Sequence[bool]]], steps: int = 250, rate: float = 0.3, decay: float = 1e-3) -> Field:
     """Maximum likelihood of labelled pages (html, label per leaf block): forward-backward over all pages at once, adaptive steps."""
     parsed = [(blocks(p), y) for p, y in pages]
     for got, y in parsed:
@@ -177,7 +178,7 @@ def train(pages: Sequence[tuple[str, Sequence[bool]]], steps: int = 150, rate: f
     used = np.zeros((count, longest), bool)
     for i, (page, y) in enumerate(parsed):
         for j, (node, text, linked) in enumerate(page):
-            for f in {"bias", "p:" + node.tag, *node.features, *text_features(text, linked, j, len(page))}:
+            for f in {"bias", *node.own, *node.features, *text_features(text, linked, j, len(page))}:
                 feature.append(number.setdefault(f, len(number)))
                 row.append(i * longest + j)
             label[i, j], used[i, j] = y[j], True
@@ -253,8 +254,10 @@ def labelled_pages(words: Sequence[str], count: int = TRAINING_PAGES, seed: int
             return f"<div class='ad'>{leaf('p', said(3, 60), False)}</div>"
 
         def notice() -> str:
+            if rng.random() < 0.4:
+                return leaf(pick(["div", "p"]), said(3, 40), False, pick([' class="notice"', ' class="alert"', ' class="cookie-notice"', ' class="warning"', ' id="notice"', ' class="banner"']))
             inner = leaf("p", said(4, 40) + pick([" cookies", " privacy", ""]), False)
-            return pick(['<div class="cookie-notice">{}</div>', '<div class="alert notice">{}</div>', '<div id="consent-banner">{}</div>', '<div class="warning message">{}</div>', '<div role="alert">{}</div>', '<section class="popup modal">{}</section>']).format(inner)
+            return pick(['<div class="cookie-notice">{}</div>', '<div class="alert notice">{}</div>', '<div class="notice">{}</div>', '<div class="notification">{}</div>', '<div class="alert">{}</div>', '<div id="consent-banner">{}</div>', '<div class="warning message">{}</div>', '<div role="alert">{}</div>', '<section class="popup modal">{}</section>']).format(inner)
 
         def form() -> str:
             inner = leaf("p", said(2, 20), False) + "<input type='text' name='q'>" + leaf("button", said(1, 2), False)
@@ -274,10 +277,13 @@ def labelled_pages(words: Sequence[str], count: int = TRAINING_PAGES, seed: int
             labels.append(False)
             return pick(['<div class="share">{}</div>', '<div class="social buttons">{}</div>', '<p class="tags meta">{}</p>', '<div class="byline meta">{}</div>']).format(f'<a href="#">{said(1, 3)}</a>')
 
+        def byline() -> str:
+            return pick(["{}", "<header>{}</header>", "<footer>{}</footer>"]).format(leaf(pick(["div", "p"]), said(2, 8), False, pick([' class="byline"', ' class="meta"', ' class="post-meta"', ' class="author"', ' class="date"', ' class="tags"'])))
+
         def content() -> str:
             kind = rng.random()
             if kind < 0.68:
-                text = said(1, 6) if rng.random() < 0.2 else said(5, 160)
+                text = said(1, 5) if rng.random() < 0.35 else said(5, 160)
                 if rng.random() < 0.25:
                     text = f"<b>{text}" + pick(["</b>", "", "<br>"])
                 if rng.random() < 0.2:
@@ -299,13 +305,18 @@ def labelled_pages(words: Sequence[str], count: int = TRAINING_PAGES, seed: int
             inner = leaf(pick(["h1", "h1", "h1", "h2"]), said(1, 14), True) if rng.random() < 0.9 else ""
             if rng.random() < 0.2:
                 inner = f"<header>{inner}</header>"
-            for _ in range(rng.randint(1, 14)):
+            for _ in range(rng.randint(0 if inner and rng.random() < 0.2 else 1, 12)):
                 inner += content()
-                if rng.random() < 0.08:
-                    inner += pick([advert, share, sidebar, notice, form])()
-            if rng.random() < 0.15:
-                inner += pick([comments, share, footer])()
-            return pick(["<article>{}</article>"] * 6 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div id="content">{}</div>', '<div class="post entry-content">{}</div>', '<div class="article-body">{}</div>', '<section class="story text">{}</section>', '<div role="main">{}</div>', '<div class="page main">{}</div>']).format(inner)
+                if rng.random() < 0.16:
+                    inner += pick([advert, advert, share, sidebar, notice, notice, form, byline, menu])()
+            if rng.random() < 0.25:
+                inner += pick([comments, comments, share, footer, byline])()
+            if rng.random() < 0.5:
+                return pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<article class="post">{}</article>']).format(inner)
+            name = pick(["content", "post", "entry-content", "article-body", "story", "main", "text", "body-copy", "page-content", "article", "single-post", "main-content", "blog-post", "prose"])
+            inner = pick(['<div class="{}">', '<div id="{}">', '<section class="{}">', '<div class="wrap {}">']).format(name) + inner
+            inner += "</section>" if inner.startswith("<section") else "</div>"
+            return pick(["{}", "{}", '<div role="main">{}</div>', "<main>{}</main>", '<div class="page">{}</div>']).format(inner)
 
         body = ""
         before = [header, menu, notice, advert, form, sidebar]
@@ -316,9 +327,16 @@ def labelled_pages(words: Sequence[str], count: int = TRAINING_PAGES, seed: int
         for f in after:
             body += f() if rng.random() < 0.4 else ""
         body += pick([plain_footer, footer])() if rng.random() < 0.6 else ""
+        if rng.random() < 0.12:  # nothing but the text
+            labels.clear()
+            if rng.random() < 0.3:
+                return said(1, 80), [True]
+            body = article() if rng.random() < 0.6 else "".join(content() for _ in range(rng.randint(1, 6)))
         if rng.random() < 0.3:
             body = pick(['<div id="wrapper">{}</div>', '<div class="container"><div class="row">{}</div></div>']).format(body)
         ends = "</body></html>" if rng.random() < 0.9 else ""
+        if rng.random() < 0.15:
+            return body, labels
         return f"<!DOCTYPE html><html><head><title>{said(1, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body><!-- x -->{body}{ends}", labels
 
     return [page() for _ in range(count)]
