@@ -307,3 +307,33 @@ def test_gates_stop_the_job(spark):
     assert corpus.correction_documents(spark.createDataFrame([good], row)).count() == 1
     with pytest.raises(Exception, match="invalid correction row: 2"):
         corpus.correction_documents(spark.createDataFrame([good, bad], row)).collect()
+
+
+def test_answer_context_brings_every_kind_of_item(spark):
+    from marginalia.operators import answer
+
+    docs = spark.createDataFrame(
+        [(b, "cat", p, p + 10, c, f"{b} page {p} part {c} about dragons") for b in ("red", "blue") for p in range(1, 7) for c in (0, 1)],
+        "book string, category string, pdf_page bigint, logical_page bigint, chunk bigint, text string")
+    questions = spark.createDataFrame([(1, "dragons", None), (2, "nothing", None)], "query_id bigint, question string, books array<string>")
+    weights = spark.createDataFrame([("red", 1.0), ("blue", 1.2)], "book string, authority double")
+    hybrid = spark.createDataFrame([(q, "red", 1, 0, 0.5, 1, "r") for q in (1, 2)], "query_id bigint, book string, pdf_page bigint, chunk bigint, score double, rank bigint, reason string")
+    navigation = spark.createDataFrame([(1, "blue", 2, "toc", 5.0, "目次: dragons")], "query_id bigint, book string, pdf_page bigint, source string, score double, label string")
+    structured = spark.createDataFrame([(1, 1, "blue", 3, "structured", 9.0, "表・一覧検索: dragons")], "query_id bigint, rank bigint, book string, pdf_page bigint, source string, score double, label string")
+    edges = spark.createDataFrame([("blue", 2, 12, 1, 14, "⇒14頁"), ("red", 1, 11, 1, 15, "⇒15頁")], "book string, pdf_page bigint, logical_page bigint, pos bigint, target bigint, label string")
+    memory = spark.createDataFrame([(1, "red", 6), (2, "blue", 6)], "query_id bigint, book string, pdf_page bigint")
+    a = answer.answer_context(docs, questions, weights, hybrid, navigation, structured, edges, memory)
+    items = {(r["query_id"], r["source"], r["book"], r["pdf_page"]) for r in a.items.collect()}
+    assert {(1, "hybrid", "red", 1), (1, "toc", "blue", 2), (1, "structured", "blue", 3), (1, "reference", "blue", 4), (1, "reference", "red", 5), (1, "chat_memory", "red", 6),
+            (2, "hybrid", "red", 1), (2, "reference", "red", 5), (2, "chat_memory", "blue", 6)} <= items
+    whole = [r["context_text"] for r in a.items.where("source = 'structured' AND context_text IS NOT NULL").collect()]
+    assert whole and all("part 0" in t and "part 1" in t for t in whole)
+    cited = {}
+    for r in a.citations.collect():
+        cited.setdefault(r["query_id"], []).append((r["id"], r["book"], r["pdf_page"]))
+    for rows in cited.values():
+        assert sorted(i for i, _, _ in rows) == list(range(1, len(rows) + 1)) and len({(b, p) for _, b, p in rows}) == len(rows)
+    prompt = {r["query_id"]: r["context"] for r in a.prompt.collect()}
+    assert prompt.keys() == {1, 2} and "blue page 3 part 0 about dragons\nblue page 3 part 1" in prompt[1]
+    usage = {r["query_id"]: r for r in a.usage.collect()}
+    assert usage[1]["structured"] >= 1 and usage[1]["reference"] >= 2 and usage[2]["navigation"] == 0
