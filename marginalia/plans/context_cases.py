@@ -169,9 +169,12 @@ def citation_numbering(spark, sf):
     return typed(numbered(spark, sf))
 
 
-@case("citation_relevance", sql(
+B.CTES["crel"] = (("cited", "questions"),
     f"WITH {_ASK} SELECT query_id, id, round(CASE WHEN q <> '' AND contains(hay, q) THEN 30.0 ELSE 0.0 END + coalesce(list_sum(list_transform(terms, lambda w: CASE WHEN length(w) = 0 THEN 0.0::DOUBLE WHEN contains(hay, w) THEN 12.0 "
-    f"ELSE {S.coverage('w', 'hay')} * 3.0 END)), 0.0), 6) AS relevance FROM (SELECT query_id, id, {S.nav('excerpt || chr(32) || reason')} AS hay FROM cited) JOIN asks USING (query_id)", "cited", "questions"))
+    f"ELSE {S.coverage('w', 'hay')} * 3.0 END)), 0.0), 6) AS relevance FROM (SELECT query_id, id, {S.nav('excerpt || chr(32) || reason')} AS hay FROM cited) JOIN asks USING (query_id)")
+
+
+@case("citation_relevance", sql("SELECT * FROM crel", "crel"))
 def citation_relevance(spark, sf):
     return typed(C.citation_relevance(numbered(spark, sf), _questions(spark, sf)).select("query_id", "id", "relevance"))
 
@@ -200,7 +203,19 @@ def collapse_citations(spark, sf):
     return C.collapse_citations(a).select("query_id", F.md5("answer").alias("digest"))
 
 
-@case("return_citations")
+def _bonus(values):
+    return "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " ELSE 0.0 END"
+
+
+@case("return_citations", sql(
+    f"WITH a AS (SELECT query_id, length(question) % 5 + 1 AS n, {S.any_of(S.norm_query('question'), B.LATIN_TABLE_TERMS)} AS tab FROM questions), "
+    "used AS (SELECT c.query_id, c.id, c.book, c.pdf_page, c.id - n AS o FROM cited c JOIN a USING (query_id) WHERE c.id IN (n, n + 2)), "
+    f"free AS (SELECT c.query_id, c.id, c.book, c.pdf_page, c.source, tab, round(coalesce(context_score, 0.0) + CASE WHEN tab THEN {_bonus(C.BONUS_TABLE)} ELSE {_bonus(C.BONUS_GENERAL)} END + relevance, 6) AS score "
+    f"FROM cited c JOIN a USING (query_id) JOIN crel USING (query_id, id) ANTI JOIN used USING (query_id, id) WHERE tab OR (c.source <> 'hybrid' AND relevance >= {C.MIN_RELEVANCE})), "
+    "b AS (SELECT *, (tab AND source <> 'structured')::INT AS o1, row_number() OVER (PARTITION BY query_id, book ORDER BY (tab AND source <> 'structured')::INT, score DESC, id) AS b FROM free), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (tab AND (b > 1 OR EXISTS (SELECT 1 FROM used u WHERE u.query_id = b.query_id AND u.book = b.book)))::INT, o1, score DESC, id) AS n FROM b), "
+    f"al AS (SELECT query_id, id, book, pdf_page, true AS used_in_answer, 0 AS part, o FROM used UNION ALL SELECT query_id, id, book, pdf_page, false, 1, n FROM r WHERE n <= CASE WHEN tab THEN {C.TABLE_EXTRA} ELSE {C.GENERAL_EXTRA} END) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY part, o) AS position, id, book, pdf_page, used_in_answer FROM al", "cited", "crel", "questions"))
 def return_citations(spark, sf):
     out = C.return_citations(_answers(spark, sf), numbered(spark, sf), _questions(spark, sf), B.LATIN_TABLE_TERMS)
     return typed(out.select("query_id", "position", "id", "book", "pdf_page", "used_in_answer"))
