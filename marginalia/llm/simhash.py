@@ -112,7 +112,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     if distance > 2:
         raise ValueError("two segments with one free bit find at most two differing bits")
     found = []
-    rows, width = distinct.select("fp", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("low")), 64
+    tasks = common.fan_out(distinct.sparkSession)  # a row grows to 66 signatures, so the few bytes of the rows are dealt over all tasks
+    rows, width = distinct.select("fp", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("low")).repartition(tasks, "fp"), 64
     while True:
         halves = range(0, 64, width) if width < 64 else [0]
         made = None
@@ -129,7 +130,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         found.append(_forest(lists, distance))
         if last or size.where(F.col("n") > BUCKET).limit(1).count() == 0:
             break
-        rows = written(many.where(F.col("n") > BUCKET).select("fp", "key", "low"), "large")
+        rows = written(many.where(F.col("n") > BUCKET).select("fp", "key", "low"), "large").repartition(tasks, "fp", "key")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
