@@ -49,9 +49,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near-duplicates stays, in one row."""
+    """The document with the smallest doc_id of every group of near-duplicates stays, in one row.
+
+    Where a group has no doc_id at all, documents without one stay, one of each text.
+    """
     first = simhash.near_duplicates(docs).select(F.col("component_id").alias("_first")).distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id", "_h")
+    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_h"))).orderBy("_h")
     kept = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
