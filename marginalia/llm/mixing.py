@@ -74,11 +74,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), epochs: int = 3, se
     last = upto.join(goal, upto["source"].eqNullSafe(goal["source"])).where("_before < _more").groupBy(upto["source"].alias("_s")).agg(F.max("_slice").alias("_last"))
     goal = goal.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
     goal = goal.select(F.col("source").alias("_src"), "source_size", "target", "_whole", "_more", "_end", "_before", "_last")
-    joined = rows.join(goal, F.col("source").eqNullSafe(F.col("_src")))
-    cut = F.col("_slice").eqNullSafe(F.col("_end"))
-    easy = joined.where(~cut).withColumn("_extra", F.when(F.col("_slice") <= F.col("_last"), F.col("size")).otherwise(0))
+    same = F.col("source").eqNullSafe(F.col("_src"))
+    ends_here = F.col("_slice").eqNullSafe(F.col("_end"))
+    easy = rows.join(goal, same).where(~ends_here).withColumn("_extra", F.when(F.col("_slice") <= F.col("_last"), F.col("size")).otherwise(0))
+    # the slice is part of the join, so the window of a hot source gets the rows of one slice and no more
     inside = Window.partitionBy("source").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_more") - F.col("_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    hard = joined.where(cut).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    hard = rows.join(goal.where(F.col("_end").isNotNull()), same & (F.col("_slice") == F.col("_end"))).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("bigint")
     return easy.unionByName(hard).select("doc_id", "size", "source_size", "target", taken.alias("taken"), *carry)
