@@ -55,9 +55,27 @@ class _Model:
         self.frequency = f.astype(_U)
         self.until = np.concatenate([[0], np.cumsum(f)])
         self.start, self.total = self.until.astype(_U), _U(int(self.until[-1]))
+        self.near = None  # made when a decoder asks
         share = f * 4096 // int(self.until[-1])
         self.often = np.minimum(np.frexp((share + 1).astype(np.float64))[1] - 1, 7).astype(np.int16)
 
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Ids whose ranges hold the values: a coarse table, then a search between two of its entries."""
+        if self.near is None:
+            self.shift = max(0, int(self.total).bit_length() - 16)
+            marks = np.arange((int(self.total) >> self.shift) + 2) << self.shift
+            self.near = np.searchsorted(self.until, marks, "right") - 1
+        place = value >> self.shift
+        low, high = self.near[place], np.minimum(self.near[place + 1], self.size - 1)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_] + 1) // 2
+            up = self.until[middle] <= value[open_]
+            low[open_] = np.where(up, middle, low[open_])
+            high[open_] = np.where(up, high[open_], middle - 1)
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
     def _mix(self) -> None:
         best = min(self.error)
         weight = [max(1, (best << 16) ** 4 // e**4 >> 48) for e in self.error]
@@ -97,6 +115,19 @@ class _Model:
             self.due = self.steps + 1 + self.steps // 8
 
 
+def _due(low: np.ndarray, span: np.ndarray, todo: np.ndarray) -> np.ndarray:
+    """Of some lanes, those whose top word is settled, or whose span is too short and is cut at the next border so that it is settled."""
+    whole = len(todo) == len(low)
+    x, y = (low, span) if whole else (low[todo], span[todo])
+    settled = (x ^ (x + y)) < _U(1 << 48)
+    short = np.flatnonzero(~settled & (y < _U(1 << 40)))
+    if len(short):
+        at = todo[short]
+        span[at] = (-low[at].astype(np.int64)).astype(_U) & _U((1 << 40) - 1)
+        settled[short] = True
+    return todo[settled]
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """A self-contained block: header, words per lane, words."""
     n = len(ids)
@@ -129,19 +160,13 @@ def encode_block(ids: np.ndarray) -> bytes:
             step = s[at] // model.total
             l[at] += model.start[which] * step
             s[at] = step * model.frequency[which]
-        todo = np.arange(active)
-        while True:
-            x, y = l[todo], s[todo]
-            same = (x ^ (x + y)) < _U(1 << 48)
-            short = ~same & (y < _U(1 << 40))
-            y = np.where(short, (-x.astype(np.int64)).astype(_U) & _U((1 << 40) - 1), y)
-            go = same | short
-            todo, x, y = todo[go], x[go], y[go]
-            if not len(todo):
-                break
+        todo = _due(l, s, np.arange(active))
+        while len(todo):
+            x = l[todo]
             out_lane.append(todo.astype(np.uint16))
             out_word.append((x >> _U(48)).astype(np.uint16))
-            l[todo], s[todo] = x << _U(16), y << _U(16)
+            l[todo], s[todo] = x << _U(16), s[todo] << _U(16)
+            todo = _due(l, s, todo)
         low[:active], span[:active] = l, s
         model.learn(slot, last[:active], a, b, cell, now)
         before[:active] = last[:active]
@@ -189,24 +214,18 @@ def decode_block(block: bytes) -> np.ndarray:
         if len(open_):
             step = s[open_] // model.total
             value = np.minimum((c[open_] - l[open_]) // step, model.total - _U(1)).astype(np.int64)
-            which = np.searchsorted(model.until, value, "right") - 1
+            which = model.find(value)
             now[open_] = which
             l[open_] += model.start[which] * step
             s[open_] = step * model.frequency[which]
-        c, todo = c.copy(), np.arange(active)
-        while True:
-            x, y = l[todo], s[todo]
-            same = (x ^ (x + y)) < _U(1 << 48)
-            short = ~same & (y < _U(1 << 40))
-            y = np.where(short, (-x.astype(np.int64)).astype(_U) & _U((1 << 40) - 1), y)
-            go = same | short
-            todo, x, y = todo[go], x[go], y[go]
-            if not len(todo):
-                break
-            l[todo], s[todo] = x << _U(16), y << _U(16)
+        c = c.copy()
+        todo = _due(l, s, np.arange(active))
+        while len(todo):
+            l[todo], s[todo] = l[todo] << _U(16), s[todo] << _U(16)
             p = at[todo]
             c[todo] = c[todo] << _U(16) | np.where(p < ends[todo], word[np.minimum(p, words)], _U(0))
             at[todo] = p + 1
+            todo = _due(l, s, todo)
         low[:active], span[:active], code[:active] = l, s, c
         model.learn(slot, last[:active], a, b, cell, now)
         before[:active] = last[:active]

@@ -29,9 +29,9 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """``encode(text)``: packed little-endian 32-bit ids. The cache holds at most ``limit`` chunks."""
+    """``encode(text)``: packed little-endian 32-bit ids. Its caches hold at most twice ``limit`` chunks and parts of chunks."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
         import regex
@@ -48,33 +48,49 @@ class Encoder:
         for c in (chr(i) for i in some if not 0xD800 <= i < 0xE000):
             spelt.update(zip(c.encode(), letters.pre_tokenize_str(c)[0][0]))
         self.letters = spelt
-        self.limit = limit
-        outer = self
-
-        class Cache(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= outer.limit:
+        class Kept(dict):
+            """Two generations: what is asked for again lives on, the rest goes when the younger one is full."""
+
+            def __init__(self, make):
+                self.make, self.old = make, {}
+
+            def __missing__(self, key: str) -> bytes:
+                got = self.old.get(key)
+                if got is None:
+                    got = self.make(key)
+                if len(self) >= limit:
+                    self.old = dict(self)
                     self.clear()
-                got = self[chunk] = outer.chunk(chunk)
+                self[key] = got
                 return got
 
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                if len(self) >= outer.limit:
-                    self.clear()
-                spelt = part.encode().decode("latin-1").translate(outer.letters)
-                got = self[part] = array("I", [t.id for t in outer.tokenizer.model.tokenize(spelt)]).tobytes()
-                return got
-
-        self.cache, self.parts = Cache(), Parts()
+        self.parts = Kept(self.part)
+        self.cache = Kept(self.chunk)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def part(self, part: str) -> bytes:
+        """Ids of a part of a chunk, by the library's merges."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        elif not part.isalpha():  # ASCII letters are spelt as themselves
+            part = part.translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk by the library's merges, each part of the chunk once."""
+        """Ids of a chunk from those of its parts."""
         if not self.spaced:
-            chunk = chunk.lower() if chunk.isascii() else self.tokenizer.normalizer.normalize_str(chunk)
+            # Latin letters are composed and have simple lower case; anything else goes through the library
+            chunk = chunk.lower() if chunk.isascii() or max(chunk) < "\u0250" else self.tokenizer.normalizer.normalize_str(chunk)
+            if chunk.isalpha():
+                return self.parts[chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                return self.parts[chunk[:-1]] + self.parts[chunk[-1]]
+        elif chunk[1:].isalpha() and chunk[0] == " ":
+            return self.parts[chunk]
+        elif chunk[1:-1].isalpha() and chunk[0] == " " and chunk[-1] in ".,":
+            return self.parts[chunk[:-1]] + self.parts[chunk[-1]]
         return b"".join(map(self.parts.__getitem__, self.cut.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
