@@ -49,13 +49,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near-duplicates stays, in one row.
+    """One row of every group of near-duplicates stays: that of the smallest doc_id (a null one after all others), then of the smallest text hash.
 
-    Where a group has no doc_id at all, documents without one stay, one of each text.
+    Groups are told apart by their root, not by doc_id: a doc_id that names texts of several groups stays once in each where it is the
+    smallest, and a group without any doc_id keeps one row.
     """
-    first = simhash.near_duplicates(docs).select(F.col("component_id").alias("_first")).distinct()
-    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_h"))).orderBy("_h")
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    grouped = simhash.near_duplicates(hashed, carry=("_h",))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h")))
+    first = grouped.groupBy("_root").agg(least.alias("_m")).select(F.col("_m.id").alias("_id"), F.col("_m.h").alias("_first"))
+    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first")), "left_semi")
+    once = Window.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +47,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return fold(np.fromiter((digest(b" ".join(g), 42) for g in zip(*(w[i:] for i in range(words)))), np.uint64, len(w) - words + 1))
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a signed 64-bit number. Null or blank text: 0."""
+def fingerprints(docs: DataFrame, words: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (doc_id, fp, and the carried columns): the fingerprint as a signed 64-bit number. Null or blank text: 0."""
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            own = [batch.column(c) for c in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64), pa.int64()), *own], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry).mapInArrow(run, f"doc_id bigint, fp bigint{kinds}")
 
 
 def _variants(rows: DataFrame, low: int, width: int) -> DataFrame:
@@ -137,17 +139,17 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """Rows (doc_id, fp, component_id) of all documents.
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (doc_id, fp, component_id) of all documents; with ``carry``, also _root, which names the group even where no doc_id does, and the carried columns.
 
     component_id is the smallest doc_id that links of at most ``distance`` differing bits reach (null if all of them are null). Equal
     fingerprints, those of blank and null texts too, are one class from the start, so copies never make pairs. Repeated rows stay
-    rows; an empty table gives no rows; columns besides doc_id and text are left out.
+    rows; an empty table gives no rows; columns besides doc_id, text and the carried ones are left out.
     """
-    marked = written(fingerprints(docs, words), "fingerprints")
+    marked = written(fingerprints(docs, words, carry), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = common.components(links(classes, distance)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", F.col("root").alias("_root"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", *(("_root", *carry) if carry else ()))

@@ -404,3 +404,14 @@ def test_pipeline_stages(spark, docs, none):
     for _, stage in corpus_pipeline.STAGES:
         left = spark.createDataFrame(stage(spark, left, "").collect(), stage(spark, left, "").schema)
     assert left.count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (sentence(rng, 90) for _ in range(5))
+    # 1 names two texts and 2 copies one of them; 3 and a null id share one; copies without any id; one alone
+    rows = [(1, a), (1, b), (2, b), (3, c), (None, c), (None, d), (None, "  " + d), (None, d), (None, e), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    assert len({simhash.fingerprint(t) for t in (a, b, c, d, e)}) == 5 and simhash.fingerprint(d) == simhash.fingerprint("  " + d)
+    got = Counter((r["doc_id"], r["text"].strip()) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == Counter([(1, a), (1, b), (3, c), (None, d), (None, e)])
