@@ -191,6 +191,15 @@ def _unplanes(packed: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _part_planes(part: np.ndarray) -> bytes:
+    """Nothing where all parts are 0."""
+    return _planes(part, 8) if part.any() else b""
+
+
+def _parts(packed: bytes, n: int) -> np.ndarray:
+    return _unplanes(packed, 8).astype(np.int64) if packed else np.zeros(n, np.int64)
+
+
 def _leaders(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by anchor, surroundings and document; where anchors and classes of equal surroundings begin in it."""
     order = np.lexsort((d, c, h))
@@ -200,9 +209,9 @@ def _leaders(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _marked(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Rows (_doc, _part, _data, and the carried columns): documents as bytes. _part is 0, and a hash of the text where a doc_id names several texts."""
+    """Rows (_doc, _part, _data, and the carried columns): documents as bytes. _part is 0, and a 64-bit hash of the text where a doc_id names several texts."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), *carry)
-    tag = F.shiftrightunsigned(F.xxhash64("_text"), 40)
+    tag = F.xxhash64("_text")
     several = written(rows.groupBy("_doc").agg(F.min(tag).alias("a"), F.max(tag).alias("b")).where("a < b").select("_doc"), "several")
     if several.isEmpty():
         return rows.select("_doc", F.lit(0).cast("bigint").alias("_part"), F.col("_text").cast("binary").alias("_data"), *carry)
@@ -230,37 +239,38 @@ def _anchored(marked: DataFrame, buckets: int) -> DataFrame:
     """Rows (kind, bucket, payload): anchors by bucket (0), and strings that an earlier document of the same chunk repeats (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int]] = []
+        held: list[tuple[bytes, int, int, int]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(t for t, _, _ in held), np.uint8)
-            ends = np.cumsum([len(t) for t, _, _ in held])
+            data = np.frombuffer(b"".join(t for t, _, _, _ in held), np.uint8)
+            ends = np.cumsum([len(t) for t, _, _, _ in held])
             first, count, h, c = anchors(data, ends)
             text = np.searchsorted(ends, first, "right")
-            doc = np.array([d for _, d, _ in held], np.int64)[text]
-            base = np.array([b for _, _, b in held], np.int64)[text]
+            doc = np.array([d for _, d, _, _ in held], np.int64)[text]
+            part = np.array([p for _, _, p, _ in held], np.int64)[text]
+            base = np.array([b for _, _, _, b in held], np.int64)[text]
             where = (base + first - np.concatenate([[0], ends])[text]).astype(np.uint64) << np.uint64(5) | (count - 1).astype(np.uint64)
-            out: list[tuple[int, int, bytes, bytes, bytes, bytes]] = []
+            out: list[tuple[int, int, bytes, bytes, bytes, bytes, bytes]] = []
             if len(h):
                 bucket = (h >> np.uint64(48)) % np.uint64(buckets)
                 h = (h >> np.uint64(4)) & np.uint64((1 << 40) - 1)
                 c = c >> np.uint64(16)
                 order, _, new_c = _leaders(h, c, doc)
-                doc, where, h, c, bucket = doc[order], where[order], h[order], c[order], bucket[order]
+                doc, part, where, h, c, bucket = doc[order], part[order], where[order], h[order], c[order], bucket[order]
                 later = doc > doc[new_c][np.cumsum(new_c) - 1]
-                out.append((1, 0, b"", b"", _planes(doc[later], 8), _planes(where[later], 8)))
-                doc, where, h, c, bucket = doc[~later], where[~later], h[~later], c[~later], bucket[~later]
+                out.append((1, 0, b"", b"", _planes(doc[later], 8), _part_planes(part[later]), _planes(where[later], 8)))
+                doc, part, where, h, c, bucket = doc[~later], part[~later], where[~later], h[~later], c[~later], bucket[~later]
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                     i = order[cuts[b] : cuts[b + 1]]
-                    out.append((0, int(b), _planes(h[i], 5), _planes(c[i], 6), _planes(doc[i], 8), _planes(where[i], 8)))
+                    out.append((0, int(b), _planes(h[i], 5), _planes(c[i], 6), _planes(doc[i], 8), _part_planes(part[i]), _planes(where[i], 8)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        names = ["kind", "bucket", "h", "c", "doc", "at"]
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        names = ["kind", "bucket", "h", "c", "doc", "part", "at"]
         for batch in batches:
             for doc, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = data.as_py()
@@ -269,72 +279,72 @@ def _anchored(marked: DataFrame, buckets: int) -> DataFrame:
                     if size and size + len(piece) > CHUNK:
                         yield flush()
                         size = 0
-                    held.append((piece, doc, (part << 34) + s))
+                    held.append((piece, doc, part, s))
                     size += len(piece)
         if held:
             yield flush()
 
-    return marked.mapInArrow(run, "kind int, bucket int, h binary, c binary, doc binary, at binary")
+    return marked.mapInArrow(run, "kind int, bucket int, h binary, c binary, doc binary, part binary, at binary")
 
 
-_FOUND = "kind int, doc bigint, at bigint, h bigint"
+_FOUND = "kind int, doc bigint, part bigint, at bigint, h bigint"
 
 
 def _met(payloads: DataFrame, buckets: int) -> DataFrame:
-    """Anchors that meet: rows (kind, doc, at, h). Kind 1: strings of equal surroundings in a smaller document, decided. Kind 2: the
+    """Anchors that meet: rows (kind, doc, part, at, h). Kind 1: strings of equal surroundings in a smaller document, decided. Kind 2: the
     first of each class of surroundings, where a smaller document has the anchor in others, to be compared byte by byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes, bytes, bytes]] = []
         now = -1
 
-        def rows(kind: int, doc: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, doc: np.ndarray, part: np.ndarray | None, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
             for s in range(0, len(doc), 1 << 16):
                 e = s + (1 << 16)
                 n = len(doc[s:e])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc[s:e].astype(np.int64)), pa.array(at[s:e].astype(np.int64)), pa.array(h[s:e].astype(np.int64))], names=["kind", "doc", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.zeros(n, np.int64) if x is None else x[s:e].astype(np.int64)) for x in (doc, part, at, h))], names=["kind", "doc", "part", "at", "h"])
 
         def meet() -> Iterator[pa.RecordBatch]:
-            h, c, doc, at = (np.concatenate([_unplanes(p[k], w) for p in held]) for k, w in enumerate((5, 6, 8, 8)))
+            h, c, doc, at = (np.concatenate([_unplanes(p[k], w) for p in held]) for k, w in ((0, 5), (1, 6), (2, 8), (4, 8)))
             doc = doc.astype(np.int64)
+            part = np.concatenate([_parts(p[3], len(p[2]) // 8) for p in held]) if any(p[3] for p in held) else None
             order, new_h, new_c = _leaders(h, c, doc)
-            h, doc, at = h[order], doc[order], at[order]
+            h, doc, part, at = h[order], doc[order], None if part is None else part[order], at[order]
             class_of = np.cumsum(new_c) - 1
             least = doc[new_c]
             later = doc > least[class_of]
-            yield from rows(1, doc[later], at[later], h[later])
+            yield from rows(1, doc[later], None if part is None else part[later], at[later], h[later])
             heads = np.flatnonzero(new_h[new_c])
             several = np.repeat(np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads), np.diff(np.concatenate([heads, [len(least)]])))
             ask = several[class_of] & ~later
-            yield from rows(2, doc[ask], at[ask], h[ask] | np.uint64(now % (1 << 23)) << np.uint64(40))
+            yield from rows(2, doc[ask], None if part is None else part[ask], at[ask], h[ask] | np.uint64(now % (1 << 23)) << np.uint64(40))
 
         for batch in batches:
-            for kind, bucket, h, c, doc, at in zip(*(col.to_pylist() for col in batch.columns)):
+            for kind, bucket, h, c, doc, part, at in zip(*(col.to_pylist() for col in batch.columns)):
                 if kind == 1:
                     d = _unplanes(doc, 8).astype(np.int64)
-                    yield from rows(1, d, _unplanes(at, 8), np.zeros(len(d), np.uint64))
+                    yield from rows(1, d, _parts(part, len(d)), _unplanes(at, 8), np.zeros(len(d), np.uint64))
                     continue
                 if bucket != now and held:
                     yield from meet()
                     held.clear()
                 now = bucket
-                held.append((h, c, doc, at))
+                held.append((h, c, doc, part, at))
         if held:
             yield from meet()
 
     spread = F.when(F.col("kind") == 1, F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     dealt = payloads.withColumn("deal", spread).repartition(common.fan_out(payloads.sparkSession), "deal").sortWithinPartitions("kind", "bucket")
-    return dealt.select("kind", "bucket", "h", "c", "doc", "at").mapInArrow(run, _FOUND)
+    return dealt.select("kind", "bucket", "h", "c", "doc", "part", "at").mapInArrow(run, _FOUND)
 
 
 def _places(found: DataFrame, kind: int) -> DataFrame:
     """Per document and part, its places of one kind."""
-    at = F.struct(F.col("at").bitwiseAND(F.lit((1 << 39) - 1)).alias("at"), "h")
-    return found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("_doc"), F.shiftright("at", 39).alias("_part")).agg(F.collect_list(at).alias("_at"))
+    return found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("at", "h")).alias("_at"))
 
 
 def _contexts(squeezed: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows (h, doc, at, data): the bytes of the strings that an anchor has in a document."""
+    """Rows (h, doc, part, at, data): the bytes of the strings that an anchor has in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -346,25 +356,25 @@ def _contexts(squeezed: DataFrame, places: DataFrame) -> DataFrame:
                 start, count = at >> 5, (at & 31) + 1
                 cut = [data[s : s + n + SPAN - 1] for s, n in zip(start.tolist(), count.tolist())]
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, doc.as_py())), pa.array(at | (part.as_py() << 39)), pa.array(cut, pa.binary())], names=["h", "doc", "at", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, part.as_py())), pa.array(at), pa.array(cut, pa.binary())], names=["h", "doc", "part", "at", "data"])
 
     joined = squeezed.join(places, ["_doc", "_part"]).select("_doc", "_part", "_data", "_at")
-    return joined.mapInArrow(run, "h bigint, doc bigint, at bigint, data binary")
+    return joined.mapInArrow(run, "h bigint, doc bigint, part bigint, at bigint, data binary")
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
     """Kind 1 rows for the strings of contexts that a smaller document has at the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         size = 0
 
         def compare(upto: int) -> pa.RecordBatch:
             """All held rows but the last ``upto`` (an anchor that may go on)."""
-            h, doc, at = (np.concatenate([x[k] for x in held]) for k in range(3))
-            texts = [t for x in held for t in x[3]]
-            held[:] = [(h[upto:], doc[upto:], at[upto:], texts[upto:])]
-            h, doc, at, texts = h[:upto], doc[:upto], at[:upto], texts[:upto]
+            h, doc, part, at = (np.concatenate([x[k] for x in held]) for k in range(4))
+            texts = [t for x in held for t in x[4]]
+            held[:] = [(h[upto:], doc[upto:], part[upto:], at[upto:], texts[upto:])]
+            h, doc, part, at, texts = h[:upto], doc[:upto], part[:upto], at[:upto], texts[:upto]
             data = np.frombuffer(b"".join(texts), np.uint8)
             lengths = np.fromiter(map(len, texts), np.int64, upto)
             begin = np.cumsum(lengths) - lengths
@@ -382,11 +392,11 @@ def _compared(contexts: DataFrame) -> DataFrame:
             brk = np.flatnonzero(gone[1:] & gone[:-1] & (row[1:] != row[:-1])) + 1
             s, e = np.sort(np.concatenate([np.flatnonzero(edge == 1), brk])), np.sort(np.concatenate([np.flatnonzero(edge == -1), brk]))
             where = ((at[row[s]] >> 5) + inner[s]) << 5 | (e - s - 1)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), 1, np.int32)), pa.array(doc[row[s]]), pa.array(where), pa.array(np.zeros(len(s), np.int64))], names=["kind", "doc", "at", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(s), 1, np.int32)), pa.array(doc[row[s]]), pa.array(part[row[s]]), pa.array(where), pa.array(np.zeros(len(s), np.int64))], names=["kind", "doc", "part", "at", "h"])
 
         for batch in batches:
-            h, doc, at = (batch.column(k).to_numpy() for k in range(3))
-            held.append((h, doc, at, batch.column(3).to_pylist()))
+            h, doc, part, at = (batch.column(k).to_numpy() for k in range(4))
+            held.append((h, doc, part, at, batch.column(4).to_pylist()))
             size += len(h)
             if size >= 1 << 15:
                 last = len(np.concatenate([x[0] for x in held])) - int(sum((x[0] == h[-1]).sum() for x in held))

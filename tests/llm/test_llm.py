@@ -311,6 +311,20 @@ def test_substrings_of_few_letters(spark):
     assert got == brute_removed(list(enumerate(texts)))
 
 
+def test_substrings_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(21)
+    seen, pair = {}, None
+    for passage in (sentence(rng, 40) for _ in range(100_000)):  # two texts without an id whose 64-bit hashes share their upper 24 bits
+        mate = seen.setdefault(xxhash.xxh64_intdigest(passage.encode(), 42) >> 40, passage)
+        if mate != passage:
+            pair = mate, passage
+            break
+    a, b = pair
+    rows = [(None, a), (None, b), (1, "x" + a[20:140]), (2, "y" + a[60:120] + b[100:180]), (2, sentence(rng, 30) + a[30:100])]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == brute_removed(rows)
+
+
 def test_suffix_order_sorts_within_groups():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
