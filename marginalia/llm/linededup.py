@@ -80,7 +80,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     seen = written(ranged.withColumn("first", first), "lines")
     # Blocks hold different ids, so first occurrences add up; rows without an id lie in many blocks and count once.
     counts = seen.groupBy("h", "g").agg(F.count_if(F.col("first") & F.col("doc").isNotNull()).alias("n"), F.max(F.col("doc").isNull().cast("int")).alias("bare"), F.max("doc").alias("stays"))
-    common = counts.where(F.col("n") + F.col("bare") >= min_docs).select("h", "g", "stays")
+    common = written(counts.where(F.col("n") + F.col("bare") >= min_docs).select("h", "g", "stays"), "common")  # so that a line that is everywhere can be split in the join
     gone = seen.join(common, ["h", "g"]).where(~F.col("doc").eqNullSafe(F.col("stays")))
 
     # Kept lines before a dropped one: its position less the number of dropped ones before it. Equal within a run.
