@@ -19,6 +19,8 @@ SLICE = 4096
 JOINED = 4096
 #: Components of at most this weight (turns of all their conversations) are taken apart inside a task.
 PIECE = 1 << 16
+#: Nodes of whole small components that a task takes apart together.
+BATCH = 4096
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def subtree_sums(nodes: DataFrame, members: DataFrame, weights: Sequence[str], p
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:2] != held[0][:2] and len(held) >= 4096:
+                if len(held) >= BATCH and row[:2] != held[-1][:2]:
                     yield result()
                     held = []
                 held.append(row)

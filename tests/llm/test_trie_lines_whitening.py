@@ -64,6 +64,7 @@ def test_trie(spark, turns, monkeypatch):
     assert trie_rows(convtrie.conversation_trie(df)) == want
     monkeypatch.setattr(convtrie, "SLICE", 4)
     monkeypatch.setattr(convtrie, "JOINED", 4)
+    monkeypatch.setattr(convtrie, "BATCH", 3)
     assert trie_rows(convtrie.conversation_trie(df, piece=40)) == want  # components split over several levels by Spark
     assert convtrie.conversation_trie(df.where("false")).count() == 0
     assert convtrie.conversation_trie(df.where("conv_id IS NULL")).count() == 0
