@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import inverted
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
-from marginalia.session import scratch_dir
+from marginalia.session import written
 
 # --- Fixed values: fusion and table-search weights ---
 RRF_K = 60.0
@@ -86,27 +87,13 @@ def packed_grams(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int]) ->
 
 
 def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """The n-gram index as a written table, one row per document: its grams and their counts.
-
-    Document frequencies, norms and scores read it, so it is built once.
-    """
-    path = scratch_dir(docs.sparkSession, "postings")
-    flat = F.regexp_replace(F.lower("text"), f"{T.WS}{{2,}}", " ")
-    placed = spread(docs.select(*keys, "text"), *keys).withColumn("text", flat)
-    packed_grams(placed, keys, sizes).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
-def _flat(index: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return index.select(*keys, F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("tfs").alias("tf"))))
+    """The n-gram index of the documents' texts, see ``inverted.postings``; frequencies, norms and scores read it, so it is built once."""
+    return inverted.postings(docs, keys, sizes)
 
 
 def tfidf_fit(index: DataFrame) -> DataFrame:
     """Document frequency and smoothed inverse document frequency per gram of a ``postings`` table."""
-    n = index.agg(F.count(F.lit(1))).scalar()
-    return index.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0
-    )
+    return inverted.frequencies(index)
 
 
 def lexical_search(
@@ -116,21 +103,16 @@ def lexical_search(
     keys: Sequence[str] = KEY,
     ask: Sequence[str] = ASK,
     index: DataFrame | None = None,
-    block_rows: int = 4_000,
-    query_rows: int = 500,
 ) -> DataFrame:
     """Top ``k`` documents per query by TF-IDF cosine over character n-grams.
 
-    Query grams unknown to the documents are dropped before the query norm, and a ``books``
-    allow-list applies before the cut. Documents and queries are hashed into blocks of
-    bounded size; each block pair is one sparse product inside a task, and only the ``k``
-    best per query leave it. A gram that occurs everywhere therefore never becomes a hot
-    join key, and the table of all scored pairs is never built.
+    Query grams unknown to the documents are dropped before the query norm, and a ``books`` allow-list applies before the cut. The search runs
+    over the inverted index (``inverted.best_documents``): only lists of asked grams are read, idf meets grams and not their
+    occurrences, and the table of all scored pairs is never built.
     """
     index = postings(docs, keys) if index is None else index
-    idf = tfidf_fit(index).select("gram", "idf")
+    idf = written(tfidf_fit(index).select("gram", "idf"), "idf")
     weight = F.col("tf") * F.col("idf")
-    norms = _flat(index, keys).join(idf, "gram").groupBy(*keys).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     known = gram_counts(queries, ask, "query").join(idf, "gram")
     # idf enters once for the query and once for the document side of the product
     packed = known.groupBy(*ask).agg(
@@ -140,9 +122,8 @@ def lexical_search(
     books = queries.select(*ask, "books") if "books" in queries.columns else queries.select(
         *ask, F.lit(None).cast("array<string>").alias("books"))
     wanted = packed.join(books, list(ask)).select(
-        *ask, "books", "norm", F.lit(0.0).alias("least"), F.col("_g.gram").alias("grams"), F.col("_g.w").alias("ws"))
-    sizes = (index.count(), queries.count())  # file counts; the joined tables are not evaluated for them
-    near = _blocked(index.join(norms, list(keys)), wanted, keys, ask, k, sizes, block_rows, query_rows)
+        *ask, "books", F.col("_g.gram").alias("grams"), F.transform("_g.w", lambda w: w / F.col("norm")).alias("ws"))
+    near = inverted.best_documents(inverted.weighted(index, idf), wanted, keys, ask, k)
     return top_k(near, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
 
 

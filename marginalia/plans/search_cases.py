@@ -105,9 +105,8 @@ def lexical_search(spark, sf):
     f"row_number() OVER (PARTITION BY query_id, variant_no ORDER BY score DESC, {_KEY}) AS rank FROM kept) WHERE rank <= 100", "searchable", "variants"))
 def rank_positions(spark, sf):
     # odd questions carry an allow-list of books: ranks count what passes it
-    listed = B.table(spark, sf, "documents").select("source").where(F.col("source").endswith("1")).distinct().agg(
-        F.collect_set("source")).scalar()
-    q = variants(spark, sf).withColumn("books", F.when(F.col("query_id") % 2 == 1, listed))
+    listed = B.table(spark, sf, "documents").where(F.col("source").endswith("1")).agg(F.collect_set("source").alias("books"), F.lit(1).alias("odd"))
+    q = variants(spark, sf).drop("books").withColumn("odd", F.col("query_id") % 2).join(listed, "odd", "left").drop("odd")
     return typed(R.lexical_search(B.searchable(spark, sf), q).drop("score"))
 
 
