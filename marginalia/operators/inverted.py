@@ -1,7 +1,8 @@
 """Inverted index of character n-grams with the largest weight per block, and exact top-k search over it.
 
-A segment is a bounded number of documents; its postings are one row per gram. Search reads the lists of asked grams alone, sends every
-query once to each of a fixed number of stripes of segments, and skips segments whose largest weights cannot reach the k best so far.
+A segment is a bounded number of documents; its grams lie in a fixed number of buckets, one row each with the lists packed. Search takes
+the lists of asked grams alone, sends every query once to each of a fixed number of stripes of segments, and skips segments whose largest
+weights cannot reach the k best so far.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from marginalia.operators.ranking import spread
 from marginalia.session import written
 
 #: A segment ends with the document that brings it to so many characters or documents.
-SEGMENT_CHARS = 2_000_000
+SEGMENT_CHARS = 1_000_000
 SEGMENT_DOCS = 16_384
+#: Highest bits of a gram's number that choose its bucket: a row of a segment stays far below a megabyte.
+BUCKET_BITS = 8
 #: Queries that one task holds while segments stream by.
 QUERY_ROWS = 4_096
 
@@ -56,51 +59,58 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _segment(texts: list[str], sizes: Sequence[int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, ends, owners, tfs) of the postings of some texts, by gram and document."""
+def _segment(texts: list[str], sizes: Sequence[int]) -> tuple[np.ndarray, ...]:
+    """(buckets, grams, ends, owners, tfs) of the postings of some texts, by bucket, gram and document; ``ends`` close the lists."""
     encoded = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in texts]
-    codes = np.concatenate(encoded) if encoded else np.empty(0, "<u4")
-    starts = np.cumsum([0, *map(len, encoded)])
-    found: list[tuple[np.ndarray, ...]] = []
-    for i, own in enumerate(encoded):
-        for n in sizes:
-            ids, first, count = np.unique(_gram_ids(own, n), return_index=True, return_counts=True)
-            found.append((ids, first + starts[i], count, np.full(len(ids), i), np.full(len(ids), n)))
-    ids, first, tfs, owners, lengths = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int),) * 5
-    order = np.argsort(ids, kind="stable")
-    ids, owners, tfs = ids[order], owners[order], tfs[order]
-    ends = np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids))[: len(ids)]
-    heads = order[np.concatenate([[0], ends[:-1]])] if len(ids) else order
+    codes = np.concatenate([*encoded, np.empty(0, "<u4")])
+    owner = np.repeat(np.arange(len(encoded), dtype=np.int16), [len(e) for e in encoded])
+    places, ids, lengths = [], [], []
+    for n in sizes:
+        inside = np.flatnonzero(owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :])
+        places.append(inside)
+        ids.append(_gram_ids(codes, n)[inside])
+        lengths.append(np.full(len(inside), n, np.int8))
+    place, number, length = map(np.concatenate, (places, ids, lengths))
+    # Stable: within a gram the positions, and so the documents, keep their order.
+    order = np.argsort(number, kind="stable")
+    place, number = place[order], number[order]
+    new_gram = np.append(True, number[1:] != number[:-1])[: len(number)]
+    own = owner[place]
+    firsts = np.flatnonzero(new_gram | np.append(True, own[1:] != own[:-1])[: len(own)])
+    tfs = np.diff(np.append(firsts, len(number)))
+    heads = np.flatnonzero(new_gram)
+    ends = np.append(np.searchsorted(firsts, heads[1:]), len(firsts))[: len(heads)]
     grams = np.empty(len(heads), object)
+    length = length[order[heads]]
     for n in sizes:
-        mine = np.flatnonzero(lengths[heads] == n)
-        grams[mine] = _texts(codes, first[heads[mine]], n)
-    return grams.tolist(), ends, owners.astype(np.int16), tfs.astype(np.int32)
+        mine = np.flatnonzero(length == n)
+        grams[mine] = _texts(codes, place[heads[mine]], n)
+    return (number[heads] >> np.uint64(64 - BUCKET_BITS)).astype(int), grams, ends, own[firsts], tfs.astype(np.int32)
 
 
 def postings(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """Rows (segment, gram, owners, tfs, df) per segment and gram, and one row per segment without a gram, with its document keys.
+    """Rows (segment, bucket, grams, sizes, owners, tfs), and one per segment with bucket -1 and its document keys as ``docs``.
 
-    ``owners`` are document numbers within the segment as 16-bit integers, ``tfs`` counts as 32-bit integers. Written; nothing is counted twice.
+    ``sizes`` are lengths of the grams' lists; ``owners`` are document numbers within the segment as 16-bit integers, ``tfs`` counts as 32-bit
+    integers, list after list. Written; nothing is counted twice.
     """
     types = {f.name: f.dataType for f in docs.schema}
     key_type = t.ArrayType(t.StructType([t.StructField(k, types[k]) for k in keys]))
-    arrow_keys = pa.list_(pa.struct([pa.field(k, _arrow(types[k])) for k in keys]))
-    names, keys, sizes = ["segment", "gram", "owners", "tfs", "df", "docs"], list(keys), tuple(sizes)
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.struct([pa.field(k, _arrow(types[k])) for k in keys]))]
+    names, keys, gram_sizes = ["segment", "bucket", "grams", "sizes", "owners", "tfs", "docs"], list(keys), tuple(sizes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, chars, number = [], [], 0, TaskContext.get().partitionId() << 20
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            grams, ends, owners, tfs = _segment(texts, sizes)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), *[pa.array([None], x) for x in (pa.string(), pa.binary(), pa.binary())], pa.array([len(texts)], pa.int64()), pa.array([held], arrow_keys)], names=names)
-            for at in range(0, len(grams), 20_000):
-                part, low = ends[at : at + 20_000], ends[at - 1] if at else 0
-                upto = part[-1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), number)), pa.array(grams[at : at + 20_000], pa.string()), _binary(owners[low:upto], part - low), _binary(tfs[low:upto], part - low),
-                    pa.array(np.diff(np.concatenate([[low], part]))), pa.nulls(len(part), arrow_keys)], names=names)
+        def rows() -> pa.RecordBatch:
+            buckets, grams, ends, owners, tfs = _segment(texts, gram_sizes)
+            out = [(number, -1, None, None, None, None, held)]
+            cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
+            sizes = np.diff(ends, prepend=0)
+            for a, b in zip(cuts, np.append(cuts[1:], len(buckets))):
+                low, high = ends[a - 1] if a else 0, ends[b - 1]
+                out.append((number, buckets[a], grams[a:b], sizes[a:b], owners[low:high].tobytes(), tfs[low:high].tobytes(), None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in keys]
@@ -109,13 +119,13 @@ def postings(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int] = (2, 3,
                 texts.append(text or "")
                 chars += len(texts[-1])
                 if chars >= SEGMENT_CHARS or len(texts) >= SEGMENT_DOCS:
-                    yield from rows()
+                    yield rows()
                     held, texts, chars, number = [], [], 0, number + 1
         if texts:
-            yield from rows()
+            yield rows()
 
-    schema = t.StructType([t.StructField("segment", t.LongType()), t.StructField("gram", t.StringType()), t.StructField("owners", t.BinaryType()),
-                           t.StructField("tfs", t.BinaryType()), t.StructField("df", t.LongType()), t.StructField("docs", key_type)])
+    schema = t.StructType([t.StructField("segment", t.LongType()), t.StructField("bucket", t.IntegerType()), t.StructField("grams", t.ArrayType(t.StringType())),
+                           t.StructField("sizes", t.ArrayType(t.IntegerType())), t.StructField("owners", t.BinaryType()), t.StructField("tfs", t.BinaryType()), t.StructField("docs", key_type)])
     placed = spread(docs.select(*keys, F.col("text").alias("_t")), *keys).withColumn("_t", flat(F.col("_t")))
     return written(placed.mapInArrow(build, schema), "postings")
 
@@ -126,50 +136,52 @@ def _arrow(kind: t.DataType) -> pa.DataType:
 
 def frequencies(index: DataFrame) -> DataFrame:
     """Rows (gram, df, idf): document frequencies are added up over the segments, one row per segment and gram."""
-    counts = index.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("df").alias("df"))
-    n = index.where("gram IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).scalar()
+    counts = index.select(F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("sizes").alias("n")))).groupBy("gram").agg(F.sum("n").alias("df"))
+    n = index.where("bucket = -1").agg(F.coalesce(F.sum(F.size("docs")), F.lit(0))).scalar()
     return counts.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
 def weighted(index: DataFrame, idf: DataFrame) -> DataFrame:
-    """The index with a document norm per document and, per segment and gram, the largest tf / norm of a document.
+    """The index with a norm per document (``norms``, on rows with ``docs``) and per list the largest tf / norm of a document (``tops``).
 
-    idf meets one row per segment and gram; norms add up inside a segment, which is bounded.
+    idf meets one row per segment and gram and goes back as one array per row of the index; norms add up inside a segment, which is bounded.
     """
-    key_type = index.schema["docs"].dataType
+
+    columns = index.columns
 
     def one(rows: pa.Table) -> pa.Table:
-        head = rows.filter(pc.is_null(rows.column("gram")))
-        body = rows.filter(pc.is_valid(rows.column("gram")))
-        n = head.column("df")[0].as_py()
-        owners, tfs, counts = _lists(body)
-        squares = np.bincount(owners, weights=(tfs * np.repeat(body.column("idf").to_numpy(), counts)) ** 2, minlength=n)
-        norms = np.sqrt(squares)
-        starts = np.cumsum(counts) - counts
-        top = np.maximum.reduceat(tfs / norms[owners], starts) if len(counts) else np.empty(0)
-        lists = pa.array([norms.tolist()], pa.list_(pa.float64()))
-        return pa.table({
-            "segment": pa.concat_arrays([*head.column("segment").chunks, *body.column("segment").chunks]),
-            "gram": pa.concat_arrays([*head.column("gram").chunks, *body.column("gram").chunks]),
-            "owners": pa.concat_arrays([*head.column("owners").chunks, *body.column("owners").chunks]),
-            "tfs": pa.concat_arrays([*head.column("tfs").chunks, *body.column("tfs").chunks]),
-            "top": np.concatenate([[0.0], top]),
-            "docs": pa.concat_arrays([*head.column("docs").chunks, *body.column("docs").chunks]),
-            "norms": pa.concat_arrays([lists, pa.nulls(len(top), pa.list_(pa.float64()))]),
-        })
-
-    schema = t.StructType([*[index.schema[c] for c in ("segment", "gram", "owners", "tfs")], t.StructField("top", t.DoubleType()), t.StructField("docs", key_type),
-                           t.StructField("norms", t.ArrayType(t.DoubleType()))])
-    rows = index.join(idf.select("gram", "idf"), "gram", "left").select("segment", "gram", "owners", "tfs", "df", "docs", "idf")
-    return written(rows.groupBy("segment").applyInArrow(one, schema), "weighted")
+        rows = rows.sort_by("bucket")
+        body = rows.slice(1)
+        owners, tfs, sizes = _lists(body)
+        weights = tfs * np.repeat(body.column("idfs").combine_chunks().flatten().to_numpy(zero_copy_only=False), sizes)
+        norms = np.sqrt(np.bincount(owners, weights=weights**2, minlength=len(rows.column("docs")[0])))
+        tops = np.maximum.reduceat(tfs / norms[owners], np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
+        cuts = np.cumsum(pc.list_value_length(body.column("grams")).to_numpy(zero_copy_only=False))[:-1] if body.num_rows else []
+        lists = pa.list_(pa.float64())
+        more = {"tops": [None, *np.split(tops, cuts)] if body.num_rows else [None], "norms": [norms, *[None] * body.num_rows]}
+        return pa.table({**{c: rows.column(c) for c in columns}, **{c: pa.array(v, lists) for c, v in more.items()}})
+
+    schema = t.StructType([*index.schema, t.StructField("tops", t.ArrayType(t.DoubleType())), t.StructField("norms", t.ArrayType(t.DoubleType()))])
+    each = index.select("segment", "bucket", F.posexplode("grams").alias("pos", "gram")).join(idf.select("gram", "idf"), "gram")
+    idfs = each.groupBy("segment", "bucket").agg(F.sort_array(F.collect_list(F.struct("pos", "idf")))["idf"].alias("idfs"))
+    rows = index.join(idfs, ["segment", "bucket"], "left").select(*index.columns, "idfs")
+    return written(spread(rows, "segment").groupBy("segment").applyInArrow(one, schema), "weighted")
 
 
 def _lists(body: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owners, tfs, list sizes) of postings, lists one after the other."""
-    sizes = pc.binary_length(body.column("owners")).to_numpy() // 2
-    owners = np.frombuffer(b"".join(body.column("owners").to_pylist()), np.int16).astype(np.int64)
-    tfs = np.frombuffer(b"".join(body.column("tfs").to_pylist()), np.int32).astype(np.float64)
-    return owners, tfs, sizes
+    sizes = np.concatenate([np.empty(0, np.int64), *[c.flatten().to_numpy() for c in body.column("sizes").chunks]]).astype(np.int64)
+    return _bytes(body.column("owners"), np.int16).astype(np.int64), _bytes(body.column("tfs"), np.int32).astype(np.float64), sizes
+
+
+def _bytes(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of a binary column, one after the other."""
+    parts = [np.empty(0, kind)]
+    for c in column.chunks:
+        offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        if len(offsets) > 1:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind))
+    return np.concatenate(parts)
 
 
 def best_documents(index: DataFrame, queries: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int) -> DataFrame:
@@ -183,15 +195,13 @@ def best_documents(index: DataFrame, queries: DataFrame, keys: Sequence[str], as
     spark, keys, ask = index.sparkSession, list(keys), list(ask)
     stripes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.select(F.explode("grams").alias("gram")).distinct()
-    lists = index.where("gram IS NOT NULL").join(asked, "gram", "left_semi").unionByName(index.where("gram IS NULL"))
     stripe = F.pmod(F.shiftright("segment", 20) + F.col("segment").bitwiseAND(F.lit((1 << 20) - 1)), F.lit(stripes))
-    left = lists.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: (p + stripe * parts).cast("int"))).alias("place"))
+    left = index.withColumnRenamed("grams", "listed").select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: (p + stripe * parts).cast("int"))).alias("place"))
     mine = F.pmod(F.xxhash64(*ask), F.lit(parts))
     right = queries.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(stripes - 1)), lambda s: (s * parts + mine).cast("int"))).alias("place"))
     both = left.unionByName(right, allowMissingColumns=True)
-    # A query row has no segment, a segment's first row no gram: nulls sort first.
-    ordered = both.repartitionById(stripes * parts, "place").sortWithinPartitions("place", "segment", "gram")
+    # A query row has no segment (nulls sort first), a segment's first row bucket -1.
+    ordered = both.repartitionById(stripes * parts, "place").sortWithinPartitions("place", "segment", "bucket")
     types = {f.name: f.dataType for f in both.schema} | {f.name: f.dataType for f in index.schema["docs"].dataType.elementType}
     schema = t.StructType([*[t.StructField(c, types[c]) for c in (*ask, *keys)], t.StructField("score", t.DoubleType())])
 
@@ -249,15 +259,17 @@ class _Search:
 
     def add(self, rows: pa.Table) -> None:
         """One segment: its first row holds the document keys and norms, the others are lists."""
-        docs = rows.column("docs")[0]
+        docs = rows.column("docs")[0].as_py()
         norms = np.array(rows.column("norms")[0].as_py())
         body = rows.slice(1)
         owners, tfs, sizes = _lists(body)
         starts = np.cumsum(sizes) - sizes
         at = np.full(len(self.vocabulary) + 1, -1)
-        at[pc.index_in(body.column("gram"), self.vocabulary).to_numpy()] = np.arange(body.num_rows)
-        top = np.append(body.column("top").to_numpy(), 0.0)
-        books = np.array([d["book"].as_py() for d in docs], object) if any(self.books) else None
+        listed = pa.chunked_array([c.flatten() for c in body.column("listed").chunks], pa.string())
+        code = pc.fill_null(pc.index_in(listed, self.vocabulary), -1).to_numpy()
+        at[code[code >= 0]] = np.flatnonzero(code >= 0)
+        top = np.append(np.concatenate([np.empty(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in body.column("tops").chunks]]), 0.0)
+        books = np.array([d["book"] for d in docs], object) if any(self.books) else None
         for q, (codes, weights) in enumerate(zip(self.codes, self.weights)):
             lists, best = at[codes], self.best[q]
             if len(best) == self.k and (weights * top[lists]).sum() < -best[-1][0] - 1e-6:
@@ -274,7 +286,7 @@ class _Search:
             hit = np.flatnonzero((score > 0) & (score >= least))
             if len(hit) > self.k:
                 hit = hit[score[hit] >= -np.partition(-score[hit], self.k - 1)[self.k - 1]]
-            best += [(-score[i], *(docs[int(i)][c].as_py() for c in self.keys)) for i in hit]
+            best += [(-score[i], *(docs[i][c] for c in self.keys)) for i in hit]
             best.sort()
             del best[self.k :]
         self.kinds = [rows.schema.field("docs").type.value_type.field(c).type for c in self.keys]

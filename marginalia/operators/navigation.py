@@ -11,7 +11,8 @@ from marginalia.functions import text as T
 from marginalia.functions.match import char_tokens, sequence_ratio, sequence_ratio_at_least
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
-from marginalia.operators.retrieval import ASK, contained_terms
+from marginalia.operators.containment import contained_terms
+from marginalia.operators.retrieval import ASK
 
 # --- Fixed values: heading words, scan ranges, match scores and caps ---
 TOC_HEADINGS = "(?i)目次|もくじ|contents?"
@@ -288,7 +289,7 @@ def match_strings(
     """Best relation per (q, e) of distinct normalized strings: exact, either containment, fuzzy.
 
     ``fuzzy`` is (threshold, base, factor) for base + factor * ratio. Containment runs over
-    equi joins on leading characters; no pair table is built.
+    automata of the terms (``containment``); no pair table is built.
     """
     def rated(df: DataFrame, kind: str) -> DataFrame:
         return df.select("q", "e", F.lit(scores[kind][0]).alias("priority"), F.lit(scores[kind][1]).alias("score"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import inverted
+from marginalia.operators.containment import contained_terms
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
 from marginalia.session import written
@@ -276,35 +277,6 @@ def surviving_ranks(ranked: DataFrame, docs: DataFrame, ask: Sequence[str], keys
 
 # ---- definitions -------------------------------------------------------------------
 
-def _prefixes(docs: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Distinct substrings of 1 to ``width`` characters per document; rows are spread by key."""
-    chars = docs.select(*keys, F.split("text", "").alias("_cs"))
-    at = lambda i: F.get("_cs", F.col("_i") + i)
-    return (
-        chars.select(*keys, "_cs", F.posexplode("_cs").alias("_i", "_c"))
-        .select(*keys, F.explode(F.array(*[F.concat(*[at(j) for j in range(n + 1)]) for n in range(width)])).alias("anchor"))
-        .where(F.col("anchor").isNotNull())
-        .distinct()
-    )
-
-
-def contained_terms(docs: DataFrame, terms: DataFrame, term: str, keys: Sequence[str] = KEY, width: int = 4) -> DataFrame:
-    """(document, term) pairs where the text contains the term, without a cross join.
-
-    A term is anchored by the one of its substrings of ``width`` characters (or itself, if shorter) that the fewest documents hold;
-    documents meet it through an equi join on their own short substrings, and only those pairs are verified.
-    """
-    wanted = terms.select(term).where(F.length(term) > 0).distinct()
-    own = F.when(F.length(term) <= width, F.array(F.col(term))).otherwise(F.array_distinct(T.ngrams(F.col(term), width)))
-    grams = wanted.select(term, F.explode(own).alias("anchor"))
-    docs = spread(docs, *keys)
-    held = _prefixes(docs, keys, width)
-    df = held.join(grams.select("anchor").distinct(), "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("_df"))
-    anchored = keep_best(grams.join(df, "anchor"), [term], [F.col("_df"), F.col("anchor")]).select(term, "anchor")
-    pairs = held.join(anchored, "anchor").drop("anchor")
-    return docs.join(pairs, list(keys)).where(F.contains(F.col("text"), F.col(term)))
-
-
 def definition_search(
     docs: DataFrame,
     queries: DataFrame,
@@ -319,15 +291,11 @@ def definition_search(
     asked = queries.withColumn("term", T.norm_query(F.col("query"))).where(
         (F.length("term") > 0) & (F.length("term") <= max_chars) & ~F.col("term").rlike("[ 　]")
     )
-    text = F.col("text")
-    place = F.instr(text, F.concat(F.lit(brackets[0]), F.col("term"), F.lit(brackets[1]))) - 1
-    score = (
-        F.lit(1.0)
-        + F.when(place < 0, 0.0).when(place <= 100, 13.0).when(place <= 250, 12.0).when(place <= 500, 11.0).otherwise(10.0)
-        + T.count_contains(text, markers) * 0.75
-    )
-    hits = contained_terms(docs, asked, "term").join(weights.select("book", "authority"), "book", "left")
-    scored = hits.select(*KEY, "term", F.round(score * F.coalesce("authority", F.lit(1.0)), 6).alias("score"))
+    place = F.col("place")
+    bonus = F.when(place < 0, 0.0).when(place <= 100, 13.0).when(place <= 250, 12.0).when(place <= 500, 11.0).otherwise(10.0)
+    rated = docs.select(*KEY, (F.lit(1.0) + T.count_contains(F.col("text"), markers) * 0.75).alias("_base")).join(weights.select("book", "authority"), "book", "left")
+    hits = contained_terms(docs, asked, "term", KEY, brackets).join(rated, list(KEY))
+    scored = hits.select(*KEY, "term", F.round((F.col("_base") + bonus) * F.coalesce("authority", F.lit(1.0)), 6).alias("score"))
     matched = asked.join(scored, "term")
     if "books" in asked.columns:
         matched = matched.where(allowed(F.col("books"), F.col("book")))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import chat, citations, corpus, navigation, pagemap, retrieval
+from marginalia.operators import chat, citations, containment, corpus, inverted, navigation, pagemap, retrieval
 from marginalia.operators import context as X
 from marginalia.operators import corrections as K
 from marginalia.operators.ranking import longest_runs, positions
@@ -68,7 +69,7 @@ def test_lexical_search_matches_brute_force(spark):
         want[q] = [(d, -s) for s, d in scored if s < 0][:5]
     out = retrieval.lexical_search(
         spark.createDataFrame(docs, "book STRING, pdf_page INT, chunk INT, text STRING"),
-        spark.createDataFrame(asks, "query_id BIGINT, variant_no BIGINT, query STRING"), 5, block_rows=7)
+        spark.createDataFrame(asks, "query_id BIGINT, variant_no BIGINT, query STRING"), 5)
     got = {}
     for r in out.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.pdf_page, r.score))
@@ -76,6 +77,29 @@ def test_lexical_search_matches_brute_force(spark):
     assert all(abs(a[1] - b[1]) < 2e-6 for q in want for a, b in zip(got[q], want[q]))
 
 
+def test_inverted_index_skips_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gam\0ma", "日本", "索引語", "a", "😀", "  "]
+    docs = [(f"b{i % 3}", i, 0, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 40])))) for i in range(90)] + [("b9", 900, 0, None), ("b9", 901, 0, "alpha beta"), ("b9", 902, 0, "alpha beta")]
+    asks = [(q, 1, " ".join(rng.choices(words, k=6)), rng.choice([None, [], ["b1"], ["b0", "b9"]])) for q in range(30)] + [(50, 1, "zzzz", None), (51, 1, "", None)]
+    d = spark.createDataFrame(docs, "book STRING, pdf_page INT, chunk INT, text STRING").repartition(3)
+    a = spark.createDataFrame(asks, "query_id BIGINT, variant_no BIGINT, query STRING, books ARRAY<STRING>")
+
+    def found(k):
+        return sorted(map(tuple, retrieval.lexical_search(d, a, k).collect()))
+
+    whole = found(1000)
+    for limit, rows in ((200, 4096), (50, 7)):
+        monkeypatch.setattr(inverted, "SEGMENT_CHARS", limit)
+        monkeypatch.setattr(inverted, "QUERY_ROWS", rows)
+        assert found(1000) == whole
+        assert found(4) == [r for r in whole if r[-1] <= 4]
+    assert retrieval.lexical_search(d.where("false"), a, 3).count() == 0 == retrieval.lexical_search(d, a.where("false"), 3).count()
+    index = inverted.postings(d, retrieval.KEY)
+    df = Counter(g for *_, text in docs for t in [re.sub(r"\s{2,}", " ", (text or "").lower())] for g in {t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)})
+    assert {r["gram"]: r["df"] for r in inverted.frequencies(index).collect()} == df
+
+
 def test_vector_search_in_blocks(spark):
     rng = np.random.default_rng(3)
     v, q = rng.normal(size=(50, 8)).astype("float32"), rng.normal(size=(5, 8)).astype("float32")
@@ -103,10 +127,22 @@ def test_contained_terms_match_brute_force(spark):
     rng = random.Random(5)
     docs = [(i, "".join(rng.choices("abc", k=20))) for i in range(20)]
     terms = sorted({"".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(40)})
-    out = retrieval.contained_terms(spark.createDataFrame(docs, "d INT, text STRING"), spark.createDataFrame([(t,) for t in terms], "t STRING"), "t", ("d",))
+    out = containment.contained_terms(spark.createDataFrame(docs, "d INT, text STRING"), spark.createDataFrame([(t,) for t in terms], "t STRING"), "t", ("d",))
     assert {(r.d, r.t) for r in out.collect()} == {(d, t) for d, text in docs for t in terms if t in text}
 
 
+def test_contained_terms_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(containment, "SHARD_CHARS", 9)
+    monkeypatch.setattr(containment, "ROWS", 2)
+    docs = [(1, "a (b) c (a) x(b)", None), (2, None, None), (3, "", None), (4, "日本語と日本", None), (5, "(b", "k")]
+    terms = ["a", "b", "", None, "日本", "本語", "c (a", "never", "x"]
+    d = spark.createDataFrame(docs, "d INT, text STRING, term STRING").repartition(3)
+    out = containment.contained_terms(d, spark.createDataFrame([(t,) for t in [*terms, "a"]], "t STRING"), "t", ("d",), ("(", ")"))
+    want = {(i, t): text.find(f"({t})") for i, text, _ in docs if text for t in terms if t and t in text}
+    assert {(r.d, r.t): r.place for r in out.collect()} == want and out.count() == len(want)
+    assert containment.contained_terms(d, out.where("false").select("t"), "t", ("d",)).count() == 0
+
+
 def test_collapse_seeds_and_stop_rule(spark):
     seeds = spark.createDataFrame([("b", s) for s in (5, 8, 11, 20)], "book STRING, seed INT")
     assert sorted(r.seed for r in navigation.collapse_seeds(seeds).collect()) == [5, 20]
