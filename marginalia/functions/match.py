@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 @F.pandas_udf(DoubleType())
@@ -17,45 +16,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def _common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence (bit-parallel); no sequence match can cover more."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio_at_least(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
-    """``sequence_ratio`` where it can reach the threshold, else null."""
-    def one(x: str, y: str, least: float):
-        if not x or not y or 2.0 * _common_subsequence(x, y) / (len(x) + len(y)) < least - 1e-9:
-            return None
-        return SequenceMatcher(None, x, y).ratio()
-
-    return pd.Series([one(x, y, t) for x, y, t in zip(a, b, threshold)], dtype="float64")
-
-
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: normalize("NFKC", v or ""))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def char_tokens(s: pd.Series) -> pd.Series:
-    """Characters numbered by occurrence, so that set overlap equals multiset overlap."""
-
-    def one(v: str) -> list[str]:
-        seen: Counter = Counter()
-        out = []
-        for c in v or "":
-            seen[c] += 1
-            out.append(f"{c}{seen[c]}")
-        return out
-
-    return s.map(one)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.functions.match import char_tokens, sequence_ratio, sequence_ratio_at_least
+from marginalia.functions.match import sequence_ratio
 from marginalia.operators.corpus import allowed
 from marginalia.operators.ranking import keep_best, spread, top_k
 from marginalia.operators.containment import contained_terms
+from marginalia.operators.fuzzy import fuzzy_pairs
 from marginalia.operators.retrieval import ASK
 
 # --- Fixed values: heading words, scan ranges, match scores and caps ---
@@ -250,39 +251,6 @@ def navigation_build(
 
 # ---- string matching ----------------------------------------------------------------
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(q, e, ratio) for strings with a sequence ratio of at least ``threshold``; both inputs hold distinct strings.
-
-    Lossless prefix filter: two strings that close share enough characters that their
-    rarest characters must meet, so candidates come from an equi join on rare characters.
-    Length and character-overlap bounds prune them before the ratio is computed.
-    """
-    share = threshold / (2.0 - threshold)
-
-    def tokens(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(name), F.length(name).alias(f"_l{name}"), char_tokens(F.col(name)).alias(f"_t{name}")).where(F.length(name) > 0)
-
-    a, b = tokens(left, "q"), tokens(right, "e")
-    counts = (
-        a.select(F.explode("_tq").alias("_c")).unionByName(b.select(F.explode("_te").alias("_c")))
-        .groupBy("_c").agg(F.count(F.lit(1)).alias("_df"))
-    )
-
-    def rare(df: DataFrame, name: str) -> DataFrame:
-        keep = F.col(f"_l{name}") - F.ceil(F.round(F.col(f"_l{name}") * share, 9)) + 1
-        each = df.select(name, f"_l{name}", F.explode(f"_t{name}").alias("_c")).join(counts, "_c")
-        w = Window.partitionBy(name).orderBy("_df", "_c")  # one string per group
-        return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).select(name, f"_l{name}", "_c")
-
-    fits = (F.col("_le") >= F.round(F.col("_lq") * share, 9)) & (F.col("_lq") >= F.round(F.col("_le") * share, 9))
-    met = rare(a, "q").join(rare(b, "e"), "_c").where(fits).select("q", "e").distinct()
-    full = met.join(a, "q").join(b, "e")
-    bound = F.lit(2.0) * F.size(F.array_intersect("_tq", "_te")) / (F.col("_lq") + F.col("_le"))
-    close = spread(full.where(bound >= threshold - 1e-9).select("q", "e"), "q", "e")
-    return close.select("q", "e", sequence_ratio_at_least(F.col("q"), F.col("e"), F.lit(threshold)).alias("ratio")).where(
-        F.col("ratio") >= threshold)
-
-
 def match_strings(
     queries: DataFrame, entries: DataFrame, scores: dict[str, tuple[int, float]], fuzzy: tuple[float, float, float] | None
 ) -> DataFrame:

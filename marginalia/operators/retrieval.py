@@ -7,7 +7,7 @@ Ties are broken by the chunk key, upwards.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -214,56 +214,97 @@ def vector_search(
     queries: DataFrame,
     k: int = CANDIDATES,
     ask: Sequence[str] = ("query_id",),
-    block_rows: int = 20_000,
-    query_rows: int = 500,
+    prefilter: bool = False,
+    block_rows: int = 4_096,
+    query_rows: int = 1_024,
 ) -> DataFrame:
-    """Exact nearest vectors by squared Euclidean distance, ties by ``vec_id``.
+    """Exact nearest vectors by squared Euclidean distance, ties by ``vec_id``; null vectors take no part.
 
-    A blocked product: vectors and queries are hashed into blocks of bounded size, each
-    (vector block, query block) pair is one task-sized matrix product, and only the ``k``
-    best of a block leave it. Nothing is broadcast and no pair table is built.
+    With ``prefilter`` the ``books`` of a query (null or empty: all) choose among the vectors' ``book`` before the cut, so that a query
+    gets its ``k`` nearest of what it may see; otherwise books play no part here.
+
+    Queries are sent once to each stripe of the vectors, which then stream by in blocks, by book: a query keeps its ``k`` best so far and passes over
+    blocks without a book of its own. Only these leave the task. Nothing is broadcast and no pair table is built.
     """
-    v_blocks = max(1, -(-vectors.count() // block_rows))
-    q_blocks = max(1, -(-queries.count() // query_rows))
-    left = vectors.select(
-        F.col("vec_id").cast("bigint"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(v_blocks)).cast("int").alias("_v"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
-    )
-    right = queries.select(
-        *ask, "embedding", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("_v"),
-        F.pmod(F.xxhash64(*ask), F.lit(q_blocks)).cast("int").alias("_q"),
-    )
-    ask_types = dict(queries.dtypes)
-    schema = ", ".join(f"{a} {ask_types[a]}" for a in ask) + ", vec_id bigint, distance double"
     ask = list(ask)
-
-    def best(block: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {a: [] for a in ask}
-        picked_ids, picked = [np.empty(0, "int64")], [np.empty(0)]
-        if block.num_rows and wanted.num_rows:
-            ids = block.column("vec_id").to_numpy()
-            a = _matrix(block)
-            b = _matrix(wanted)
-            d = np.round((b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2.0 * (b @ a.T), 6) + 0.0
-            for i in range(len(b)):
-                limit = np.partition(d[i], k - 1)[k - 1] if len(ids) > k else np.inf
-                near = np.nonzero(d[i] <= limit)[0]
-                near = near[np.lexsort((ids[near], d[i][near]))][:k]
-                picked_ids.append(ids[near])
-                picked.append(d[i][near])
-                for name in ask:
-                    out[name] += [wanted.column(name)[i].as_py()] * len(near)
-        return pa.table({
-            **{n: pa.array(v, wanted.schema.field(n).type) for n, v in out.items()},
-            "vec_id": np.concatenate(picked_ids), "distance": np.concatenate(picked),
-        })
-
-    near = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(best, schema)
-    return top_k(near, ask, [F.col("distance"), F.col("vec_id")], k)
-
-
-def _matrix(block: pa.Table) -> np.ndarray:
-    flat = block.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    spark = vectors.sparkSession
+    stripes = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    book = F.col("book") if prefilter else F.lit(None).cast("string")
+    books = F.col("books") if prefilter else F.lit(None).cast("array<string>")
+    asked = written(queries.where("embedding IS NOT NULL").select(*ask, F.col("embedding").cast("array<double>").alias("embedding"), books.alias("books")), "asked")
+    parts = max(1, -(-asked.count() // query_rows))
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    part, stripe = F.pmod(F.xxhash64(*ask), F.lit(parts)), F.pmod(F.xxhash64("vec_id"), F.lit(stripes))
+    left = asked.select(*ask, "embedding", "books", F.explode(F.transform(numbers(stripes), lambda s: (s * parts + part).cast("int"))).alias("_place"))
+    shown = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), book.alias("_book"))
+    right = shown.select("*", F.explode(F.transform(numbers(parts), lambda p: (stripe * parts + p).cast("int"))).alias("_place"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_asks", F.col("vec_id").isNull())
+    ordered = both.repartitionById(stripes * parts, "_place").sortWithinPartitions("_place", F.col("_asks").desc(), "_book")
+    types = dict(queries.dtypes)
+    schema = ", ".join(f"{a} {types[a]}" for a in ask) + ", vec_id bigint, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, waiting, near = None, [], None
+        for batch in batches:
+            where, asks = batch.column("_place").to_numpy(), batch.column("_asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if where[a] != place:
+                    if near:
+                        yield near.rows()
+                    place, waiting, near = where[a], [], None
+                if asks[a]:
+                    waiting.append(batch.slice(a, b - a))
+                    continue
+                if near is None and waiting:
+                    near = _Nearest(pa.Table.from_batches(waiting), ask, k)
+                for at in range(a, b, block_rows) if near else ():
+                    near.add(batch.slice(at, min(block_rows, b - at)))
+        if near:
+            yield near.rows()
+
+    return top_k(ordered.mapInArrow(run, schema), ask, [F.col("distance"), F.col("vec_id")], k)
+
+
+class _Nearest:
+    """The nearest so far of some queries."""
+
+    def __init__(self, queries: pa.Table, ask: list[str], k: int):
+        self.asks, self.k = queries.select(ask), k
+        self.points = _matrix(queries)
+        self.books = [set(b) if b else None for b in queries.column("books").to_pylist()]
+        self.best = [(np.empty(0), np.empty(0, np.int64)) for _ in self.books]
+
+    def add(self, block: pa.RecordBatch) -> None:
+        ids, a, b = block.column("vec_id").to_numpy(), _matrix(block), self.points
+        distance = np.round((b * b).sum(1)[:, None] + (a * a).sum(1)[None, :] - 2.0 * (b @ a.T), 6) + 0.0
+        book = block.column("_book").to_numpy(zero_copy_only=False)
+        here = set(book.tolist())
+        for q, (held, own) in enumerate(self.best):
+            books = self.books[q]
+            if books is not None and not books & here:
+                continue
+            near = distance[q] <= (held[-1] if len(held) == self.k else np.inf)
+            if books is not None:
+                near &= np.isin(book, list(books))
+            at = np.flatnonzero(near)
+            if len(at):
+                d, i = np.concatenate([held, distance[q][at]]), np.concatenate([own, ids[at]])
+                order = np.lexsort((i, d))[: self.k]
+                self.best[q] = d[order], i[order]
+
+    def rows(self) -> pa.RecordBatch:
+        owner = pa.array(np.repeat(np.arange(len(self.best)), [len(d) for d, _ in self.best]))
+        asks = {c: self.asks.column(c).combine_chunks().take(owner) for c in self.asks.column_names}
+        found = {"vec_id": np.concatenate([i for _, i in self.best]), "distance": np.concatenate([d for d, _ in self.best])}
+        return pa.RecordBatch.from_pydict({**asks, **found})
+
+
+def _matrix(block: pa.Table | pa.RecordBatch) -> np.ndarray:
+    lists = block.column("embedding")
+    flat = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten().to_numpy(zero_copy_only=False)
     return flat.astype("float64").reshape(block.num_rows, -1)
 
 
@@ -275,6 +316,30 @@ def surviving_ranks(ranked: DataFrame, docs: DataFrame, ask: Sequence[str], keys
     return top_k(kept.drop("rank"), ask, [F.col("distance"), F.col("vec_id")], 2**31 - 1)
 
 
+def variant_ranks(
+    vectors: DataFrame, docs: DataFrame, variants: DataFrame, query_vectors: DataFrame, books: DataFrame | None, k: int, keys: Sequence[str] = KEY, prefilter: bool = False
+) -> DataFrame:
+    """Ranks (query_id, variant_no, keys, rank) of the documents nearest to each query variant.
+
+    ``query_vectors``: (query_id, embedding), or with ``variant_no`` too: a variant without a vector of its own takes the question's, the one whose
+    ``variant_no`` is null. ``books``: (query_id, books); with ``prefilter`` they apply before the cut, to the documents' ``book``, else behind it.
+    """
+    if "variant_no" not in query_vectors.columns:
+        query_vectors = query_vectors.withColumn("variant_no", F.lit(None).cast("bigint"))
+    asked = query_vectors.join(books, "query_id", "left") if books is not None else query_vectors
+    searched = vectors
+    if prefilter:
+        searched = vectors.join(docs.select("vec_id", "book"), "vec_id")
+    near = vector_search(searched, asked, k, ASK, prefilter)
+    near = near.join(books, "query_id", "left") if books is not None else near
+    ranked = written(surviving_ranks(near, docs, ASK, keys), "near")
+    # A null variant_no is the question's vector; it serves the variants that have none.
+    own = ranked.where("variant_no IS NOT NULL")
+    without = variants.select(*ASK).join(query_vectors.where("variant_no IS NOT NULL").select(*ASK), list(ASK), "left_anti")
+    shared = ranked.where("variant_no IS NULL").drop("variant_no").join(without, "query_id")
+    return own.join(variants.select(*ASK), list(ASK), "left_semi").unionByName(shared.select(own.columns))
+
+
 # ---- definitions -------------------------------------------------------------------
 
 def definition_search(
@@ -345,17 +410,17 @@ def hybrid_search(
     k: int = 20,
     candidates: int = CANDIDATES,
     variants: DataFrame | None = None,
+    prefilter: bool = False,
+    brackets: tuple[str, str] = ("《", "》"),
+    markers: Sequence[str] = T.DEFINITION_MARKERS,
 ) -> DataFrame:
     """Fused vector and lexical ranks times authority, led by a few definition hits.
 
-    docs: searchable chunks with ``vec_id``; vectors: every indexed vector (vector ranks are
-    cut before the class and book filter); query_vectors: (query_id, embedding).
+    docs: searchable chunks with ``vec_id``; vectors: every indexed vector (vector ranks are cut before the class and book filter, or
+    after it with ``prefilter``); query_vectors: (query_id, embedding) or with ``variant_no``, see ``variant_ranks``.
     """
     variants = explode_variants(questions) if variants is None else variants
-    near = vector_search(vectors, query_vectors, candidates)
-    with_books = near.join(questions.select("query_id", "books"), "query_id")
-    survivors = surviving_ranks(with_books, docs.where(F.col("vec_id").isNotNull()), ("query_id",))
-    vector = survivors.join(variants.select(*ASK), "query_id")  # a question has one vector for all its variants
+    vector = variant_ranks(vectors, docs.where(F.col("vec_id").isNotNull()), variants, query_vectors, questions.select("query_id", "books"), candidates, KEY, prefilter)
     lexical = lexical_search(docs, variants, candidates)
     fused = fuse(vector, lexical, variants, KEY, ("ベクトル検索", "文字列検索"))
     auth = weights.select("book", "authority")
@@ -364,7 +429,7 @@ def hybrid_search(
         F.lit(1).alias("_phase"),
         F.concat(F.lit("通常検索で高関連"), F.when(F.col("_reasons") != "", F.concat(F.lit("（"), F.col("_reasons"), F.lit("）"))).otherwise("")).alias("reason"),
     )
-    defined = definition_search(docs, variants.where("variant_no <= 3"), weights, 2)
+    defined = definition_search(docs, variants.where("variant_no <= 3"), weights, 2, ASK, brackets, markers)
     defined = keep_best(defined, ["query_id", *KEY], [F.col("variant_no"), F.col("rank")]).select(
         "query_id", *KEY, "score", F.lit(0).alias("_phase"),
         F.concat(F.lit("定義候補として直接一致（"), F.col("query"), F.lit("）")).alias("reason"),

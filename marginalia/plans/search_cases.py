@@ -129,6 +129,57 @@ def vector_filter_after(spark, sf):
     return typed(R.surviving_ranks(near, docs, ("query_id",)).select("query_id", *R.KEY, "rank"))
 
 
+def _listed(spark, sf):
+    """Questions and their vectors; odd questions may only see books that end in 1."""
+    books = B.table(spark, sf, "documents").where(F.col("source").endswith("1")).agg(F.collect_set("source").alias("books"), F.lit(1).alias("odd"))
+    return query_vectors(spark, sf).withColumn("odd", F.col("query_id") % 2).join(books, "odd", "left").drop("odd")
+
+
+_BOOKED = ("vbook AS (SELECT e.vec_id, s.book, CAST(embedding AS DOUBLE[]) AS v FROM embeddings e LEFT JOIN (SELECT doc_id, source AS book FROM documents) s ON s.doc_id = e.vec_id), "
+           "bdist AS (SELECT item_id AS query_id, vbook.vec_id, book, round(list_sum(list_transform(generate_series(1, len(v)), lambda i: (e[i] - v[i]) * (e[i] - v[i]))), 6) AS distance "
+           "FROM (SELECT item_id, CAST(embedding AS DOUBLE[]) AS e FROM benchmark JOIN embeddings ON vec_id = item_id), vbook)")
+
+
+def _with_books(spark, sf):
+    docs = B.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("book"))
+    return vectors(spark, sf).join(docs, "vec_id", "left")
+
+
+@case("vector_prefilter", f"WITH {_BOOKED} SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank "
+      "FROM bdist WHERE query_id % 2 = 0 OR book LIKE '%1') WHERE rank <= 100")
+def vector_prefilter(spark, sf):
+    return typed(R.vector_search(_with_books(spark, sf), _listed(spark, sf), prefilter=True))
+
+
+@case("vector_books_after", f"WITH {_BOOKED} SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT *, row_number() OVER "
+      "(PARTITION BY query_id ORDER BY distance, vec_id) AS first FROM bdist) WHERE first <= 100 AND (query_id % 2 = 0 OR book LIKE '%1')")
+def vector_books_after(spark, sf):
+    asked = _listed(spark, sf)
+    near = R.vector_search(vectors(spark, sf), asked).join(asked.select("query_id", "books"), "query_id")
+    return typed(R.surviving_ranks(near, _with_books(spark, sf), ("query_id",), ("book",)).select("query_id", "vec_id", "distance", "rank"))
+
+
+def variant_vectors(spark, sf):
+    """A vector per question (its own id), and per later variant (the id of question and variant added)."""
+    later = variants(spark, sf).where("variant_no > 1").select("query_id", "variant_no", (F.col("query_id") + F.col("variant_no")).alias("vec_id"))
+    return later.join(vectors(spark, sf), "vec_id").select("query_id", "variant_no", "embedding").unionByName(
+        query_vectors(spark, sf).select("query_id", F.lit(None).cast("bigint").alias("variant_no"), "embedding"))
+
+
+@case("variant_vectors", sql(
+    "WITH asked AS (SELECT query_id, variant_no, coalesce(CASE WHEN variant_no > 1 THEN o.vec_id END, q.vec_id) AS id FROM variants LEFT JOIN embeddings o ON o.vec_id = query_id + variant_no "
+    "LEFT JOIN embeddings q ON q.vec_id = query_id), qv AS (SELECT asked.*, CAST(embedding AS DOUBLE[]) AS e FROM asked JOIN embeddings ON vec_id = id), "
+    "vd AS (SELECT query_id, variant_no, vec_id, round(list_sum(list_transform(generate_series(1, len(e)), lambda i: (e[i] - v[i]) * (e[i] - v[i]))), 6) AS distance "
+    "FROM qv, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)), "
+    "vn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, vec_id) AS first FROM vd) WHERE first <= 100) "
+    f"SELECT query_id, variant_no, {_KEY}, row_number() OVER (PARTITION BY query_id, variant_no ORDER BY distance, vec_id) AS rank FROM vn JOIN searchable ON doc_id = vec_id AND chunk = 0",
+    "searchable", "variants"))
+def variant_vector_ranks(spark, sf):
+    docs = indexed(spark, sf).where(F.col("vec_id").isNotNull())
+    ranks = R.variant_ranks(vectors(spark, sf), docs, variants(spark, sf), variant_vectors(spark, sf), None, R.CANDIDATES)
+    return typed(ranks.select("query_id", "variant_no", *R.KEY, "rank"))
+
+
 _FUSED = (
     f"WITH {_SCORES}, {_LEX}, {_VEC}, {_SURV}, lists AS (SELECT query_id, variant_no, {_KEY}, s.rank, 0 AS kind FROM surv s JOIN variants USING (query_id) "
     f"UNION ALL SELECT query_id, variant_no, {_KEY}, rank, 1 FROM lex), "

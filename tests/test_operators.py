@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import chat, citations, containment, corpus, inverted, navigation, pagemap, retrieval
+from marginalia.operators import chat, citations, containment, corpus, fuzzy, inverted, navigation, pagemap, retrieval
 from marginalia.operators import context as X
 from marginalia.operators import corrections as K
 from marginalia.operators.ranking import longest_runs, positions
@@ -112,15 +112,36 @@ def test_vector_search_in_blocks(spark):
     assert got == {i: list(np.argsort(d[i], kind="stable")[:7]) for i in range(5)}
 
 
-def test_fuzzy_pairs_lose_nothing(spark):
+def test_vector_search_prefilter(spark):
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 3, size=(40, 4)).astype("float32")
+    rows = [(i, x.tolist(), f"b{i % 3}") for i, x in enumerate(v)] + [(90, None, "b1"), (91, v[0].tolist(), None)]
+    vec = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>, book STRING").repartition(3)
+    asks = [(0, v[3].tolist(), ["b1"]), (1, v[4].tolist(), None), (2, v[5].tolist(), []), (3, v[6].tolist(), ["b0", "b2"]), (4, v[7].tolist(), ["none"])]
+    ask = spark.createDataFrame(asks, "query_id BIGINT, embedding ARRAY<FLOAT>, books ARRAY<STRING>")
+    for allow in (False, True):
+        got = {}
+        for r in retrieval.vector_search(vec, ask, 6, prefilter=allow, block_rows=5, query_rows=2).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = {}
+        for q, x, books in asks:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), i) for i, y, book in rows if y and (not allow or not books or book in books))
+            if near:
+                want[q] = [i for _, i in near[:6]]
+        assert got == want
+
+
+def test_fuzzy_pairs_lose_nothing(spark, monkeypatch):
     rng = random.Random(4)
-    make = lambda: "".join(rng.choices("abcdef", k=rng.randint(1, 9)))
-    left, right = sorted({make() for _ in range(60)}), sorted({make() for _ in range(60)})
-    for threshold in (0.60, 0.72):
-        want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in left for b in right}
+    make = lambda: "".join(rng.choices("abcdef", k=rng.choice([1, 2, 3, 5, 9, 14, 40])))
+    left, right = sorted({make() for _ in range(60)} | {"", "日本語索引", "x" * 300}), sorted({make() for _ in range(60)} | {"", "日本索引", "x" * 260 + "y"})
+    monkeypatch.setattr(fuzzy, "SHARD_CHARS", 300)
+    monkeypatch.setattr(fuzzy, "ROWS", 3)
+    for threshold in (0.55, 0.60, 0.72):
+        want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in left for b in right if a and b}
         want = {k: r for k, r in want.items() if r >= threshold}
         out = navigation.fuzzy_pairs(spark.createDataFrame([(x,) for x in left], "q STRING"), spark.createDataFrame([(x,) for x in right], "e STRING"), threshold)
-        assert {(r.q, r.e): r.ratio for r in out.collect()} == want
+        assert sorted((r.q, r.e, r.ratio) for r in out.collect()) == sorted((*k, r) for k, r in want.items())
 
 
 def test_contained_terms_match_brute_force(spark):
