@@ -6,13 +6,10 @@ Ties are broken by the chunk key, upwards.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +17,7 @@ from marginalia.functions import text as T
 from marginalia.operators import inverted
 from marginalia.operators.containment import contained_terms
 from marginalia.operators.corpus import allowed
+from marginalia.operators.linked import linked_pages
 from marginalia.operators.ranking import keep_best, spread, top_k
 from marginalia.session import written
 
@@ -75,18 +73,6 @@ def gram_counts(
     )
 
 
-def packed_grams(docs: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """One row per document with its distinct n-grams and their counts (``docs`` has a ``text``)."""
-    sizes = tuple(sizes)
-
-    @F.pandas_udf("struct<grams: array<string>, tfs: array<int>>")
-    def count(texts: pd.Series) -> pd.DataFrame:
-        found = [Counter(t[i:i + n] for n in sizes for i in range(len(t) - n + 1)) for t in texts]
-        return pd.DataFrame({"grams": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
-
-    return docs.select(*keys, count("text").alias("_g")).select(*keys, "_g.grams", "_g.tfs")
-
-
 def postings(docs: DataFrame, keys: Sequence[str] = KEY, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
     """The n-gram index of the documents' texts, see ``inverted.postings``; frequencies, norms and scores read it, so it is built once."""
     return inverted.postings(docs, keys, sizes)
@@ -128,85 +114,6 @@ def lexical_search(
     return top_k(near, ask, [F.col("score").desc(), *[F.col(c) for c in keys]], k)
 
 
-def _blocked(
-    docs: DataFrame, wanted: DataFrame, keys: Sequence[str], ask: Sequence[str], k: int | None,
-    sizes: tuple[int, int], block_rows: int = 4_000, query_rows: int = 500,
-) -> DataFrame:
-    """Sparse product of packed documents and packed queries, block by block.
-
-    Scores are positive and at least the query's ``least``; ``k`` cuts them per block and query.
-    ``sizes`` are the row counts of documents and queries, which set the number of blocks.
-    """
-    d_blocks = max(1, -(-sizes[0] // block_rows), docs.sparkSession.sparkContext.defaultParallelism)
-    q_blocks = max(1, -(-sizes[1] // query_rows))
-    left = docs.select(
-        *keys, "norm", "grams", "tfs", F.pmod(F.xxhash64(*keys), F.lit(d_blocks)).cast("int").alias("_d"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"),
-    )
-    right = wanted.select(
-        *ask, "books", "norm", "least", "grams", "ws", F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).alias("_d"),
-        F.pmod(F.xxhash64(*ask), F.lit(q_blocks)).cast("int").alias("_q"),
-    )
-    types = {**dict(docs.dtypes), **dict(wanted.dtypes)}
-    schema = ", ".join(f"{c} {types[c]}" for c in (*ask, *keys)) + ", score double"
-    ask, keys = list(ask), list(keys)
-
-    def best(block: pa.Table, asked: pa.Table) -> pa.Table:
-        rows, cols, scores = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
-        if block.num_rows and asked.num_rows:
-            n = block.num_rows
-            order = np.empty(n, "int64")
-            order[pc.sort_indices(block, [(c, "ascending") for c in keys]).to_numpy()] = np.arange(n)
-            grams, owner = _unnest(block, "grams")
-            tfs = _unnest(block, "tfs")[0].to_numpy(zero_copy_only=False).astype("float64")
-            qgrams, qowner = _unnest(asked, "grams")
-            ws = _unnest(asked, "ws")[0].to_numpy(zero_copy_only=False) / asked.column("norm").to_numpy()[qowner]
-            vocabulary = pc.unique(qgrams)
-            codes = pc.fill_null(pc.index_in(grams, vocabulary), -1).to_numpy()
-            qcodes = pc.index_in(qgrams, vocabulary).to_numpy()
-            by_gram = np.argsort(codes, kind="stable")
-            by_gram = by_gram[codes[by_gram] >= 0]
-            owner, tfs = owner[by_gram], tfs[by_gram]
-            counts = np.bincount(codes[by_gram], minlength=len(vocabulary))
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            norm = block.column("norm").to_numpy()
-            books = np.array(block.column("book").to_pylist(), dtype=object) if "book" in block.column_names else None
-            bounds = np.searchsorted(qowner, np.arange(asked.num_rows + 1))
-            for q in range(asked.num_rows):
-                c, w = qcodes[bounds[q]:bounds[q + 1]], ws[bounds[q]:bounds[q + 1]]
-                size = counts[c]
-                shift = np.cumsum(size) - size
-                at = np.repeat(starts[c] - shift, size) + np.arange(size.sum())
-                dot = np.bincount(owner[at], weights=tfs[at] * np.repeat(w, size), minlength=n)
-                score = np.round(dot / norm, 6)
-                allow = asked.column("books")[q].as_py()
-                if allow:
-                    score[~np.isin(books, allow)] = 0.0
-                hit = np.nonzero((score > 0) & (score >= asked.column("least")[q].as_py()))[0]
-                if k is not None:
-                    if len(hit) > k:
-                        hit = hit[score[hit] >= -np.partition(-score[hit], k - 1)[k - 1]]
-                    hit = hit[np.lexsort((order[hit], -score[hit]))][:k]
-                rows.append(np.full(len(hit), q))
-                cols.append(hit)
-                scores.append(score[hit])
-        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
-        return pa.table({
-            **{a: asked.column(a).take(i) for a in ask}, **{c: block.column(c).take(j) for c in keys},
-            "score": np.concatenate(scores),
-        })
-
-    return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(best, schema)
-
-
-def _unnest(block: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
-    """Values of a list column and the row each of them belongs to."""
-    lists = block.column(name).combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-
-
 # ---- exact nearest neighbours ----------------------------------------------------
 
 def vector_search(
@@ -475,7 +382,7 @@ def structured_search(
 
     Pages that score without any link to the question are the same for every question, so at
     most ``2 k`` of them can ever be chosen; that bounded list is shared. All other pages are
-    found by an equi join on character bigrams, which covers containment and coverage.
+    scored where they lie against all questions (``linked.linked_pages``); only a bounded number per question leaves a task.
     """
     asked = questions.where(T.is_structured(F.col("question"), words)).select("query_id", "books", "question")
     rated = (
@@ -485,37 +392,16 @@ def structured_search(
         .withColumn("_norm", T.norm_nav(F.col("text")))
         .where(F.length("_norm") > 0)
         .withColumn("_signal", table_signal(F.col("text"), words, markers))
+        .drop("text")
     )
+    rated = written(rated, "rated")
     wanted = (
         variants.join(asked.select("query_id"), "query_id", "left_semi")
         .withColumn("_v", T.norm_nav(F.col("query")))
         .where(F.length("_v") > 0)
         .select("query_id", "variant_no", "query", "_v")
     )
-    vgrams = wanted.select(
-        "query_id", "variant_no",
-        F.explode(F.when(F.length("_v") < 2, F.array("_v")).otherwise(T.ngrams(F.col("_v"), 2))).alias("gram"),
-    )
-    share = vgrams.groupBy("query_id", "variant_no").agg(
-        F.collect_list("gram").alias("grams"), F.count(F.lit(1)).alias("_n"))
-    asked_grams = share.select(
-        "query_id", "variant_no", F.lit(None).cast("array<string>").alias("books"), F.lit(1.0).alias("norm"),
-        (F.col("_n") * min_coverage).alias("least"), "grams", F.array_repeat(F.lit(1.0), F.col("_n").cast("int")).alias("ws"))
-    dgrams = packed_grams(rated.select(*KEY, F.col("_norm").alias("text")), KEY, (1, 2)).select(
-        *KEY, "grams", F.array_repeat(F.lit(1), F.size("grams")).alias("tfs"), F.lit(1.0).alias("norm"))
-    close = _blocked(dgrams, asked_grams, KEY, ASK, None, (docs.count(), variants.count())).withColumnRenamed("score", "_m").join(
-        share.drop("grams"), ["query_id", "variant_no"])
-    linked = close.join(wanted, ["query_id", "variant_no"]).join(
-        rated.select(*KEY, "_norm"), list(KEY)
-    ).withColumn("_hit", F.contains(F.col("_norm"), F.col("_v")))
-    gains = linked.groupBy("query_id", *KEY).agg(
-        F.sum(
-            F.when(F.col("_hit"), F.when(F.col("variant_no") == 1, 120.0).otherwise(40.0)).otherwise(F.col("_m") / F.col("_n") * 18.0)
-        ).alias("_gain"),
-        F.min_by(F.when(F.col("_hit"), F.col("query")), F.when(F.col("_hit"), F.col("variant_no"))).alias("_term"),
-    )
     facts = rated.select(*KEY, "logical_page", "authority", "_signal")
-    by_link = gains.join(facts, list(KEY)).withColumn("_raw", F.col("_gain") + F.col("_signal"))
 
     def pages_of(scored: DataFrame, ask: Sequence[str]) -> DataFrame:
         kept = scored.where(F.col("_raw") >= min_score).withColumn("score", F.round(F.col("_raw") * F.col("authority"), 6))
@@ -537,9 +423,10 @@ def structured_search(
         filtered.select("query_id", F.explode("books").alias("book")).distinct()
         .join(per_rank.drop("_in_book"), "book").select("query_id", *alone.columns)
     )
-    linked_pages = pages_of(by_link, ("query_id",)).join(asked.select("query_id", "books"), "query_id").where(
-        allowed(F.col("books"), F.col("book"))).drop("books")
-    everything = linked_pages.unionByName(base_free).unionByName(base_filtered)
+    chunks = rated.select(*KEY, "logical_page", "authority", F.col("_norm").alias("norm"), F.col("_signal").alias("signal"))
+    asked_for = wanted.join(asked.select("query_id", "books"), "query_id").withColumnRenamed("_v", "v")
+    found = linked_pages(chunks, asked_for, k, per_book, min_score, min_coverage).select("query_id", *alone.columns)
+    everything = found.unionByName(base_free).unionByName(base_filtered)
     best = keep_best(everything, ["query_id", "book", "pdf_page"], [-F.col("score"), F.col("_term").isNull()])
     chosen = diverse_top_k(best, ["query_id"], order, k, per_book)
     return chosen.join(asked.select("query_id", T.norm_query(F.col("question")).alias("_q")), "query_id").select(

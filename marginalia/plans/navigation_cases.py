@@ -92,7 +92,7 @@ def toc_fallback_order(spark, sf):
     return N.toc_fallback_order(p, p.where(~F.col("book").endswith("2")))
 
 
-_RESULTS = "SELECT book, pdf_page, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_chars % 3 <> 0 END AS positive FROM bpages WHERE n_chars % 13 <> 0"
+_RESULTS = "SELECT book, pdf_page, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_chars % 3 <> 0 END AS positive FROM bpages WHERE n_chars >= 60"
 
 
 @case("sequence_stop_rule", sql(
@@ -102,8 +102,8 @@ _RESULTS = "SELECT book, pdf_page, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_c
     "FROM walk w JOIN res r ON r.book = w.book AND r.pdf_page = w.pdf_page + 1 WHERE n < 10 AND NOT (w.positive IS NOT NULL AND NOT w.positive AND (w.found OR w.misses >= 2))) "
     "SELECT book, seed, pdf_page, positive, positive IS NULL AS error FROM walk", "bpages").replace("WITH bpages", "WITH RECURSIVE bpages").replace(", RECURSIVE res", ", res"))
 def sequence_stop_rule(spark, sf):
-    p = B.pages(spark, sf).where("n_chars % 13 <> 0")
-    results = p.select("book", "pdf_page", F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 3 != 0).alias("positive"))
+    p = B.pages(spark, sf)  # every page is a seed; short pages were never looked at
+    results = p.where("n_chars >= 60").select("book", "pdf_page", F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 3 != 0).alias("positive"))
     seeds = p.select("book", F.col("pdf_page").alias("seed"))
     return N.sequence_stop_rule(seeds, results, N.TOC_MAX_PAGES)
 
