@@ -9,7 +9,7 @@ from marginalia.plans import bindings as B
 from marginalia.plans.bindings import sql
 from marginalia.plans.registry import case, typed
 from marginalia.session import scratch_dir
-from marginalia.sources import files
+from marginalia.sources import files, snapshots
 from marginalia.functions import text as T
 
 # Raw page rows with defects that follow from the data: toxic pages lose their book, short
@@ -171,8 +171,10 @@ def sink_jsonl(spark, sf):
 @case("sink_atomic", sql("SELECT book, pdf_page, logical_page FROM bpages", "bpages"))
 def sink_atomic(spark, sf):
     path = scratch_dir(spark, "page-map")
-    files.write_atomic(B.pages(spark, sf).select("book", "pdf_page", "logical_page"), path)
-    return spark.read.parquet(path)
+    rows = B.pages(spark, sf).select("book", "pdf_page", "logical_page")
+    snapshots.publish(rows.where("pdf_page <= 3"), path)  # replaced by the next one
+    snapshots.publish(rows, path)
+    return snapshots.read(spark, path, "book STRING, pdf_page BIGINT, logical_page BIGINT")
 
 
 def _index(spark, sf):

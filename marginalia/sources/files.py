@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,26 +77,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Publish a table: it is written beside its place and renamed when it is whole, so a failing write leaves the old rows."""
-    spark = df.sparkSession
-    path = path.rstrip("/")
-    fresh, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    place, coming, going = (hadoop.Path(p) for p in (path, fresh, old))
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        df.write.format(fmt).save(fresh)
-        if store.exists(place) and not store.rename(place, going):
-            raise OSError(f"cannot move {path}")
-        if not store.rename(coming, place):
-            store.rename(going, place)
-            raise OSError(f"cannot publish {path}")
-    finally:
-        store.delete(coming, True)
-    store.delete(going, True)
-
-
 def write_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
     """Persist chunks with their vectors, partitioned by source class."""
     joined = chunks.join(vectors, "vec_id", "left")

@@ -290,19 +290,61 @@ def test_catalogue_skips_only_the_bad_entries(spark, tmp_path):
     assert got == [("a", 2.0, "x", None, 0), ("a", 2.0, "y", "Y", 4), ("d", 1.0, "x", None, 0)]
 
 
-def test_failing_write_leaves_the_published_rows(spark, tmp_path):
+def test_snapshots_survive_a_crash_at_every_step(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
-    from marginalia.sources import files
+    from marginalia.sources import snapshots
 
     path = str(tmp_path / "t")
-    files.write_atomic(spark.range(5), path)
-    with pytest.raises(Exception):
-        files.write_atomic(spark.range(9).select(F.raise_error(F.lit("stop")).cast("bigint").alias("id")), path)
-    assert spark.read.parquet(path).count() == 5
-    files.write_atomic(spark.range(3), path)
-    assert spark.read.parquet(path).count() == 3
-    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    rows = lambda: snapshots.read(spark, path, "id BIGINT").count()
+    assert rows() == 0
+    assert snapshots.publish(spark.range(5), path) == 1 and rows() == 5
+
+    def stop(*_):
+        raise OSError("stop")
+
+    with pytest.raises(Exception):  # while data are written
+        snapshots.publish(spark.range(9).select(F.raise_error(F.lit("stop")).cast("bigint").alias("id")), path)
+    assert rows() == 5
+    for step, after in (("_commit", 5), ("_tidy", 7)):
+        with monkeypatch.context() as m:
+            m.setattr(snapshots, step, stop)
+            with pytest.raises(OSError):
+                snapshots.publish(spark.range(7), path)
+        assert rows() == after
+    held = snapshots.read(spark, path, "id BIGINT")
+    snapshots.publish(spark.range(3), path)
+    assert rows() == 3 and held.count() == 7  # a reader of the one before goes on
+    snapshots.publish(spark.range(4), path)
+    assert rows() == 4 and len(snapshots.children(spark, f"{path}/data")) == snapshots.KEEP == len(snapshots.entries(spark, path))
+
+
+def test_streams_without_rows_restarts_and_crashes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from marginalia.streaming import tables
+
+    root = str(tmp_path / "s")
+    land = lambda rows, parts=1: tables.landed(spark.createDataFrame(rows, "k BIGINT, v BIGINT"), root, "v", parts)
+    total = lambda s: s.groupBy("k").agg(F.sum("v").alias("total"))
+    run = lambda: dict(map(tuple, tables.run_aggregate(tables.table_stream(spark, f"{root}/landing.parquet"), total, ["k"], f"{root}/job").collect()))
+    land([])
+    assert run() == {} and run() == {}
+    monkeypatch.setattr(tables, "FOLD", 2)
+    land([(i % 3, i) for i in range(30)], 12)  # batches 9 and 10 differ in length, and the table is folded on the way
+    want = {k: sum(i for i in range(30) if i % 3 == k) for k in range(3)}
+    assert run() == want
+    land([(1, 100), (7, 1)])
+    with monkeypatch.context() as m:  # a crash while a snapshot is published, and one before batches are dropped
+        m.setattr(tables.snapshots, "_commit", lambda *_: (_ for _ in ()).throw(OSError("stop")))
+        with pytest.raises(OSError):
+            run()
+    with monkeypatch.context() as m:
+        m.setattr(tables.snapshots, "remove", lambda *_: (_ for _ in ()).throw(OSError("stop")))
+        with pytest.raises(OSError):
+            run()
+    assert run() == {**want, 1: want[1] + 100, 7: 1}
+    assert tables._deltas(spark, f"{root}/job") == []
 
 
 def test_links_of_real_markup(spark):
