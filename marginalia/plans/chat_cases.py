@@ -9,6 +9,7 @@ from marginalia.plans import bindings as B
 from marginalia.plans import sqltext as S
 from marginalia.plans.registry import case, typed
 from marginalia.session import scratch_dir
+from marginalia.streaming import activity as A
 from marginalia.streaming import tables as M
 
 _HIST = f"SELECT conv_id, turn, lower(trim(role)) AS role, {S.strip('text')} AS text FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant') AND {S.strip('text')} <> ''"
@@ -120,6 +121,23 @@ def stream_chat_activity(spark, sf):
     return _twice(spark, sf, "conversations", "turn", lambda stream, root: M.run_aggregate(turns(stream), H.chat_activity, ["chat_id"], root))
 
 
+#: Seconds after which a quiet user leaves the activity table.
+_TTL = 12 * 3600
+
+
+@case("stream_activity", f"SELECT user_id, last_used_at FROM (SELECT user_id, max(ts) AS last_used_at, max(max(ts)) OVER () AS newest FROM events WHERE user_id IS NOT NULL GROUP BY 1) "
+      f"WHERE epoch_ms(last_used_at) + {_TTL * 1000 + 1} > epoch_ms(newest)")
+def stream_activity(spark, sf):
+    # the turns follow one another in time: late events would fall behind the watermark
+    root, events = scratch_dir(spark, "stream-activity"), B.table(spark, sf, "events")
+    middle = events.select(F.percentile_approx(F.unix_millis(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    early = F.unix_millis(F.col("ts").cast("timestamp")) <= middle
+    for part in (events.where(early), events.where(~early)):
+        M.landed(part, root, "ts", 1)
+        out = A.run_activity(M.table_stream(spark, f"{root}/landing.parquet"), ["user_id"], f"{root}/job", _TTL)
+    return out.select("user_id", F.col("last_used_at").cast(dict(events.dtypes)["ts"]).alias("last_used_at"))
+
+
 @case("stream_manifest", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS url, max_by(sha256(html), page_id) AS sha256 FROM pages GROUP BY 1")
 def stream_manifest(spark, sf):
     # one document per host, changed by every page of the host; the turns follow one another by page_id

@@ -45,14 +45,15 @@ def _current(spark: SparkSession, root: str, keys: list[str], schema: str, befor
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(rows.columns)
 
 
-def _fold(spark: SparkSession, root: str, keys: list[str], schema: str) -> None:
-    """Publish the latest rows as the table's next snapshot, then drop the batches that it holds.
+def _fold(spark: SparkSession, root: str, keys: list[str], schema: str, expired: str | None = None) -> None:
+    """Publish the latest rows as the table's next snapshot, then drop the batches that it holds; ``expired`` names a flag of rows that leave.
 
     A crash before the publication leaves the old snapshot and all batches, one after it a snapshot and batches that say the same.
     """
     done = _deltas(spark, root)
     if done or not snapshots.entries(spark, f"{root}/latest"):
-        snapshots.publish(_current(spark, root, keys, schema), f"{root}/latest")
+        rows = _current(spark, root, keys, schema)
+        snapshots.publish(rows.where(~F.col(expired)) if expired else rows, f"{root}/latest")
     for n in done:
         snapshots.remove(spark, f"{root}/out/batch={n}")
 

@@ -347,6 +347,31 @@ def test_streams_without_rows_restarts_and_crashes(spark, tmp_path, monkeypatch)
     assert tables._deltas(spark, f"{root}/job") == []
 
 
+def test_activity_expires(spark, tmp_path):
+    import datetime as dt
+
+    from marginalia.streaming import activity, tables
+
+    root = str(tmp_path / "a")
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    land = lambda rows: tables.landed(spark.createDataFrame([(k, at(s)) if s is not None else (k, None) for k, s in rows], "k STRING, ts TIMESTAMP"), root, "ts", 1)
+
+    def run():
+        out = activity.run_activity(tables.table_stream(spark, f"{root}/landing.parquet"), ["k"], f"{root}/job", 100)
+        return {r["k"]: ((r["first_seen_at"] - at(0)).total_seconds(), (r["last_used_at"] - at(0)).total_seconds(), r["n"]) for r in out.collect()}
+
+    land([])
+    assert run() == {}
+    land([("old", 0), ("a", 10), ("a", 60), (None, 5), ("x", None)])
+    assert run() == {"old": (0, 0, 1), "a": (10, 60, 2)}
+    land([("b", 130), ("a", 100)])  # after a restart; the watermark passes 100 seconds after "old"
+    assert run() == {"a": (10, 100, 3), "b": (130, 130, 1)}
+    land([("old", 140)])
+    assert run() == {"a": (10, 100, 3), "b": (130, 130, 1), "old": (140, 140, 1)}  # begins anew
+    land([("c", 1000)])
+    assert run() == {"c": (1000, 1000, 1)}
+
+
 def test_links_of_real_markup(spark):
     from marginalia.operators import crawl
 
