@@ -36,11 +36,12 @@ def _quoted(text: Column) -> Column:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule and verdict to every row.
 
-    ``rules``: (verdict, host, path). A rule fits its host and all subdomains when the path starts with the rule's; the longest
+    ``rules``: (verdict, host, path). A rule fits its host and all subdomains (an empty host: every host) when the path starts with the rule's; the longest
     host and path wins, then the smallest text, then block. No rule fits: rule null, verdict ``default``. Null urls and those without
     ``://`` have empty host and path. Columns of those four names are replaced; rows and other columns stay as they are.
 
-    Every rule is filed under the one of its whole tokens that is rarest among the urls, counted per distinct host and path.
+    Every rule is filed under the one of its whole tokens that is rarest among the urls, counted per distinct host and path; one without a
+    whole token (no host, and a path cut within its first segment) is a candidate of every url.
     Distinct urls fetch candidates by equality with their tokens, and only candidates run their regular expression. A hot token is a
     key of the broadcast list, so it needs no shuffle.
     """
@@ -49,10 +50,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "u
     listed = spark.createDataFrame([(v, h.translate(str.maketrans(_UPPER, _LOWER)), p) for v, h, p in rules] or [], "verdict string, host string, path string").distinct()
     segments = F.split(F.col("path"), "/")  # a path's last segment may be cut short, so it is no whole token
     whole = F.concat_ws("/", F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0))))
-    tokened = listed.withColumn("rule", F.concat("host", "path")).withColumn("pattern", F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), _quoted(F.col("host")), _quoted(F.col("path"))))
-    tokened = tokened.select("rule", "verdict", "pattern", F.explode(_tokens(F.col("host"), whole)).alias("token"))
+    tokened = listed.withColumn("rule", F.concat("host", "path")).withColumn("pattern", F.concat(F.when(F.col("host") == "", r"(?s)^[^/]*").otherwise(r"(?s)^(?:[^/]*\.)?"), _quoted(F.col("host")), _quoted(F.col("path"))))
+    own = _tokens(F.col("host"), whole)
+    tokened = tokened.select("rule", "verdict", "pattern", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("")))).alias("token"))
     urls = mine.select("host", "path").distinct().withColumn("text", F.concat("host", "path"))
-    asked = urls.select("text", "host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
+    # A rule without a whole token is filed under the empty one, which every url then has.
+    bare = [F.array(F.lit(""))] if any(not h.strip(".") and not any(p.split("/")[:-1]) for _, h, p in rules) else []
+    asked = urls.select("text", "host", "path", F.explode(F.concat(_tokens(F.col("host"), F.col("path")), *bare)).alias("token"))
     wanted = tokened.select("token").distinct()
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda df: df)

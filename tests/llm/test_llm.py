@@ -192,12 +192,14 @@ def test_links_connect_all_near_fingerprints(spark, bucket, monkeypatch):
 def test_url_rules(spark):
     urls = [None, "", "nothing", "http://", "HTTP://EXAMPLE.com/en/x", "https://www.example.com/en/?q", "http://a.b.NET/fr/", "http://net/es/a#b", "http://xnet/es/", "http://example.com", "http://com/", "x://y://com/", "http://examplexcom/en/", "http://www.example.com/en", "a\n://b.com/z", "http://a.b.NET/fr/"]
     df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id bigint, url string, host string, rule string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge(df, queries.URL_RULES).collect()}
-    for i, u in enumerate(urls):
+    bare = (*queries.URL_RULES, ("block", "", "/e"), ("block", "", "/z"), ("allow", "", "/fr/"))  # no whole token, or no host
+    for rules, (i, u) in [(r, e) for r in (queries.URL_RULES, bare) for e in enumerate(urls)]:
+        if i == 0:
+            got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge(df, rules).collect()}
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
-        fit = [(len(h + p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert got[i] == (host, path, *(max(fit)[1:] if fit else (None, "allow")))
+        fit = [(-len(h + p), h + p, v) for v, h, p in rules if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (host, path, *(min(fit)[1:] if fit else (None, "allow")))
     assert urlrules.judge(df.limit(0), queries.URL_RULES).count() == 0
     assert {r["verdict"] for r in urlrules.judge(df, []).collect()} == {"allow"}
 
