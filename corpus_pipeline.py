@@ -54,13 +54,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are told apart by their root, not by doc_id: a doc_id that names texts of several groups stays once in each where it is the
     smallest, and a group without any doc_id keeps one row.
     """
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    names, named = _renamed(docs)
+    hashed = named.withColumn("_h", F.xxhash64("text"))
     grouped = simhash.near_duplicates(hashed, carry=("_h",))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h")))
     first = grouped.groupBy("_root").agg(least.alias("_m")).select(F.col("_m.id").alias("_id"), F.col("_m.h").alias("_first"))
     kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first")), "left_semi")
-    once = Window.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(docs.columns)
+    once = Window.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*names.values()))
+    return _restored(kept.withColumn("_n", F.row_number().over(once)).where("_n = 1"), names)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
