@@ -431,3 +431,14 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert len({simhash.fingerprint(t) for t in (a, b, c, d, e)}) == 5 and simhash.fingerprint(d) == simhash.fingerprint("  " + d)
     got = Counter((r["doc_id"], r["text"].strip()) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
     assert got == Counter([(1, a), (1, b), (3, c), (None, d), (None, e)])
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    rng = random.Random(13)
+    a, b = sentence(rng, 90), sentence(rng, 90)
+    more = ["_h", "_id", "_n", "_root", "_first", "_m", "fp", "row"]
+    rows = [(1, a, "en", "s", len(a)), (2, a, "en", "s", len(a)), (3, b, "en", "s", len(b))]
+    df = spark.createDataFrame([(*r, *[f"{c} of {r[0]}" for c in more]) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in more))
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.where("doc_id <> 2").collect()}
