@@ -59,6 +59,13 @@ def cell(c: Column) -> Column:
     return T.strip(F.translate(F.coalesce(c, F.lit("")), "　 ", "  "))
 
 
+def errata_sources(files: DataFrame, name: str, excluded: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Files that are errata by their name, with their source ``key``: without the excluded keys and, if ``only`` is given, with its keys alone."""
+    keyed = files.where(classify_source(F.col(name)) == "ERRATA").withColumn("key", source_key(F.col(name)))
+    kept = keyed.join(excluded.select("key"), "key", "left_anti")
+    return kept if only is None else kept.join(only.select("key"), "key", "left_semi")
+
+
 def column_by_x(x: Column, width: Column) -> Column:
     r = x / width
     return F.when(r < COLUMN_CUTS[0], "page").when(r < COLUMN_CUTS[1], "location").when(r < COLUMN_CUTS[2], "before").otherwise("after")
@@ -413,6 +420,33 @@ def normalization_report(records: DataFrame, left: DataFrame, top: int = 10) ->
     return report.join(by_ratio, "doc", "left").join(by_lost, "doc", "left").fillna(False, ["review_ratio", "review_diagnostics"])
 
 
+def normalization_totals(records: DataFrame, left: DataFrame, fallback: str = "tesseract_tsv") -> DataFrame:
+    """Counts of all records, by operation, by extraction method and by document: (kind, name, ...), ``kind`` total, operation, extract_method or doc.
+
+    One pass of grouping sets over the records. ``fallback_count`` counts records of the fallback extraction: documents with any are the list to
+    look at again. Diagnostics belong to documents, so operations and methods have none.
+    """
+    kind = F.when(F.grouping("doc") == 0, "doc").when(F.grouping("operation") == 0, "operation").when(F.grouping("extract_method") == 0, "extract_method").otherwise("total")
+    sets = [["doc"], ["operation"], ["extract_method"], []]
+    counts = records.groupingSets(sets, "doc", "operation", "extract_method").agg(
+        kind.alias("kind"), F.count(F.lit(1)).alias("record_count"), F.count_if(F.col("parse_status") == "LAYOUT_PARSED").alias("parsed_count"),
+        F.count_if(F.col("parse_status") == "LAYOUT_COMPLEX").alias("complex_count"), F.count_if(F.col("extract_method") == fallback).alias("fallback_count"))
+    named = counts.select("kind", F.coalesce("doc", "operation", "extract_method", F.lit("")).alias("name"), "record_count", "parsed_count", "complex_count", "fallback_count")
+    lost = left.groupingSets([["doc"], []], "doc").agg(F.when(F.grouping("doc") == 0, "doc").otherwise("total").alias("kind"), F.count(F.lit(1)).alias("diagnostic_count"))
+    lost = lost.select("kind", F.coalesce("doc", F.lit("")).alias("name"), "diagnostic_count")
+    return named.join(lost, ["kind", "name"], "left").where("record_count > 0").withColumn("diagnostic_count", F.coalesce("diagnostic_count", F.lit(0))).withColumn(
+        "complex_ratio", F.round(F.col("complex_count") / F.col("record_count"), 4))
+
+
+def chunk_totals(records: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Chunks of all documents that are not excluded, in all, by operation and by source: (kind, name, chunk_count), in one pass of grouping sets."""
+    built = skip_reason(records).join(excluded.select("doc"), "doc", "left_anti")
+    counts = built.groupingSets([["doc"], ["operation"], []], "doc", "operation").agg(
+        F.when(F.grouping("doc") == 0, "source").when(F.grouping("operation") == 0, "operation").otherwise("total").alias("kind"),
+        F.count_if(F.col("skip_reason").isNull()).alias("chunk_count")).where("chunk_count > 0")
+    return counts.select("kind", F.coalesce("doc", "operation", F.lit("")).alias("name"), "chunk_count")
+
+
 def correction_manifest(records: DataFrame, excluded: DataFrame) -> DataFrame:
     """Per document: built or excluded, records, chunks and skipped records by reason."""
     rows = skip_reason(records).join(excluded.select("doc", F.lit(True).alias("_x")), "doc", "left")

@@ -70,8 +70,14 @@ def classify_source(spark, sf):
 def source_key_filters(spark, sf):
     d = B.table(spark, sf, "documents").withColumn("name", F.concat("source", F.when(F.col("lang") == "en", "_eratta.pdf").otherwise("_faq.pdf")))
     excluded = d.where(F.col("source").endswith("3")).select(F.col("source").alias("key")).distinct()
-    kept = d.where(K.classify_source(F.col("name")) == "ERRATA").withColumn("key", K.source_key(F.col("name"))).join(excluded, "key", "left_anti")
-    return kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return K.errata_sources(d, "name", excluded).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("source_key_only", "SELECT source AS key, count(*) AS n FROM documents WHERE lang = 'en' AND source NOT LIKE '%3' AND source LIKE '%1' GROUP BY 1")
+def source_key_only(spark, sf):
+    d = B.table(spark, sf, "documents").withColumn("name", F.concat("source", F.when(F.col("lang") == "en", "_eratta.pdf").otherwise("_faq.pdf")))
+    ends = lambda x: d.where(F.col("source").endswith(x)).select(F.col("source").alias("key")).distinct()
+    return K.errata_sources(d, "name", ends("3"), ends("1")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @case("column_by_x", sql("SELECT col AS \"column\", count(*) AS n FROM items_ GROUP BY 1", "items_"))
@@ -182,14 +188,17 @@ def errata_quality(spark, sf):
     return records(spark, sf)[0].groupBy("parse_status", "operation", F.array_join("quality_reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("errata_records", sql(
-    "SELECT doc, count(*) AS n, max(pdf_page) AS last_page, count(*) FILTER (target_page IS NULL) AS rescued FROM (SELECT doc, pdf_page, target_page FROM recs UNION ALL "
-    "SELECT doc, pdf_page, NULL FROM (SELECT doc, pdf_page, list_transform(string_split(string_agg(trim(text), ' | ' ORDER BY rk), '|'), lambda p: trim(p)) AS p FROM items_ i "
-    "WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc = i.doc AND c.pdf_page = i.pdf_page AND c.line <= i.line AND c.page IS NOT NULL) GROUP BY doc, pdf_page, line) "
-    "WHERE len(p) IN (3, 4) AND NOT list_contains(p, '') AND p[-1] <> p[-2]) GROUP BY 1", "recs", "items_", "cells"))
+# Every record with its number; rows above the first page number of a page that are not rescued stay diagnostics.
+B.CTES["numbered"] = (("rated",), "SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rescued, pdf_page, o) AS record_index FROM rated")
+B.CTES["loose"] = (
+    ("items_", "cells"),
+    "SELECT *, coalesce(len(p) IN (3, 4) AND NOT list_contains(p, '') AND p[-1] <> p[-2], false) AS saved FROM (SELECT doc, pdf_page, line, list_transform(string_split(string_agg(trim(text), ' | ' ORDER BY rk), '|'), lambda p: trim(p)) AS p "
+    "FROM items_ i WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc = i.doc AND c.pdf_page = i.pdf_page AND c.line <= i.line AND c.page IS NOT NULL) GROUP BY doc, pdf_page, line)")
+
+
+@case("errata_records", sql("SELECT doc, record_index, pdf_page, operation, parse_status, reasons FROM numbered", "numbered"))
 def errata_records(spark, sf):
-    return typed(records(spark, sf)[0].groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n"), F.max("pdf_page").alias("last_page"), F.count_if(F.col("target_page").isNull()).alias("rescued")))
+    return typed(records(spark, sf)[0].select("doc", "record_index", "pdf_page", "operation", "parse_status", F.array_join("quality_reasons", ",").alias("reasons")))
 
 
 @case("correction_eligibility", sql("SELECT doc, CASE WHEN parse_status <> 'LAYOUT_PARSED' THEN 'not_layout_parsed' END AS skip_reason, count(*) AS n FROM rated GROUP BY ALL", "rated"))
@@ -197,7 +206,21 @@ def correction_eligibility(spark, sf):
     return K.skip_reason(records(spark, sf)[0]).groupBy("doc", "skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("errata_chunk_text")
+_LINE = "'{}' || nullif({}, '') || '{}'"
+
+
+@case("errata_chunk_text", sql(
+    "WITH w AS (SELECT n.doc, n.record_index, n.operation, r.target_page, CASE WHEN n.rescued THEN array_to_string(l.p[1:-3], ' ') ELSE r.location END AS location, CASE WHEN n.rescued THEN l.p[-2] ELSE c.before END AS before, "
+    "CASE WHEN n.rescued THEN l.p[-1] ELSE c.after END AS after, c.append_text, c.append_instruction, c.delete_text, c.delete_instruction, c.note FROM numbered n "
+    "LEFT JOIN classed c ON c.doc = n.doc AND c.pdf_page = n.pdf_page AND c.record = n.o AND NOT n.rescued LEFT JOIN recs r ON r.doc = n.doc AND r.pdf_page = n.pdf_page AND r.record = n.o AND NOT n.rescued "
+    "LEFT JOIN loose l ON l.doc = n.doc AND l.pdf_page = n.pdf_page AND l.line = n.o AND n.rescued WHERE n.parse_status = 'LAYOUT_PARSED') "
+    "SELECT doc || ':errata:' || record_index AS chunk_id, operation, operation IN ('replace', 'delete') AS override_candidate, operation = 'append' AS supplement_candidate, concat_ws(chr(10), "
+    "replace(doc, '_', ' ') || ' ' || coalesce(target_page || '頁', 'ページ指定なし') || CASE operation WHEN 'replace' THEN 'の公式エラッタ。' WHEN 'append' THEN 'の公式追加・追記。' ELSE 'の公式削除エラッタ。' END, "
+    + _LINE.format("対象箇所は「", "location", "」。") + ", "
+    + ", ".join(f"CASE WHEN operation = '{op}' THEN " + _LINE.format(h, c, t) + " END" for op, h, c, t in (
+        ("replace", "訂正前は「", "before", "」。"), ("replace", "訂正後は「", "after", "」。"), ("append", "追記指示: ", "append_instruction", ""),
+        ("append", "追記内容: ", "append_text", ""), ("delete", "削除指示: ", "delete_instruction", ""), ("delete", "削除対象: ", "delete_text", "")))
+    + ", " + _LINE.format("注記: ", "note", "") + ") AS text FROM w", "numbered", "classed", "recs", "loose"))
 def errata_chunk_text(spark, sf):
     return typed(K.correction_chunks(records(spark, sf)[0]).select("chunk_id", "operation", "override_candidate", "supplement_candidate", "text"))
 
@@ -207,11 +230,31 @@ def document_counts(spark, sf):
     return K.document_counts(records(spark, sf)[0])
 
 
-@case("normalization_report")
+@case("normalization_report", sql(
+    "WITH r AS (SELECT doc, count(*) AS record_count, count(*) FILTER (parse_status = 'LAYOUT_PARSED') AS parsed_count, count(*) FILTER (parse_status = 'LAYOUT_COMPLEX') AS complex_count FROM rated GROUP BY doc), "
+    "f AS (SELECT r.*, coalesce(n, 0) AS diagnostic_count, round(complex_count / record_count, 4) AS complex_ratio FROM r LEFT JOIN (SELECT doc, count(*) AS n FROM loose WHERE NOT saved GROUP BY doc) USING (doc)) "
+    "SELECT *, row_number() OVER (ORDER BY complex_ratio DESC, complex_count DESC, doc) <= 10 AS review_ratio, row_number() OVER (ORDER BY diagnostic_count DESC, doc) <= 10 AS review_diagnostics FROM f", "rated", "loose"))
 def normalization_report(spark, sf):
     return typed(K.normalization_report(*records(spark, sf)))
 
 
+@case("normalization_totals", sql(
+    "WITH k AS (SELECT doc, operation, parse_status, 'layout' AS method FROM rated), c AS (SELECT CASE WHEN grouping(doc) = 0 THEN 'doc' WHEN grouping(operation) = 0 THEN 'operation' WHEN grouping(method) = 0 THEN 'extract_method' ELSE 'total' END AS kind, "
+    "coalesce(doc, operation, method, '') AS name, count(*) AS record_count, count(*) FILTER (parse_status = 'LAYOUT_PARSED') AS parsed_count, count(*) FILTER (parse_status = 'LAYOUT_COMPLEX') AS complex_count, CAST(0 AS BIGINT) AS fallback_count "
+    "FROM k GROUP BY GROUPING SETS ((doc), (operation), (method), ())) SELECT c.*, CAST(coalesce(CASE kind WHEN 'doc' THEN n WHEN 'total' THEN (SELECT count(*) FROM loose WHERE NOT saved) END, 0) AS BIGINT) AS diagnostic_count, "
+    "round(complex_count / record_count, 4) AS complex_ratio FROM c LEFT JOIN (SELECT doc AS name, count(*) AS n FROM loose WHERE NOT saved GROUP BY doc) USING (name)", "rated", "loose"))
+def normalization_totals(spark, sf):
+    return typed(K.normalization_totals(*records(spark, sf)))
+
+
+@case("correction_totals", sql(
+    "SELECT CASE WHEN grouping(doc) = 0 THEN 'source' WHEN grouping(operation) = 0 THEN 'operation' ELSE 'total' END AS kind, coalesce(doc, operation, '') AS name, count(*) AS chunk_count FROM rated "
+    "WHERE parse_status = 'LAYOUT_PARSED' AND doc NOT LIKE '%9' GROUP BY GROUPING SETS ((doc), (operation), ())", "rated"))
+def correction_totals(spark, sf):
+    r = records(spark, sf)[0]
+    return typed(K.chunk_totals(r, B.pages(spark, sf).where(F.col("book").endswith("9")).select(F.col("book").alias("doc")).distinct()))
+
+
 @case("correction_manifest", sql(
     "SELECT doc, CASE WHEN doc LIKE '%9' THEN 'EXCLUDED' ELSE 'BUILT' END AS status, CAST(count(*) AS BIGINT) AS record_count, CAST(count(*) FILTER (parse_status = 'LAYOUT_PARSED' AND doc NOT LIKE '%9') AS BIGINT) AS chunk_count, "
     "CASE WHEN count(*) FILTER (parse_status <> 'LAYOUT_PARSED') > 0 THEN '{\"not_layout_parsed\":' || count(*) FILTER (parse_status <> 'LAYOUT_PARSED') || '}' ELSE '{}' END AS skipped_counts FROM rated GROUP BY doc", "rated"))

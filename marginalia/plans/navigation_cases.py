@@ -115,10 +115,13 @@ def _toc_entries(spark, sf):
                     "title", (F.col("logical_page") % 7).alias("logical_page"), (F.col("level") * 2 - 2).alias("level"))
 
 
-@case("toc_merge", sql(
+_TOC_MERGED = (
     "SELECT m.book, m.title, m.logical_page, b.pdf_page, m.level, m.pages FROM (SELECT book, regexp_replace(title, '\\s+', '', 'g') AS k, logical_page, min_by(title, (s, pos)) AS title, "
     "min(least(3, greatest(1, level))) AS level, array_to_string(list_sort(list(DISTINCT s)), ',') AS pages FROM (SELECT book, pdf_page // 10 AS s, pdf_page AS pos, trim(title) AS title, "
-    "logical_page % 7 AS logical_page, level * 2 - 2 AS level FROM toc) WHERE title <> '' GROUP BY ALL) m LEFT JOIN bpages b ON b.book = m.book AND b.logical_page = m.logical_page", "toc"))
+    "logical_page % 7 AS logical_page, level * 2 - 2 AS level FROM toc) WHERE title <> '' GROUP BY ALL) m LEFT JOIN bpages b ON b.book = m.book AND b.logical_page = m.logical_page")
+
+
+@case("toc_merge", sql(_TOC_MERGED, "toc"))
 def toc_merge(spark, sf):
     merged = N.toc_merge(_toc_entries(spark, sf), _lookup(spark, sf))
     return typed(merged.select("book", "title", "logical_page", "pdf_page", "level",
@@ -132,10 +135,13 @@ def _index_entries(spark, sf):
                     F.concat(F.substring("term", 1, 1), F.lit("索引")).alias("detected"), F.array("logical_page").alias("logical_pages"))
 
 
-@case("index_merge", sql(
+_INDEX_MERGED = (
     "SELECT book, idx AS index_type, min_by(term, (s, pdf_page, term)) AS term, array_to_string(list_sort(list(DISTINCT pdf_page)), ',') AS pdf_pages, "
     "array_to_string(list_sort(list(DISTINCT s)), ',') AS sources FROM (SELECT book, pdf_page, pdf_page // 10 AS s, term, substring(term, 1, 1) || '索引' AS idx FROM index_terms) "
-    "GROUP BY book, idx, regexp_replace(term, '\\s+', '', 'g')", "index_terms"))
+    "GROUP BY book, idx, regexp_replace(term, '\\s+', '', 'g')")
+
+
+@case("index_merge", sql(_INDEX_MERGED, "index_terms"))
 def index_merge(spark, sf):
     entries = _index_entries(spark, sf).withColumn("pos", F.struct("pos", "term"))
     detected = entries.select("book", F.col("source_pdf_page").alias("pdf_page"), "detected")
@@ -169,13 +175,21 @@ def navigation_status(spark, sf):
     return N.navigation_status(p.select("book").distinct(), p.where("n_chars > 8000"), p.where("n_chars < 40"), p.where("n_chars > 16000"))
 
 
-@case("navigation_build")
+@case("navigation_build", sql(
+    f"WITH t AS ({_TOC_MERGED}), i AS ({_INDEX_MERGED}), n AS (SELECT book, (SELECT count(*) FROM t WHERE t.book = b.book) AS t, (SELECT count(*) FROM i WHERE i.book = b.book) AS i, "
+    "count(*) FILTER (n_chars % 97 = 0 AND n_chars % 2 <> 0) AS e FROM bpages b GROUP BY book) "
+    "SELECT 'toc' AS part, book, title AS name, pages FROM t UNION ALL SELECT 'index', book, term, pdf_pages FROM i UNION ALL "
+    "SELECT 'status', book, CASE WHEN t = 0 OR e > 0 THEN 'WARNING' WHEN i > 0 THEN 'OK' ELSE 'TOC_ONLY' END, t || ',' || i || ',' || e FROM n", "bpages", "toc", "index_terms"))
 def navigation_build(spark, sf):
     p = B.pages(spark, sf)
     errors = p.where("n_chars % 97 = 0").select("book", F.lit("toc").alias("kind"), "pdf_page")
     results = p.where("n_chars % 2 = 0").select("book", F.lit("toc").alias("kind"), "pdf_page")
-    _, _, status = N.navigation_build(p.select("book").distinct(), _toc_entries(spark, sf), _index_entries(spark, sf), errors, results, _lookup(spark, sf))
-    return status
+    entries = _index_entries(spark, sf).withColumn("pos", F.struct("pos", "term"))
+    toc, index, status = N.navigation_build(p.select("book").distinct(), _toc_entries(spark, sf), entries, errors, results, _lookup(spark, sf))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias("pages")
+    return toc.select(F.lit("toc").alias("part"), "book", F.col("title").alias("name"), join("source_toc_pages")).unionByName(
+        index.select(F.lit("index").alias("part"), "book", F.col("term").alias("name"), join("pdf_pages"))).unionByName(
+        status.select(F.lit("status").alias("part"), "book", F.col("status").alias("name"), F.concat_ws(",", "toc_count", "index_count", "error_count").alias("pages")))
 
 
 # ---- search ----
