@@ -98,13 +98,13 @@ def scan_page_maps(spark, sf):
     return typed(corpus.page_map_rows(_page_map_documents(spark, sf)))
 
 
-def _correction_rows(spark, sf):
-    """Correction JSON lines built from documents and parsed back with the declared schema."""
+def _correction_rows(spark, sf, operations=("replace", "append", "delete", "complex"), other="book"):
+    """Correction JSON lines built from documents and parsed back with the declared schema; Spanish ones are of the ``other`` class."""
     d = B.table(spark, sf, "documents")
-    op = F.element_at(F.array(*[F.lit(o) for o in ("replace", "append", "delete", "complex")]), (F.col("n_chars") % 4 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(o) for o in operations]), (F.col("n_chars") % len(operations) + 1).cast("int"))
     meta = F.struct(
         F.concat(F.col("source"), F.lit(":errata:"), F.col("doc_id").cast("string")).alias("chunk_id"),
-        F.when(F.col("lang") == "es", "book").otherwise(corpus.CORRECTION_CLASS).alias("source_class"),
+        F.when(F.col("lang") == "es", other).otherwise(corpus.CORRECTION_CLASS).alias("source_class"),
         F.col("source").alias("source_key"),
         F.when(F.col("n_chars") > 500, F.col("n_chars").cast("string")).otherwise(F.lit(None)).alias("target_page"),
         op.alias("operation"),
@@ -116,8 +116,8 @@ def _correction_rows(spark, sf):
 
 
 def _sound_rows(spark, sf):
-    """The rows without the invalid ones, which would fail the job."""
-    return corpus.correction_verdict(_correction_rows(spark, sf)).where("verdict <> 'invalid'").drop("verdict")
+    """Correction rows of all documents, none of them invalid; German ones are not eligible."""
+    return _correction_rows(spark, sf, corpus.OPERATIONS, corpus.CORRECTION_CLASS)
 
 
 _VERDICT_SQL = ("CASE WHEN lang = 'de' THEN 'skipped' WHEN lang = 'es' THEN 'invalid' WHEN n_chars % 4 = 3 THEN 'invalid' ELSE 'valid' END")
@@ -132,7 +132,7 @@ def scan_corrections(spark, sf):
 @case("correction_documents",
       "SELECT source AS book, CASE WHEN n_chars > 500 THEN n_chars END AS logical_page, '公式エラッタ' AS category, "
       "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chars, CAST(doc_id AS VARCHAR) AS official_chunk_id FROM documents "
-      f"WHERE {_VERDICT_SQL} = 'valid'")
+      "WHERE lang <> 'de'")
 def correction_documents(spark, sf):
     return typed(corpus.correction_documents(_sound_rows(spark, sf)).select(
         "book", "logical_page", "category", F.length("text").alias("chars"), "official_chunk_id"))
@@ -155,11 +155,6 @@ def scan_navigation(spark, sf):
     return corpus.toc_rows(corpus.navigation_last(_navigation(spark, sf), "pos"))
 
 
-@case("scan_page_assets")
-def scan_page_assets(spark, sf):
-    return files.list_assets(spark, sf, r"([a-z]+)\.parquet", "*.parquet").select("page_key", "name", "size")
-
-
 @case("sink_jsonl", sql("SELECT book, pdf_page, chunk, length(text) AS chars, md5(text) AS digest FROM chunks", "chunks"))
 def sink_jsonl(spark, sf):
     path = scratch_dir(spark, "jsonl")
@@ -193,7 +188,7 @@ def _index(spark, sf):
 _INDEX_SQL = (
     "SELECT book, pdf_page, logical_page, chunk, doc_id AS vec_id, 'book' AS source_class, text FROM chunks UNION ALL "
     "SELECT source, NULL, CASE WHEN n_chars > 500 THEN n_chars END, 0, doc_id, 'official_correction', text FROM documents "
-    f"WHERE {_VERDICT_SQL} = 'valid'")
+    "WHERE lang <> 'de'")
 
 
 @case("sink_index", sql(
@@ -210,6 +205,12 @@ def verify_index(spark, sf):
     return files.verify_index(_index(spark, sf))
 
 
+@case("index_sample", sql(
+    f"SELECT book, pdf_page, chunk, substring(replace(text, chr(10), ' '), 1, 120) AS preview FROM ({_INDEX_SQL}) ORDER BY book, pdf_page NULLS LAST, chunk, text LIMIT 5", "chunks"))
+def index_sample(spark, sf):
+    return files.sample_index(_index(spark, sf))
+
+
 @case("union_corpus", sql(
     f"SELECT book, source_class, count(*) AS n, sum(length(text))::BIGINT AS chars FROM ({_INDEX_SQL}) GROUP BY 1, 2", "chunks"))
 def union_corpus(spark, sf):

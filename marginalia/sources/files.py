@@ -93,9 +93,9 @@ def verify_index(index: DataFrame) -> DataFrame:
 
 
 def sample_index(index: DataFrame, n: int = 5, preview: int = 120) -> DataFrame:
-    """First chunks of an index by key, with a text preview."""
+    """First chunks of an index by key (corrections, which have no page, behind the pages of their book), with a text preview."""
     return (
-        index.orderBy("book", "pdf_page", "chunk")
+        index.orderBy("book", F.col("pdf_page").asc_nulls_last(), "chunk", "text")
         .limit(n)
         .select("book", "pdf_page", "chunk", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, preview).alias("preview"))
     )
