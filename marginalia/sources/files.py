@@ -60,7 +60,7 @@ def read_correction_lines(spark: SparkSession, path: str) -> DataFrame:
 def list_assets(spark: SparkSession, path: str, pattern: str = r"P0*(\d+)\.jpe?g", glob: str = "*.*") -> DataFrame:
     """Files whose name matches ``pattern`` with their number and change signature.
 
-    Only listing columns are selected, so file contents are never read.
+    Only listing columns are selected, so file contents are never read. Empty files are left out, as Spark's reader makes no row of them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name = F.element_at(F.split("path", "/"), -1)

@@ -461,3 +461,12 @@ def test_answer_context_brings_every_kind_of_item(spark):
     assert prompt.keys() == {1, 2} and "blue page 3 part 0 about dragons\nblue page 3 part 1" in prompt[1]
     usage = {r["query_id"]: r for r in a.usage.collect()}
     assert usage[1]["structured"] >= 1 and usage[1]["reference"] >= 2 and usage[2]["navigation"] == 0
+
+
+def test_listed_assets(spark, tmp_path):
+    from marginalia.sources import files
+
+    for name, size in (("P0012.jpg", 3), ("p7.JPEG", 2), ("P9.jpg", 0), ("P01.png", 1), ("xP1.jpg", 1), ("notes.txt", 9)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {(r["page_key"], r["name"], r["size"]) for r in files.list_assets(spark, str(tmp_path)).collect()}
+    assert got == {("12", "P0012.jpg", 3), ("7", "p7.JPEG", 2)}
