@@ -1,71 +1,63 @@
 """Quality rules: repetition and length counts, and perplexity bands of an n-gram model counted by Spark.
 
-The model is a modified Kneser-Ney model of order 4 over an alphabet of 64 symbols, one per language. Its n-grams fit 24 bits, so a
-language's model has at most 2^24 entries however large the corpus is, and is small enough to send to every executor. (A
-word model would grow with the corpus: most word pairs of a large crawl occur once.)
+The model is a modified Kneser-Ney model of order 4 over all code points, one per language. Its n-grams are rows of a table: Spark counts
+and smooths them with joins, so the model grows with the corpus and is neither broadcast nor collected. To score, the documents are dealt
+into chunks; a chunk asks for its distinct n-grams, meets them by an equality join, and looks them up in sorted hash arrays. (A model of
+words would need about one row for every word of a large crawl, as most word triples occur once.)
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import common
 from marginalia.session import written
 
 ORDER = 4
-_SIGNS = ".,;:!?'\"()-|#*$%&<>/"
-_LETTERS = "éèêçñóäöüß"
-
-
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x250: 0 text start, 1 space, 2 line end, letters, digit, signs, other."""
-    table = np.full(0x251, 63, np.uint8)  # 62: another letter, 63: anything else; the last entry: code points above
-    table[-1] = 62
-    for c in range(0x250):
-        ch = chr(c)
-        low = ch.lower()
-        if "a" <= low <= "z" and len(low) == 1:
-            table[c] = 3 + ord(low) - 97
-        elif low in _LETTERS and len(low) == 1:
-            table[c] = 50 + _LETTERS.index(low)
-        elif ch.isdigit() and c < 128:
-            table[c] = 29
-        elif ch in _SIGNS:
-            table[c] = 30 + _SIGNS.index(ch)
-        elif ch == "\n":
-            table[c] = 2
-        elif ch.isspace():
-            table[c] = 1
-        elif unicodedata.category(ch).startswith("L"):
-            table[c] = 62
-    return table
-
-
-_ALPHABET = _alphabet()
-#: Symbols that count as letters: the total bits of a text are divided by these, so that signs among words cost extra.
-_IS_LETTER = np.isin(np.arange(64), [*range(3, 30), *range(50, 60), 62]).astype(np.float64)
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """24-bit keys of all n-grams of the texts (each begun by text starts), and how many each text has."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    symbols = _ALPHABET[np.minimum(points, 0x250)].astype(np.int32)
+#: Stands before every text; a text that holds this noncharacter itself counts it as such.
+START = "\uffff"
+#: The probability that is left after the shortest n-gram is shared by all code points.
+CODE_POINTS = 0x110000
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points count as letters: the bits of a text are divided by these, so that signs among words cost extra."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(CODE_POINTS)), bool, CODE_POINTS)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes whose bits all depend on each other."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _seed(lang: str | None) -> int:
+    import xxhash
+
+    return 0 if lang is None else xxhash.xxh64_intdigest(lang.encode(), 42)
+
+
+def ngrams(texts: Sequence[str], langs: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the texts, each behind starts; where their n-grams end; a 64-bit hash of each with its language; n-grams per text."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lengths) - lengths
-    keys = symbols.copy()
-    for back in (1, 2, 3):
-        keys[back:] |= symbols[:-back] << (6 * back) if len(symbols) > back else 0
-    for i in (0, 1, 2):  # what lies before a text's start is the start symbol 0
-        at = starts[lengths > i] + i
-        keys[at] &= (1 << (6 * (i + 1))) - 1
-    return keys, lengths
+    front = START * (ORDER - 1)
+    points = np.frombuffer(front.join(["", *texts]).encode("utf-32-le"), np.uint32)
+    points = np.maximum(points, 1)  # NUL counts as U+0001
+    ends = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(texts) + 1) * (ORDER - 1), lengths)
+    wide = points.astype(np.uint64)
+    hashes = np.repeat(np.fromiter(map(_seed, langs), np.uint64, len(langs)), lengths)
+    for back in range(ORDER):
+        hashes += wide[ends - back] * np.uint64(pow(0x9E3779B97F4A7C15, back + 1, 1 << 64))
+    return points, ends, _mixed(hashes), lengths
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -73,109 +65,100 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """Rows (lang, key, n) over all whole texts: counted per task, then summed by Spark."""
+    """Rows (lang, gram, h, n) of all n-grams of order ``ORDER`` over all whole texts: counted per task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            keys, first, where = np.unique(columns[0], return_index=True, return_inverse=True)
+            return keys, np.bincount(where, columns[1], len(keys)).astype(np.int64), columns[2][first], columns[3][first]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys, n, grams, langs = merged()
+            for s in range(0, len(keys), 1 << 16):
+                cut = slice(s, s + (1 << 16))
+                arrays = [pa.array(langs[cut], pa.string()), pa.array(grams[cut], pa.string()), pa.array(keys[cut].view(np.int64)), pa.array(n[cut])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "h", "n"])
 
         for batch in batches:
             for part in common.slices(batch, "text"):
-                by: dict[str | None, list[str]] = {}
-                for lang, text in zip(part.column(0).to_pylist(), _texts(part.column(1))):
-                    by.setdefault(lang, []).append(text)
-                for lang, texts in by.items():
-                    parts = held.setdefault(lang, [])
-                    parts.append(np.unique(ngrams(texts)[0], return_counts=True))
-                    if len(parts) >= 8:
-                        parts[:] = [merge(parts)]
-        for lang, parts in held.items():
-            keys, n = merge(parts)
-            for s in range(0, len(keys), 1 << 16):
-                k = keys[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(n[s : s + (1 << 16)], pa.int64())], names=["lang", "key", "n"])
+                langs, texts = part.column(0).to_pylist(), _texts(part.column(1))
+                points, ends, hashes, lengths = ngrams(texts, langs)
+                keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                at = ends[first]
+                grams = np.ascontiguousarray(points[at[:, None] + np.arange(1 - ORDER, 1)]).view(f"<U{ORDER}").ravel().astype(object)
+                named = np.empty(len(langs), object)
+                named[:] = langs
+                held.append((keys, n, grams, named[np.searchsorted(np.cumsum(lengths), first, "right")]))
+                if len(held) >= 8:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield from rows()
+                        held.clear()
+        if held:
+            yield from rows()
+
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, h bigint, n bigint")
+    return counted.groupBy("lang", "gram", "h").agg(F.sum("n").alias("n"))
+
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, key int, n bigint")
-    return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+#: A counting task passes its n-grams on when it holds more than so many.
+HELD = 1 << 21
 
 
-def _hash(keys: np.ndarray) -> np.ndarray:
-    """A 32-bit hash that no two 24-bit keys share."""
-    return ((keys.astype(np.uint64) + np.uint64(1)) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _discounts(n: DataFrame) -> DataFrame:
+    """Modified Kneser-Ney discounts (_d1, _d2, _d3) of each language, for counts of 1, 2, and 3 or more; without n-grams that occur once
+    or twice Y is 1/2."""
+    times = [F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]
+    rows = n.groupBy(F.col("lang").alias("_lang")).agg(*[t.alias(f"_t{k}") for k, t in enumerate(times, 1)])
+    y = F.when((F.col("_t1") > 0) & (F.col("_t2") > 0), F.col("_t1") / (F.col("_t1") + 2 * F.col("_t2"))).otherwise(0.5)
 
+    def of(k: int) -> Column:
+        d = F.when(F.col(f"_t{k}") > 0, k - (k + 1) * y * F.col(f"_t{k + 1}") / F.col(f"_t{k}")).otherwise(k * y)
+        return F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05)).alias(f"_d{k}")
 
-def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    asked = _hash(keys)
-    at = np.minimum(np.searchsorted(hashes, asked), max(len(hashes) - 1, 0))
-    return at, (hashes[at] == asked) if len(hashes) else np.zeros(len(keys), bool)
+    return rows.select("_lang", of(1), of(2), of(3))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2, and 3 or more; counts of counts that are missing give Y = 1/2."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(v, 0.05), k - 0.05) for k, v in zip((1, 2, 3), d))])
+def _same(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
 
 
-def fit(keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order 1..4: sorted hashes and log2 probabilities of its n-grams, sorted hashes and log2 back-off weights of its contexts."""
-    levels = [(keys.astype(np.int64), counts.astype(np.int64))]
-    for order in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols before an n-gram
-        levels.append(np.unique(levels[-1][0] & ((1 << (6 * order)) - 1), return_counts=True))
-    out, lower = [], None
-    for order, (grams, n) in enumerate(reversed(levels), 1):
-        d = _discounts(n)
-        contexts, where = np.unique(grams >> 6, return_inverse=True)
-        total = np.bincount(where, n, len(contexts))
-        cut = d[np.minimum(n, 3)]
-        gamma = np.maximum(np.bincount(where, cut, len(contexts)) / total, 1e-9)
-        if lower is None:
-            below = np.full(len(grams), 1 / 64)
+def fit(grams: DataFrame) -> DataFrame:
+    """Rows (lang, gram, h, n, p, alone) of the counted n-grams of order ``ORDER``: p is the probability of the last code point after those
+    before it, alone the same for a text that holds all occurrences of the n-gram: as if the n-gram was not there, nor the shorter ones at
+    its end that stand behind nothing else.
+
+    Lower orders count the distinct code points in front of an n-gram. From one code point up, an order gives its discounted share plus
+    its context's left-over weight times the probability in the order below. Every step is an aggregate or a join on (lang, n-gram).
+    """
+    levels = [grams]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = levels[-1].groupBy("lang", F.right("gram", F.lit(order)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(written(shorter, "level"))
+    below = None
+    for order, level in enumerate(reversed(levels), 1):
+        cut = F.when(F.col("n") == 1, F.col("_d1")).when(F.col("n") == 2, F.col("_d2")).otherwise(F.col("_d3"))
+        known = level.join(_discounts(level), _same("lang", "_lang")).withColumn("_cut", cut).drop("_lang", "_d1", "_d2", "_d3")
+        known = known.withColumn("_context", F.left("gram", F.lit(order - 1)))
+        contexts = known.groupBy(F.col("lang").alias("_l"), F.col("_context").alias("_c")).agg(F.sum("n").alias("_total"), F.sum("_cut").alias("_free"))
+        met = known.join(contexts, _same("lang", "_l") & (F.col("_context") == F.col("_c"))).drop("_l", "_c")
+        if below is None:
+            low = alone = F.lit(1.0 / CODE_POINTS)
+        else:
+            lower = below.select(F.col("lang").alias("_l"), F.col("gram").alias("_c"), F.col("p").alias("_p"), F.col("alone").alias("_alone"))
+            met = met.join(lower, _same("lang", "_l") & (F.right("gram", F.lit(order - 1)) == F.col("_c")))
+            low, alone = F.col("_p"), F.col("_alone")
+        p = (F.col("n") - F.col("_cut") + F.col("_free") * low) / F.col("_total")
+        alone = F.col("_free") * alone / F.col("_total")
+        if order < ORDER:
+            smoothed = met.select("lang", "gram", p.alias("p"), F.when(F.col("n") == 1, alone).otherwise(p).alias("alone"))
         else:
-            at, _ = _find(lower[0], grams & ((1 << (6 * (order - 1))) - 1))
-            below = np.exp2(lower[1][at])
-        p = np.log2(np.maximum((n - cut) / total[where] + gamma[where] * below, 1e-12))
-        g, c = np.argsort(_hash(grams)), np.argsort(_hash(contexts))
-        lower = (_hash(grams)[g], p[g])
-        out.append((order, lower[0], p[g].astype(np.float32), _hash(contexts)[c], np.log2(gamma)[c].astype(np.float32)))
-    return out
-
-
-def score(model: dict, keys: np.ndarray) -> np.ndarray:
-    """log2 probability of the last symbol of each key: the longest known n-gram, with the back-off weights of the contexts above it."""
-    out = np.zeros(len(keys))
-    open_ = np.arange(len(keys))
-    for order in range(ORDER, 0, -1):
-        if order not in model or not len(open_):
-            break
-        grams, p, contexts, gamma = model[order]
-        part = keys[open_] & ((1 << (6 * order)) - 1)
-        at, known = _find(grams, part)
-        out[open_[known]] += p[at[known]]
-        open_, part = open_[~known], part[~known]
-        at, known = _find(contexts, part >> 6)
-        out[open_[known]] += gamma[at[known]]
-    out[open_] -= 6.0  # 64 equal symbols
-    return out
-
-
-def train(docs: DataFrame) -> dict[str | None, dict]:
-    """Models by language, fitted in one task per language from at most 2^24 summed counts."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        lang = frame["lang"].iloc[0]
-        made = fit(frame["key"].to_numpy(), frame["n"].to_numpy())
-        return pd.DataFrame([(lang, o, *(a.tobytes() for a in arrays)) for o, *arrays in made], columns=["lang", "n", "grams", "p", "contexts", "gamma"])
-
-    models: dict[str | None, dict] = {}
-    rows = count_ngrams(docs).groupBy("lang").applyInPandas(one, "lang string, n int, grams binary, p binary, contexts binary, gamma binary")
-    for r in rows.toLocalIterator():
-        models.setdefault(r["lang"], {})[r["n"]] = tuple(np.frombuffer(bytes(r[c]), t) for c, t in (("grams", np.uint32), ("p", np.float32), ("contexts", np.uint32), ("gamma", np.float32)))
-    return models
+            smoothed = met.select("lang", "gram", "h", "n", p.alias("p"), alone.alias("alone"))
+        below = written(smoothed, "smoothed")
+    return below
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -209,46 +192,64 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def scored(docs: DataFrame, models: dict, carry: tuple[str, ...]) -> DataFrame:
-    """The carried columns with the base counts, base_failed and ``_bits`` (log2 probability by letter; null for a text without letters)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The carried columns with the base counts, base_failed and ``_bits`` (log2 probability by letter; null for a text without letters).
+
+    ``model`` is the fitted table of all n-grams of these documents. Texts are shuffled once, into chunks by a hash of the row, as many as
+    the session has shuffle tasks; the same exchange feeds the chunk's list of distinct n-grams and its scoring.
+    """
     fields = [docs.schema[c] for c in carry]
+    chunk = F.pmod(F.xxhash64("text", *carry), F.lit(common.fan_out(docs.sparkSession))).cast("int")
+    dealt = docs.select(chunk.alias("_chunk"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), *carry).repartition(common.fan_out(docs.sparkSession), "_chunk")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.full(1 << 24, np.nan, np.float32)  # one language at a time, spread out from its sorted arrays
-        inverse = np.uint64(pow(2654435761, -1, 1 << 32))
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
+            chunks = batch.column(0).to_numpy()
+            for c in np.unique(chunks):
+                for part in common.slices(batch.filter(pa.array(chunks == c)), "_text"):
+                    own = held.setdefault(int(c), [])
+                    own.append(np.unique(ngrams(_texts(part.column(1)), part.column(2).to_pylist())[2]))
+                    if len(own) >= 8:
+                        own[:] = [np.unique(np.concatenate(own))]
+        for c, own in held.items():
+            keys = np.unique(np.concatenate(own)).view(np.int64)
+            for s in range(0, len(keys), 1 << 16):
+                k = keys[s : s + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(k)], names=["_chunk", "h"])
+
+    def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        keys = grams.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, total = keys[order], grams.column("n").to_numpy()[order]
+        log_p, log_alone = (np.log2(grams.column(c).to_numpy()[order].astype(np.float64)) for c in ("p", "alone"))
+        made = []
+        for batch in rows.to_batches():
             for part in common.slices(batch, "_text"):
-                texts, langs = _texts(part.column("_text")), part.column("_lang").to_pylist()
+                texts = _texts(part.column("_text"))
+                points, ends, hashes, lengths = ngrams(texts, part.column("_lang").to_pylist())
                 bits = np.full(len(texts), np.nan)
-                by: dict[str | None, list[int]] = {}
-                for i, lang in enumerate(langs):
-                    by.setdefault(lang, []).append(i)
-                for lang, rows in by.items():
-                    model = shared.value.get(lang, {})
-                    keys, lengths = ngrams([texts[i] for i in rows])
-                    spread = np.zeros(0, np.int64)
-                    if ORDER in model:
-                        spread = ((model[ORDER][0].astype(np.uint64) * inverse & np.uint64(0xFFFFFFFF)) - np.uint64(1)).astype(np.int64)
-                        dense[spread] = model[ORDER][1]
-                    p = dense[keys]
-                    dense[spread] = np.nan
-                    new = np.isnan(p)
-                    if new.any():
-                        p[new] = score(model, keys[new])
-                    full = lengths > 0
-                    if full.any():
-                        at = (np.cumsum(lengths) - lengths)[full]
-                        letters = np.add.reduceat(_IS_LETTER[keys & 63], at)
-                        sums = np.add.reduceat(p, at, dtype=np.float64)
-                        bits[np.array(rows)[full]] = np.where(letters > 0, -sums / np.maximum(letters, 1), np.nan)
+                full = lengths > 0
+                if full.any():
+                    at = (np.cumsum(lengths) - lengths)[full]
+                    distinct, where = np.unique(hashes, return_inverse=True)
+                    found = np.searchsorted(keys, distinct)
+                    text_of = np.repeat(np.arange(len(texts)), lengths)
+                    pairs, first, own_n = np.unique(where + text_of * len(distinct), return_index=True, return_counts=True)
+                    entry = found[where[first]]
+                    cost = own_n * np.where(own_n == total[entry], log_alone[entry], log_p[entry])
+                    sums = np.bincount(text_of[first], cost, len(texts))[full]
+                    letters = np.add.reduceat(_letters()[points[ends]].astype(np.int64), at)
+                    bits[full] = np.where(letters > 0, -sums / np.maximum(letters, 1), np.nan)
                 stats = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
                 failed = (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
-                own = [part.column(j) for j, name in enumerate(part.schema.names) if name not in ("_text", "_lang")]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(stats[:, k]) for k in range(5)), pa.array(failed), pa.array(bits, pa.float64(), mask=np.isnan(bits))], names=[*carry, *COUNTS, "base_failed", "_bits"])
+                own = [part.column(c) for c in carry]
+                made.append(pa.RecordBatch.from_arrays([*own, *(pa.array(stats[:, k]) for k in range(5)), pa.array(failed), pa.array(bits, pa.float64(), mask=np.isnan(bits))], names=[*carry, *COUNTS, "base_failed", "_bits"]))
+        return pa.Table.from_batches(made) if made else pa.table({})
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} bigint" for c in COUNTS), "base_failed boolean, _bits double"])
-    return docs.select(*carry, F.col("text").alias("_text"), F.col("lang").alias("_lang")).mapInArrow(run, kind)
+    parts = dealt.mapInArrow(asked, "_chunk int, h bigint").join(model.select("h", "n", F.col("p").cast("float"), F.col("alone").cast("float")), "h").select("_chunk", "h", "n", "p", "alone")
+    return dealt.groupBy("_chunk").cogroup(parts.groupBy("_chunk")).applyInArrow(run, kind)
 
 
 def bands(rows: DataFrame, below: float, above: float, step: float = 0.001) -> DataFrame:
@@ -266,16 +267,17 @@ def bands(rows: DataFrame, below: float, above: float, step: float = 0.001) -> D
 def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), below: float = 12.0, above: float = 12.0) -> DataFrame:
     """Every document with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity and kept.
 
-    The model is counted over all documents. A document is kept if it passes the base rules and its perplexity lies within its
+    The model is counted over all documents; an n-gram that only the document itself has does not speak for it. A document is kept if it passes the base rules and its perplexity lies within its
     language's band. Null and empty texts have no perplexity and fail the base rules (no words); a text without
     letters has none either and is not kept. Null language: a language
     of its own. Repeated rows each get a row; an empty table gives no rows. ``carry`` names the columns that come along, in front.
     """
     carry = tuple(dict.fromkeys(carry))
-    clash = {*COUNTS, "base_failed", "kept", "perplexity"} & set(carry)
+    clash = {*COUNTS, "base_failed", "kept", "perplexity", "_chunk", "_text", "_lang", "_bits", "_l", "_low", "_high"} & set(carry)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    rows = written(scored(docs, train(docs), carry if "lang" in carry else (*carry, "lang")), "scored")
+    model = fit(written(count_ngrams(docs), "grams"))
+    rows = written(scored(docs, model, carry if "lang" in carry else (*carry, "lang")), "scored")
     limits = written(bands(rows, below, above), "bands")
     judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("_l")), "left")
     inside = F.coalesce(F.col("_bits").between(F.col("_low"), F.col("_high")), F.lit(False))

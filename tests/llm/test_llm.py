@@ -219,18 +219,95 @@ def test_perplexity_counts(docs, rows, none):
     assert perplexity.judge(none).count() == 0
 
 
-def test_model_is_a_distribution_and_bands_reject_noise(spark):
+def brute_model(texts):
+    """Modified Kneser-Ney over code points by plain dictionaries: a function of the n-gram, whether or not it was seen."""
+    order, start = perplexity.ORDER, perplexity.START
+    levels = {order: Counter()}
+    for t in texts:
+        padded = start * (order - 1) + t
+        levels[order].update(padded[i : i + order] for i in range(len(t)))
+    for o in range(order - 1, 0, -1):
+        levels[o] = Counter(g[1:] for g in levels[o + 1])
+    cuts = {}
+    for o, grams in levels.items():
+        n = Counter(grams.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        cuts[o] = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * y, 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / perplexity.CODE_POINTS
+        grams, cut = levels[len(gram)], cuts[len(gram)]
+        after = [n for g, n in grams.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        n = grams[gram]
+        seen = n - cut[min(n, 3) - 1] if n else 0
+        return (seen + sum(cut[min(m, 3) - 1] for m in after) * p(gram[1:])) / sum(after)
+
+    def alone(gram):
+        if not gram:
+            return 1 / perplexity.CODE_POINTS
+        if len(gram) < order and levels[len(gram)][gram] > 1:
+            return p(gram)
+        after, cut = [n for g, n in levels[len(gram)].items() if g[:-1] == gram[:-1]], cuts[len(gram)]
+        return sum(cut[min(m, 3) - 1] for m in after) / sum(after) * alone(gram[1:])
+
+    return p, alone, levels[order]
+
+
+def test_model_equals_brute_force(spark):
     rng = random.Random(2)
-    texts = [sentence(rng, 120) for _ in range(60)]
-    keys, _ = perplexity.ngrams(texts)
-    model = {o: x for o, *x in perplexity.fit(*np.unique(keys, return_counts=True))}
-    for context in [int(k) >> 6 for k in keys[:5]] + [(63 << 12) | (62 << 6) | 61]:
-        p = np.exp2(perplexity.score(model, (context << 6) + np.arange(64)))
-        assert abs(p.sum() - 1) < 0.01
-    noise = " ".join("".join(rng.choice("theanrtioslqumd") for _ in range(6)) for _ in range(120))
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, noise])], "doc_id bigint, text string, lang string")
-    kept = {r["doc_id"] for r in perplexity.judge(df).where("kept").collect()}
-    assert kept == set(range(60))
+    langs = {"en": [sentence(rng, 40) for _ in range(4)] + ["", "日本 a"], None: ["мир и труд " * 3, "a\0b", "x"]}
+    df = spark.createDataFrame([(t, l) for l, ts in langs.items() for t in ts] + [(None, "de")], "text string, lang string")
+    fitted = perplexity.fit(perplexity.count_ngrams(df)).collect()
+    assert len(fitted) == len({(r["lang"], r["gram"]) for r in fitted}) == len({r["h"] for r in fitted})
+    for lang, texts in langs.items():
+        p, alone, counts = brute_model([t.replace("\0", "\1") for t in texts])
+        got = {r["gram"]: r for r in fitted if r["lang"] == lang}
+        assert {g: r["n"] for g, r in got.items()} == counts
+        assert all(abs(p(g) / r["p"] - 1) < 1e-9 and abs(alone(g) / r["alone"] - 1) < 1e-9 for g, r in got.items())
+        symbols = {g[-1] for g in got}
+        for context in [next(iter(got))[:-1], "qqq"]:
+            assert abs(sum(p(context + c) for c in symbols) + (perplexity.CODE_POINTS - len(symbols)) * p(context + "\u4e00\u4e01"[-1]) - 1) < 1e-9
+    rows = perplexity.judge(df.withColumn("doc_id", F.xxhash64("text")), carry=("text", "lang")).collect()
+    for r in rows:
+        t = (r["text"] or "").replace("\0", "\1")
+        letters = sum(c.isalnum() for c in t)
+        assert (r["perplexity"] is None) == (letters == 0)
+        if letters:
+            (p, alone, counts), padded = brute_model([x.replace("\0", "\1") for x in langs[r["lang"]]]), perplexity.START * 3 + t
+            own = Counter(padded[i : i + 4] for i in range(len(t)))
+            bits = -sum(n * math.log2((alone if n == counts[g] else p)(g)) for g, n in own.items()) / letters
+            assert abs(math.log2(r["perplexity"]) - bits) < 1e-5
+
+
+def test_bands_reject_noise_in_any_script_and_shuffled_words(spark, monkeypatch):
+    rng = random.Random(2)
+    cyrillic = "по не ро ка та ст ов ени при ал я го ми де".split()
+    small, large = "the of in was by at not had been when for with".split(), [sentence(rng, 1) + "ed" for _ in range(150)]
+
+    def russian():
+        return " ".join("".join(rng.choice(cyrillic) for _ in range(rng.randint(1, 4))) for _ in range(120))
+
+    def english():
+        return " ".join(f"{rng.choice(small)} {rng.choice(large)}" for _ in range(100))
+
+    def shuffled(t):
+        w = t.split()
+        rng.shuffle(w)
+        return " ".join(w)
+
+    def noise(alphabet):
+        return " ".join("".join(rng.choice(alphabet) for _ in range(6)) for _ in range(120))
+
+    texts = [(russian(), "ru") for _ in range(60)] + [(english(), "en") for _ in range(60)]
+    bad = [(noise(sorted({*"".join(cyrillic)})), "ru"), (noise("theanrtioslqumd"), "en"), (shuffled(english()), "en")]
+    monkeypatch.setattr(perplexity, "HELD", 50)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*texts, *bad])], "doc_id bigint, text string, lang string")
+    judged = {r["doc_id"]: r for r in perplexity.judge(df).collect()}
+    assert not any(r["base_failed"] for r in judged.values())
+    assert {d for d, r in judged.items() if r["kept"]} == set(range(120))
 
 
 def test_html_blocks_and_field(spark):
