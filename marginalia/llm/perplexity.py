@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import common
@@ -60,12 +60,28 @@ def ngrams(texts: Sequence[str], langs: Sequence[str | None]) -> tuple[np.ndarra
     return points, ends, _mixed(hashes), lengths
 
 
+def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """For each value of the leading bits: where sorted hashes with these begin; and how far a hash is shifted to get its leading bits."""
+    shift = np.uint64(64 - min(24, len(keys).bit_length() + 3))
+    sizes = np.bincount((keys >> shift).astype(np.int64), minlength=1 << (64 - int(shift)))
+    return np.minimum(np.cumsum(sizes) - sizes, max(len(keys) - 1, 0)).astype(np.int32), shift
+
+
+def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted array that has them all: by their leading bits, by binary search where these are shared."""
+    starts, shift = _starts(keys)
+    at = starts[(hashes >> shift).astype(np.int64)]
+    other = np.flatnonzero(keys[at] != hashes)
+    at[other] = np.searchsorted(keys, hashes[other])
+    return at
+
+
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """Rows (lang, gram, h, n) of all n-grams of order ``ORDER`` over all whole texts: counted per task, then summed by Spark."""
+    """Rows (lang, gram, n) of all n-grams of order ``ORDER`` over all whole texts: counted per task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -79,14 +95,18 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             keys, n, grams, langs = merged()
             for s in range(0, len(keys), 1 << 16):
                 cut = slice(s, s + (1 << 16))
-                arrays = [pa.array(langs[cut], pa.string()), pa.array(grams[cut], pa.string()), pa.array(keys[cut].view(np.int64)), pa.array(n[cut])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "h", "n"])
+                arrays = [pa.array(langs[cut], pa.string()), pa.array(grams[cut], pa.string()), pa.array(n[cut])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
 
         for batch in batches:
             for part in common.slices(batch, "text"):
                 langs, texts = part.column(0).to_pylist(), _texts(part.column(1))
                 points, ends, hashes, lengths = ngrams(texts, langs)
-                keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                if not len(hashes):
+                    continue
+                keys, n = np.unique(hashes, return_counts=True)
+                first = np.empty(len(keys), np.int64)
+                first[_found(keys, hashes)] = np.arange(len(hashes))
                 at = ends[first]
                 grams = np.ascontiguousarray(points[at[:, None] + np.arange(1 - ORDER, 1)]).view(f"<U{ORDER}").ravel().astype(object)
                 named = np.empty(len(langs), object)
@@ -100,8 +120,20 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         if held:
             yield from rows()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, h bigint, n bigint")
-    return counted.groupBy("lang", "gram", "h").agg(F.sum("n").alias("n"))
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def hashed(grams: DataFrame) -> DataFrame:
+    """The counted n-grams with h, their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h = ngrams(batch.column("gram").to_pylist(), batch.column("lang").to_pylist())[2][ORDER - 1 :: ORDER]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64))], names=[*batch.schema.names, "h"])
+
+    return grams.select("lang", "gram", "n").mapInArrow(run, "lang string, gram string, n bigint, h bigint")
 
 
 #: A counting task passes its n-grams on when it holds more than so many.
@@ -221,8 +253,8 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
     def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
         keys = grams.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys, total = keys[order], grams.column("n").to_numpy()[order]
-        log_p, log_alone = (np.log2(grams.column(c).to_numpy()[order].astype(np.float64)) for c in ("p", "alone"))
+        keys, total = keys[order], grams.column("n").fill_null(0).to_numpy()[order]
+        log_p, log_alone = (np.log2(grams.column(c).fill_null(1.0).to_numpy()[order].astype(np.float64)) for c in ("p", "alone"))
         made = []
         for batch in rows.to_batches():
             for part in common.slices(batch, "_text"):
@@ -232,13 +264,10 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
                 full = lengths > 0
                 if full.any():
                     at = (np.cumsum(lengths) - lengths)[full]
-                    distinct, where = np.unique(hashes, return_inverse=True)
-                    found = np.searchsorted(keys, distinct)
-                    text_of = np.repeat(np.arange(len(texts)), lengths)
-                    pairs, first, own_n = np.unique(where + text_of * len(distinct), return_index=True, return_counts=True)
-                    entry = found[where[first]]
+                    pairs, own_n = np.unique(np.repeat(np.arange(len(texts)) * len(keys), lengths) + _found(keys, hashes), return_counts=True)
+                    text_of, entry = np.divmod(pairs, len(keys))
                     cost = own_n * np.where(own_n == total[entry], log_alone[entry], log_p[entry])
-                    sums = np.bincount(text_of[first], cost, len(texts))[full]
+                    sums = np.bincount(text_of, cost, len(texts))[full]
                     letters = np.add.reduceat(_letters()[points[ends]].astype(np.int64), at)
                     bits[full] = np.where(letters > 0, -sums / np.maximum(letters, 1), np.nan)
                 stats = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
@@ -248,7 +277,11 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
         return pa.Table.from_batches(made) if made else pa.table({})
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} bigint" for c in COUNTS), "base_failed boolean, _bits double"])
-    parts = dealt.mapInArrow(asked, "_chunk int, h bigint").join(model.select("h", "n", F.col("p").cast("float"), F.col("alone").cast("float")), "h").select("_chunk", "h", "n", "p", "alone")
+    # what several chunks ask for is in several texts: only the rest carry what a text alone with its n-gram needs
+    single = F.count(F.lit(1)).over(Window.partitionBy("h")) == 1
+    needed = dealt.mapInArrow(asked, "_chunk int, h bigint").withColumn("_single", single)
+    parts = needed.join(model.select("h", "n", F.col("p").cast("float"), F.col("alone").cast("float")), "h")
+    parts = parts.select("_chunk", "h", F.when(F.col("_single"), F.col("n")).alias("n"), "p", F.when(F.col("_single"), F.col("alone")).alias("alone"))
     return dealt.groupBy("_chunk").cogroup(parts.groupBy("_chunk")).applyInArrow(run, kind)
 
 
@@ -276,7 +309,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), below: f
     clash = {*COUNTS, "base_failed", "kept", "perplexity", "_chunk", "_text", "_lang", "_bits", "_l", "_low", "_high"} & set(carry)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    model = fit(written(count_ngrams(docs), "grams"))
+    model = fit(written(hashed(count_ngrams(docs)), "grams"))
     rows = written(scored(docs, model, carry if "lang" in carry else (*carry, "lang")), "scored")
     limits = written(bands(rows, below, above), "bands")
     judged = rows.join(limits, F.col("lang").eqNullSafe(F.col("_l")), "left")
