@@ -134,11 +134,12 @@ def manifest_last(rows: DataFrame, position: str) -> DataFrame:
     return rows.where(F.col("url").isNotNull()).groupBy("url").agg(F.max_by(F.struct(*rest), position).alias("_r")).select("url", "_r.*")
 
 
-def manifest_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """new, changed, unchanged or removed per URL by content hash."""
-    joined = current.select("url", F.col("sha256").alias("_now")).join(previous.select("url", F.col("sha256").alias("_was")), "url", "full")
-    return joined.select("url", F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "removed")
-                         .when(F.col("_now").eqNullSafe(F.col("_was")), "unchanged").otherwise("changed").alias("status"))
+def manifest_diff(current: DataFrame, previous: DataFrame, position: str | None = None) -> DataFrame:
+    """new, changed, unchanged or removed per URL by content hash; of several rows of a URL in a manifest the last by ``position`` counts."""
+    last = (lambda m: manifest_last(m.select("url", "sha256", position), position)) if position else (lambda m: m)
+    now, was = (last(m).select("url", F.struct("sha256").alias(name)) for m, name in ((current, "_now"), (previous, "_was")))
+    return now.join(was, "url", "full").select("url", F.when(F.col("_was").isNull(), "new").when(F.col("_now").isNull(), "removed")
+                                               .when(F.col("_now").eqNullSafe(F.col("_was")), "unchanged").otherwise("changed").alias("status"))
 
 
 def asset_diff(assets: DataFrame, state: DataFrame, keys: Sequence[str], signature: Sequence[str], finished: Sequence[str] = ("OK",)) -> DataFrame:

@@ -401,6 +401,16 @@ def test_frontier_is_breadth_first_in_queue_order(spark):
     assert {r["url"]: (r["depth"], r["discovered_from"]) for r in got.collect()} == seen
 
 
+def test_manifest_diff_has_one_row_per_url(spark):
+    from marginalia.operators import crawl
+
+    rows = lambda *r: spark.createDataFrame(r, "url STRING, sha256 STRING, page_id BIGINT")
+    current = rows(("a", "1", 1), ("a", "2", 5), ("b", "1", 2), ("c", None, 3), (None, "9", 4))
+    previous = rows(("a", "2", 2), ("b", "1", 1), ("b", "0", 7), ("d", "1", 1), ("d", "2", 2))
+    got = sorted(map(tuple, crawl.manifest_diff(current, previous, "page_id").collect()))
+    assert got == [("a", "unchanged"), ("b", "changed"), ("c", "new"), ("d", "removed")]
+
+
 def test_manifest_stream_keeps_the_last_version_and_resumes(spark, tmp_path):
     from marginalia.streaming import tables
 
