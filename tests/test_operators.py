@@ -100,6 +100,47 @@ def test_inverted_index_skips_nothing(spark, monkeypatch):
     assert {r["gram"]: r["df"] for r in inverted.frequencies(index).collect()} == df
 
 
+def test_lexical_search_of_large_vocabularies(spark, monkeypatch):
+    """Norms by parts of the vocabulary, ranks instead of many characters, blocks and counts of a few rows: the same result."""
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)] + list("abc \0😀")
+    docs = [(f"b{i % 3}", i, 0, "".join(rng.choices(letters[-400:], k=rng.choice([0, 1, 3, 60, 300])))) for i in range(60)]
+    asks = [(q, 1, rng.choice(docs)[3][:50]) for q in range(12)]
+    d = spark.createDataFrame(docs, "book STRING, pdf_page INT, chunk INT, text STRING")
+    a = spark.createDataFrame(asks, "query_id BIGINT, variant_no BIGINT, query STRING")
+
+    def found():
+        return sorted(map(tuple, retrieval.lexical_search(d, a, 5).collect()))
+
+    whole = found()
+    assert whole
+    for name, value in (("IDF_ROWS", 3_000), ("CELLS", 500), ("COUNT_ROWS", 1_000)):
+        monkeypatch.setattr(inverted, name, value)
+    assert found() == whole
+    grams = ["ab", "a\0c", "😀x日本", "\0\0", "abcdef"]
+    assert inverted._strings(*inverted._numbers(grams)) == grams
+    many = "".join(chr(0x4E00 + i) for i in range(20_000)) + "".join(rng.choices(letters, k=3_000))
+    low, high, lengths, owners, tfs = inverted._segment([many, many[:9_000]], (2, 3, 4))
+    want = [Counter(t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)) for t in (many, many[:9_000])]
+    names = np.repeat(np.array(inverted._strings(low, high), object), lengths).tolist()
+    assert {(g, o): n for g, o, n in zip(names, owners.tolist(), tfs.tolist())} == {(g, o): n for o, c in enumerate(want) for g, n in c.items()}
+
+
+def test_lexical_search_writes_no_lists_of_grams(spark):
+    from pathlib import Path
+
+    from marginalia.session import scratch_folders
+
+    rng = random.Random(13)
+    docs = [("b", i, 0, "".join(rng.choices("abcdefghij ", k=2_000))) for i in range(200)]
+    a = spark.createDataFrame([(1, 1, docs[0][3][:80])], "query_id BIGINT, variant_no BIGINT, query STRING")
+    before = set(scratch_folders())
+    retrieval.lexical_search(spark.createDataFrame(docs, "book STRING, pdf_page INT, chunk INT, text STRING"), a, 5).collect()
+    held = {f: sum(x.stat().st_size for x in Path(f).rglob("*.parquet")) for f in set(scratch_folders()) - before}
+    texts = [n for f, n in held.items() if "/idf-" not in f]
+    assert sum(texts) < 2 * 200 * 2_000, held
+
+
 def test_vector_search_in_blocks(spark):
     rng = np.random.default_rng(3)
     v, q = rng.normal(size=(50, 8)).astype("float32"), rng.normal(size=(5, 8)).astype("float32")
