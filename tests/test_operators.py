@@ -208,10 +208,13 @@ def test_contained_terms_in_shards(spark, monkeypatch):
 def test_stripes_shrink_as_shards_grow(spark, monkeypatch):
     """Each stripe takes all shards: with many shards, indexes are not built once more for every task of the session."""
     monkeypatch.setattr(containment, "SHARD_CHARS", 9)
+    monkeypatch.setattr(fuzzy, "SHARD_CHARS", 9)
     words = ["".join(c) for c in zip("abcdefghijkl", "bcdefghijklm", "cdefghijklmn")]  # 36 characters: 4 shards
     d = spark.createDataFrame([(i, w * 2) for i, w in enumerate(words)], "d INT, text STRING")
     out = containment.contained_terms(d, spark.createDataFrame([(w,) for w in words], "t STRING"), "t", ("d",))
     assert {(r.d, r.t) for r in out.collect()} == set(enumerate(words)) and out.rdd.getNumPartitions() == 4
+    pairs = navigation.fuzzy_pairs(spark.createDataFrame([(w,) for w in words], "q STRING"), spark.createDataFrame([(w,) for w in words], "e STRING"), 0.9)
+    assert {(r.q, r.e) for r in pairs.collect()} == {(w, w) for w in words} and pairs.rdd.getNumPartitions() == 4
 
 
 def test_collapse_seeds_and_stop_rule(spark):
