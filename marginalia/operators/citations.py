@@ -130,8 +130,8 @@ def prompt_context(items: DataFrame, citations: DataFrame, chunks: DataFrame) ->
     """Context text per query in item order. A context is a few dozen bounded items; an item's own ``context_text`` goes before its chunk."""
     if "context_text" not in items.columns:
         items = items.withColumn("context_text", F.lit(None).cast("string"))
-    joined = items.join(citations.select("query_id", "book", "pdf_page", "id", "page"), ["query_id", "book", "pdf_page"]).join(
-        chunks.select(*KEY, "text"), list(KEY))
+    joined = items.join(chunks.select(*KEY, "text"), list(KEY)).join(
+        citations.select("query_id", "book", "pdf_page", "id", "page"), ["query_id", "book", "pdf_page"])
     block = F.concat(
         F.lit("引用ID: [C"), F.col("id").cast("string"), F.lit("]\n書籍: "), "book", F.lit("\n書籍ページ: "), F.col("page").cast("string"),
         F.when(F.length("source") > 0, F.concat(F.lit("\n検索種別: "), "source")).otherwise(""),

@@ -153,8 +153,8 @@ def ordered_union(first: DataFrame, second: DataFrame, head: int = FRESH_ITEMS,
 def chat_memory(sources: DataFrame, chunks: DataFrame, questions: DataFrame, weights: DataFrame, k: int = MEMORY_PAGES) -> DataFrame:
     """Best chunk of every remembered page of a query's chat: (query_id, book, pdf_page) -> items with position."""
     rows = (
-        sources.select("query_id", "book", "pdf_page").distinct().join(questions.select("query_id", "books"), "query_id")
-        .where(allowed(F.col("books"), F.col("book"))).join(chunks.select(*KEY, "text"), ["book", "pdf_page"])
+        sources.select("query_id", "book", "pdf_page").distinct().join(chunks.select(*KEY, "text"), ["book", "pdf_page"])
+        .join(questions.select("query_id", "books"), "query_id").where(allowed(F.col("books"), F.col("book")))
         .join(asked_terms(questions), "query_id").join(weights.select("book", "authority"), "book", "left")
     )
     close = T.let(T.norm_nav(F.col("text")), lambda t: T.chunk_relevance(

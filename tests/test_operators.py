@@ -533,3 +533,15 @@ def test_listed_assets(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     got = {(r["page_key"], r["name"], r["size"]) for r in files.list_assets(spark, str(tmp_path)).collect()}
     assert got == {("12", "P0012.jpg", 3), ("7", "p7.JPEG", 2)}
+
+
+def test_search_over_stored_texts_writes_them_once(spark):
+    from marginalia.session import scratch_folders
+
+    docs = spark.createDataFrame([("a", 1, 0, "Alpha  beta gamma"), ("a", 2, 0, "beta delta"), ("b", 1, 0, None)], "book string, pdf_page bigint, chunk bigint, text string")
+    asked = spark.createDataFrame([(1, 1, "beta gamma"), (2, 1, "delta")], "query_id bigint, variant_no bigint, query string")
+    want = sorted(map(tuple, retrieval.lexical_search(docs, asked, 5).collect()))
+    before = len([f for f in scratch_folders() if "/postings-" in f])
+    index = retrieval.postings(docs, stored=True)
+    assert sorted(map(tuple, retrieval.lexical_search(docs, asked, 5, index=index).collect())) == want
+    assert len([f for f in scratch_folders() if "/postings-" in f]) == before
