@@ -25,8 +25,9 @@ def fan_out(spark: SparkSession) -> int:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts add up to about ``limit`` bytes, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Parts of a batch whose texts (or sizes, if the column is of numbers) add up to about ``limit`` bytes, one row at least."""
+    own = batch.column(column)
+    sizes = pc.fill_null(own if pa.types.is_integer(own.type) else pc.binary_length(own), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)

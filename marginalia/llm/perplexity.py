@@ -34,10 +34,12 @@ def _letters() -> np.ndarray:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """64-bit hashes whose bits all depend on each other."""
+    """64-bit hashes whose bits all depend on each other, in place."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31))
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _seed(lang: str | None) -> int:
@@ -55,8 +57,10 @@ def ngrams(texts: Sequence[str], langs: Sequence[str | None]) -> tuple[np.ndarra
     ends = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(texts) + 1) * (ORDER - 1), lengths)
     wide = points.astype(np.uint64)
     hashes = np.repeat(np.fromiter(map(_seed, langs), np.uint64, len(langs)), lengths)
+    sums = np.zeros(max(len(wide) - ORDER + 1, 0), np.uint64)
     for back in range(ORDER):
-        hashes += wide[ends - back] * np.uint64(pow(0x9E3779B97F4A7C15, back + 1, 1 << 64))
+        sums += wide[ORDER - 1 - back : len(wide) - back] * np.uint64(pow(0x9E3779B97F4A7C15, back + 1, 1 << 64))
+    hashes += sums[ends - (ORDER - 1)]
     return points, ends, _mixed(hashes), lengths
 
 
@@ -67,9 +71,9 @@ def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
     return np.minimum(np.cumsum(sizes) - sizes, max(len(keys) - 1, 0)).astype(np.int32), shift
 
 
-def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _found(keys: np.ndarray, hashes: np.ndarray, begins: tuple[np.ndarray, np.uint64] | None = None) -> np.ndarray:
     """Places of hashes in a sorted array that has them all: by their leading bits, by binary search where these are shared."""
-    starts, shift = _starts(keys)
+    starts, shift = begins or _starts(keys)
     at = starts[(hashes >> shift).astype(np.int64)]
     other = np.flatnonzero(keys[at] != hashes)
     at[other] = np.searchsorted(keys, hashes[other])
@@ -80,6 +84,29 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+#: Bytes of texts that a task hashes at a time. Its arrays take some fifty times as much.
+SLICE = 1 << 20
+
+
+def _packed(docs: DataFrame, text: str, size: str) -> DataFrame:
+    """The rows with their text compressed on its own and, in ``size``, its bytes: what is shuffled is smaller than by blocks of rows."""
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, text):
+                raw = [t.encode() for t in _texts(part.column(text))]
+                small = pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), small, pa.array([len(t) for t in raw], pa.int64())], names=[*kept, text, size])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, text).mapInArrow(run, ", ".join([*kinds, f"`{text}` binary", f"`{size}` bigint"]))
+
+
+def _unpacked(part: pa.RecordBatch) -> list[str]:
+    return [pa.decompress(t, n, codec="zstd", asbytes=True).decode() for t, n in zip(part.column("_text").to_pylist(), part.column("_size").to_pylist())]
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """Rows (lang, gram, n) of all n-grams of order ``ORDER`` over all whole texts: counted per task, then summed by Spark."""
 
@@ -99,7 +126,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "gram", "n"])
 
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", SLICE):
                 langs, texts = part.column(0).to_pylist(), _texts(part.column(1))
                 points, ends, hashes, lengths = ngrams(texts, langs)
                 if not len(hashes):
@@ -112,7 +139,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 named = np.empty(len(langs), object)
                 named[:] = langs
                 held.append((keys, n, grams, named[np.searchsorted(np.cumsum(lengths), first, "right")]))
-                if len(held) >= 8:
+                if len(held) >= 32:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD:
                         yield from rows()
@@ -228,21 +255,22 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
     """The carried columns with the base counts, base_failed and ``_bits`` (log2 probability by letter; null for a text without letters).
 
     ``model`` is the fitted table of all n-grams of these documents. Texts are shuffled once, into chunks by a hash of the row, as many as
-    the session has shuffle tasks; the same exchange feeds the chunk's list of distinct n-grams and its scoring.
+    the session has shuffle tasks; the same exchange feeds the chunk's list of distinct n-grams and its scoring. A text travels compressed.
     """
     fields = [docs.schema[c] for c in carry]
     chunk = F.pmod(F.xxhash64("text", *carry), F.lit(common.fan_out(docs.sparkSession))).cast("int")
-    dealt = docs.select(chunk.alias("_chunk"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), *carry).repartition(common.fan_out(docs.sparkSession), "_chunk")
+    rows = docs.select(chunk.alias("_chunk"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), *carry)
+    dealt = _packed(rows, "_text", "_size").repartition(common.fan_out(docs.sparkSession), "_chunk")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            chunks = batch.column(0).to_numpy()
+            chunks = batch.column("_chunk").to_numpy()
             for c in np.unique(chunks):
-                for part in common.slices(batch.filter(pa.array(chunks == c)), "_text"):
+                for part in common.slices(batch.filter(pa.array(chunks == c)), "_size", SLICE):
                     own = held.setdefault(int(c), [])
-                    own.append(np.unique(ngrams(_texts(part.column(1)), part.column(2).to_pylist())[2]))
-                    if len(own) >= 8:
+                    own.append(np.unique(ngrams(_unpacked(part), part.column("_lang").to_pylist())[2]))
+                    if len(own) >= 32:
                         own[:] = [np.unique(np.concatenate(own))]
         for c, own in held.items():
             keys = np.unique(np.concatenate(own)).view(np.int64)
@@ -255,16 +283,17 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
         order = np.argsort(keys)
         keys, total = keys[order], grams.column("n").fill_null(0).to_numpy()[order]
         log_p, log_alone = (np.log2(grams.column(c).fill_null(1.0).to_numpy()[order].astype(np.float64)) for c in ("p", "alone"))
+        begins = _starts(keys) if len(keys) else None
         made = []
         for batch in rows.to_batches():
-            for part in common.slices(batch, "_text"):
-                texts = _texts(part.column("_text"))
+            for part in common.slices(batch, "_size", SLICE):
+                texts = _unpacked(part)
                 points, ends, hashes, lengths = ngrams(texts, part.column("_lang").to_pylist())
                 bits = np.full(len(texts), np.nan)
                 full = lengths > 0
                 if full.any():
                     at = (np.cumsum(lengths) - lengths)[full]
-                    pairs, own_n = np.unique(np.repeat(np.arange(len(texts)) * len(keys), lengths) + _found(keys, hashes), return_counts=True)
+                    pairs, own_n = np.unique(np.repeat(np.arange(len(texts)) * len(keys), lengths) + _found(keys, hashes, begins), return_counts=True)
                     text_of, entry = np.divmod(pairs, len(keys))
                     cost = own_n * np.where(own_n == total[entry], log_alone[entry], log_p[entry])
                     sums = np.bincount(text_of, cost, len(texts))[full]
@@ -306,7 +335,7 @@ def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), below: f
     of its own. Repeated rows each get a row; an empty table gives no rows. ``carry`` names the columns that come along, in front.
     """
     carry = tuple(dict.fromkeys(carry))
-    clash = {*COUNTS, "base_failed", "kept", "perplexity", "_chunk", "_text", "_lang", "_bits", "_l", "_low", "_high"} & set(carry)
+    clash = {*COUNTS, "base_failed", "kept", "perplexity", "_chunk", "_text", "_size", "_lang", "_bits", "_l", "_low", "_high"} & set(carry)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
     model = fit(written(hashed(count_ngrams(docs)), "grams"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -519,3 +520,13 @@ def test_pipeline_keeps_clashing_columns(spark):
     got = corpus_pipeline.near_dedup(spark, df, "")
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.where("doc_id <> 2").collect()}
+
+
+def test_perplexity_texts_travel_compressed(spark):
+    texts = ["", None, "aä中\U0001f600\n" * 9, "word " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, _text string")
+    rows = {r.doc_id: r for r in perplexity._packed(df, "_text", "_size").collect()}
+    assert {k: r._size for k, r in rows.items()} == {k: len((t or "").encode()) for k, t in enumerate(texts)}
+    assert len(rows[3]._text) < 1000
+    part = pa.RecordBatch.from_pylist([{"_text": bytes(rows[k]._text), "_size": rows[k]._size} for k in range(4)])
+    assert perplexity._unpacked(part) == [t or "" for t in texts]
