@@ -100,7 +100,7 @@ class Encoder:
             return self.whole(text)
         find = self.cache.__getitem__
         if not self.spaced:
-            return b"".join(map(find, text.split(" ")))
+            return b"".join(map(find, text.replace("\n", " ").split(" ")))  # no id of this vocabulary holds white space
         if _ACROSS.search(text):
             return self.whole(text)
         chunks = text.replace(" ", "\0 ").split("\0")

@@ -530,3 +530,10 @@ def test_perplexity_texts_travel_compressed(spark):
     assert len(rows[3]._text) < 1000
     part = pa.RecordBatch.from_pylist([{"_text": bytes(rows[k]._text), "_size": rows[k]._size} for k in range(4)])
     assert perplexity._unpacked(part) == [t or "" for t in texts]
+
+
+def test_words_at_line_ends_are_one_chunk():
+    encoder = tokens.Encoder(tokens.vocabulary(tokens.WORD_VOCABULARY))
+    text = "One two.\nthree\ńfour \n\n five\r\nsix\n"
+    assert encoder.encode(text) == encoder.whole(text)
+    assert "two." in encoder.cache and "two.\nthree" not in encoder.cache
