@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import chat, citations, containment, corpus, fuzzy, inverted, navigation, pagemap, retrieval
+from marginalia.functions import text as T
 from marginalia.operators import context as X
 from marginalia.operators import corrections as K
 from marginalia.operators.ranking import longest_runs, positions
@@ -545,3 +546,21 @@ def test_search_over_stored_texts_writes_them_once(spark):
     index = retrieval.postings(docs, stored=True)
     assert sorted(map(tuple, retrieval.lexical_search(docs, asked, 5, index=index).collect())) == want
     assert len([f for f in scratch_folders() if "/postings-" in f]) == before
+
+
+def test_normalization_report_is_computed_once(spark):
+    def item(doc, page, line, text, x):
+        return (doc, page, 595.32, "layout", text, float(x), float(x + 20), 120.0 + 12 * line)
+
+    rows = [item("a", 1, 0, "x", 150), item("a", 1, 0, "y", 300), item("a", 1, 0, "z", 450), item("a", 1, 1, "7", 50), item("a", 1, 1, "old", 300), item("a", 1, 1, "new", 450),
+            item("a", 2, 0, "loose", 300), item("a", 2, 1, "8", 50), item("a", 2, 1, "only", 300), item(None, 1, 0, "9", 50), item(None, 1, 0, "old", 300), item(None, 1, 0, "new", 450)]
+    items = spark.createDataFrame(rows, "doc STRING, pdf_page BIGINT, page_width DOUBLE, extract_method STRING, text STRING, x_min DOUBLE, x_max DOUBLE, y_min DOUBLE")
+    report = K.normalization_report(*K.errata_status(items))
+    assert all("/report-" in f for f in report.inputFiles())  # not the records again for either review list
+    got = {r.doc: (r.record_count, r.parsed_count, r.complex_count, r.diagnostic_count) for r in report.collect()}
+    assert got == {"a": (3, 2, 1, 1), None: (1, 1, 0, 0)}
+    numbered, left = K.errata_records(items)
+    assert [(r.record_index, r.pdf_page, r.operation) for r in numbered.orderBy("record_index").collect()] == [(1, 1, "replace"), (2, 2, "complex"), (3, 1, "replace")]
+    assert [(r.doc, r.text) for r in left.collect()] == [("a", "loose")]
+    spaces = spark.sql("SELECT concat(unhex('c2a0e38080090a'), 'a　 b', unhex('e280a8c2850d1f')) AS c").select(F.col("c").cast("string").alias("c"))
+    assert spaces.select(T.strip(F.col("c")), F.regexp_replace("c", f"^{T.WS}+|{T.WS}+$", "")).first()[:] == ("a　 b", "a　 b")
