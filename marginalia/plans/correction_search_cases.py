@@ -99,8 +99,10 @@ def correction_search(spark, sf):
     f"SELECT query_id, chunk_id, round(CASE WHEN wm THEN 1.0 WHEN len(s) = 1 THEN s[1] ELSE list_min(s) * 0.65 + list_sum(s) / len(s) * 0.35 END, 6) AS relevance, wm AS whole_match FROM (SELECT query_id, chunk_id, length(whole) >= 4 AND contains(hay, whole) AS wm, "
     f"list_transform(terms, lambda w: CASE WHEN contains(hay, w) THEN 1.0::DOUBLE WHEN length(w) >= 2 THEN {S.coverage('w', 'hay')} ELSE 0.0 END) AS s FROM (SELECT t.query_id, c.chunk_id, whole, terms, {S.override('c.text')} AS hay FROM ({_OTERMS}) t JOIN chits h USING (query_id) JOIN corr c USING (chunk_id)))", "questions", "corr", "chits"))
 def correction_relevance(spark, sf):
-    pairs = Q.question_terms(B.questions(spark, sf)).join(_hits(spark, sf).select("query_id", "chunk_id"), "query_id")
-    hay = Q.haystacks(corrections(spark, sf).select("chunk_id", "text"))
+    hits = _hits(spark, sf).select("query_id", "chunk_id")
+    pairs = Q.question_terms(B.questions(spark, sf)).join(hits, "query_id")
+    # only what a question has found is folded and travels
+    hay = Q.haystacks(corrections(spark, sf).select("chunk_id", "text").join(hits.select("chunk_id"), "chunk_id", "left_semi"))
     return typed(Q.relevance(pairs.join(hay, "chunk_id")).select("query_id", "chunk_id", "relevance", "whole_match"))
 
 
@@ -151,8 +153,8 @@ def selected(spark, sf):
 
 def _picked(spark, sf):
     """The first corrections that a question's search finds, with the book they amend."""
-    c = corrections(spark, sf).join(_targets(spark, sf), "source_key", "left")
-    return _hits(spark, sf).where(F.col("rank") <= Q.TOP).select("query_id", "chunk_id", "rank").join(c, "chunk_id")
+    hits = _hits(spark, sf).where(F.col("rank") <= Q.TOP).select("query_id", "chunk_id", "rank")
+    return hits.join(corrections(spark, sf), "chunk_id").join(_targets(spark, sf), "source_key", "left")
 
 
 _PICKED = "SELECT * FROM (SELECT query_id, chunk_id, rank FROM chits WHERE rank <= 6) JOIN corr USING (chunk_id) LEFT JOIN targets USING (source_key)"
