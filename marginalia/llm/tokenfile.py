@@ -41,16 +41,23 @@ class _Model:
         self.next1, self.sure1 = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
         cell = np.arange(1024)
         sure2, sure1, agree, often = cell >> 7, cell >> 4 & 7, cell >> 3 & 1, cell & 7
-        self.views = [sure2, sure1 * 2 + agree, often * 2 + agree, cell]
-        self.seen = [np.full(int(v.max()) + 1, 8, np.int64) for v in self.views]
-        self.hits = [[np.full(len(n), 2, np.int64) for n in self.seen] for _ in (0, 1)]
+        # the tables of all views behind one another, and for each view where a cell's entry is
+        self.views = np.stack([sure2, 8 + sure1 * 2 + agree, 24 + often * 2 + agree, 40 + cell])
+        self.seen, self.hits = np.full(40 + 1024, 8, np.int64), np.full((2, 40 + 1024), 2, np.int64)
+        self.begins, self.widths = np.zeros((1024, 3), _U), np.zeros((1024, 3), _U)
         self.error = [1, 1, 1, 1]
-        self.counts = np.zeros(alphabet, np.int64)
+        self.counts, self.uncounted = np.zeros(alphabet, np.int64), []
         self.steps, self.due = 0, 0
         self._frequencies()
         self._mix()
 
+    def _count(self) -> None:
+        if self.uncounted:
+            self.counts += np.bincount(np.concatenate(self.uncounted), minlength=self.size)
+            self.uncounted.clear()
+
     def _frequencies(self) -> None:
+        self._count()
         f = 1 + 16 * self.counts
         self.frequency = f.astype(_U)
         self.until = np.concatenate([[0], np.cumsum(f)])
@@ -78,36 +85,47 @@ class _Model:
 
     def _mix(self) -> None:
         best = min(self.error)
-        weight = [max(1, (best << 16) ** 4 // e**4 >> 48) for e in self.error]
-        self.parts = [[h[v] * _ONE // n[v] for h, n, v in zip(hits, self.seen, self.views)] for hits in self.hits]
-        two, one = (sum(w * p for w, p in zip(weight, parts)) // sum(weight) for parts in self.parts)
-        self.p2 = np.clip(two, _LEAST, _ONE - 3 * _LEAST)
-        self.p1 = np.clip(one, _LEAST, _ONE - _LEAST - self.p2)
+        weight = np.array([max(1, (best << 16) ** 4 // e**4 >> 48) for e in self.error])
+        self.parts = (self.hits * _ONE // self.seen)[:, self.views]
+        two, one = (weight[:, None] * self.parts).sum(1) // weight.sum()
+        self.p2 = np.minimum(np.maximum(two, _LEAST), _ONE - 3 * _LEAST)
+        p1 = np.minimum(np.maximum(one, _LEAST), _ONE - _LEAST - self.p2)
+        self.both = self.p2 + p1
+        # by cell and outcome: 0 the order-2 id, 1 the order-1 id, 2 neither
+        self.begins[:, 1], self.begins[:, 2] = self.p2, self.both
+        self.widths[:, 0], self.widths[:, 1], self.widths[:, 2] = self.p2, p1, _ONE - self.both
 
     def predict(self, before: np.ndarray, last: np.ndarray):
-        slot = ((last.astype(np.uint32) * np.uint32(2654435761)) ^ (before.astype(np.uint32) * np.uint32(0x9E3779B1))) >> np.uint32(8)
-        slot = slot.astype(np.int64) & (self.slots - 1)
-        a, b = self.next2[slot], self.next1[last]
-        cell = (self.sure2[slot].astype(np.int64) << 7) | (self.sure1[last].astype(np.int64) << 4) | ((a == b).astype(np.int64) << 3) | self.often[a]
-        return slot, a, b, cell, self.p2[cell], self.p1[cell]
-
-    def learn(self, slot: np.ndarray, last: np.ndarray, a: np.ndarray, b: np.ndarray, cell: np.ndarray, ids: np.ndarray) -> None:
+        mixed = last.view(np.uint32) * np.uint32(2654435761)
+        mixed ^= before.view(np.uint32) * np.uint32(0x9E3779B1)
+        slot = ((mixed >> np.uint32(8)) & np.uint32(self.slots - 1)).astype(np.intp)
+        at = last.astype(np.intp)
+        a, b, sure2, sure1 = self.next2[slot], self.next1[at], self.sure2[slot], self.sure1[at]
+        cell = sure2.astype(np.int16) << 7
+        cell |= sure1.astype(np.int16) << 4
+        cell |= (a == b).astype(np.int16) << 3
+        cell |= self.often[a]
+        return slot, at, a, b, sure2, sure1, cell
+
+    def learn(self, slot: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, sure2: np.ndarray, sure1: np.ndarray, kind: np.ndarray, ids: np.ndarray) -> None:
         hit_a, hit_b = a == ids, b == ids
-        n = np.bincount(cell, minlength=1024)
-        h2 = np.bincount(cell[hit_a], minlength=1024)
-        h1 = np.bincount(cell[hit_b & ~hit_a], minlength=1024)
-        for k, view in enumerate(self.views):
-            p = self.parts[0][k]
-            self.error[k] += int((h2 * (_ONE - p) ** 2 + (n - h2) * p**2).sum()) >> 16
-            for store, new in ((self.seen[k], n), (self.hits[0][k], h2), (self.hits[1][k], h1)):
-                np.add.at(store, view, new)
-        sure = self.sure2[slot]
-        self.next2[slot] = np.where(~hit_a & (sure == 0), ids, a)
-        self.sure2[slot] = np.where(hit_a, np.minimum(sure + 1, 7), sure >> 1)
-        sure = self.sure1[last]
-        self.next1[last] = np.where(~hit_b & (sure == 0), ids, b)
-        self.sure1[last] = np.where(hit_b, np.minimum(sure + 1, 7), sure >> 1)
-        self.counts += np.bincount(ids, minlength=self.size)
+        h2, h1, miss = np.bincount(kind, minlength=3072).reshape(1024, 3).T
+        n = h2 + h1 + miss
+        bits = np.stack([n, h2, h1]).reshape(3, 8, 8, 2, 8)  # the views add up over the bits of a cell that they leave out
+        agreed = bits.sum(1)
+        new = np.concatenate([bits.reshape(3, 8, 128).sum(2), agreed.sum(3).reshape(3, 16), agreed.sum(1).transpose(0, 2, 1).reshape(3, 16), bits.reshape(3, 1024)], 1)
+        p = self.parts[0]
+        wrong = (h2 * (_ONE - p) ** 2 + (n - h2) * p**2).sum(1)
+        self.error = [e + (w >> 16) for e, w in zip(self.error, wrong.tolist())]
+        self.seen += new[0]
+        self.hits += new[1:]
+        for following, sureness, place, guess, sure, hit in ((self.next2, self.sure2, slot, a, sure2, hit_a), (self.next1, self.sure1, at, b, sure1, hit_b)):
+            following[place] = guess + (ids - guess) * ~(hit | (sure != 0))
+            half = sure >> 1
+            sureness[place] = half + (sure + (sure < 7) - half) * hit
+        self.uncounted.append(ids)
+        if len(self.uncounted) >= 64:
+            self._count()
         self._mix()
         self.steps += 1
         if self.steps >= self.due:
@@ -115,17 +133,17 @@ class _Model:
             self.due = self.steps + 1 + self.steps // 8
 
 
-def _due(low: np.ndarray, span: np.ndarray, todo: np.ndarray) -> np.ndarray:
-    """Of some lanes, those whose top word is settled, or whose span is too short and is cut at the next border so that it is settled."""
-    whole = len(todo) == len(low)
-    x, y = (low, span) if whole else (low[todo], span[todo])
+def _due(low: np.ndarray, span: np.ndarray, todo: np.ndarray | None = None) -> np.ndarray:
+    """Of some lanes (all, if none are named), those whose top word is settled, or whose span is too short and is cut at the next border so that it is settled."""
+    x, y = (low, span) if todo is None else (low[todo], span[todo])
     settled = (x ^ (x + y)) < _U(1 << 48)
-    short = np.flatnonzero(~settled & (y < _U(1 << 40)))
+    short = np.flatnonzero(y < _U(1 << 40))
+    short = short[~settled[short]]
     if len(short):
-        at = todo[short]
+        at = short if todo is None else todo[short]
         span[at] = (-low[at].astype(np.int64)).astype(_U) & _U((1 << 40) - 1)
         settled[short] = True
-    return todo[settled]
+    return np.flatnonzero(settled) if todo is None else todo[settled]
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -146,21 +164,19 @@ def encode_block(ids: np.ndarray) -> bytes:
     for t in range(length):
         active = (n - 1 - t) // length + 1  # lanes are full, but for the end of the last
         now = rows[t, :active]
-        slot, a, b, cell, p2, p1 = model.predict(before[:active], last[:active])
-        hit2 = a == now
-        hit1 = (b == now) & ~hit2
-        miss = ~(hit2 | hit1)
+        slot, at, a, b, sure2, sure1, cell = model.predict(before[:active], last[:active])
+        other = a != now
+        miss = other & (b != now)
+        kind = (cell * np.int16(3) + other + miss).astype(np.intp)
         part = span[:active] >> _U(16)
-        start = np.where(hit2, 0, np.where(hit1, p2, p2 + p1)).astype(_U)
-        size = np.where(hit2, p2, np.where(hit1, p1, _ONE - p2 - p1)).astype(_U)
-        l, s = low[:active] + start * part, part * size
-        at = np.flatnonzero(miss)
-        if len(at):
-            which = now[at]
-            step = s[at] // model.total
-            l[at] += model.start[which] * step
-            s[at] = step * model.frequency[which]
-        todo = _due(l, s, np.arange(active))
+        l, s = low[:active] + model.begins.ravel().take(kind) * part, part * model.widths.ravel().take(kind)
+        open_ = np.flatnonzero(miss)
+        if len(open_):
+            which = now[open_]
+            step = s[open_] // model.total
+            l[open_] += model.start[which] * step
+            s[open_] = step * model.frequency[which]
+        todo = _due(l, s)
         while len(todo):
             x = l[todo]
             out_lane.append(todo.astype(np.uint16))
@@ -168,7 +184,7 @@ def encode_block(ids: np.ndarray) -> bytes:
             l[todo], s[todo] = x << _U(16), s[todo] << _U(16)
             todo = _due(l, s, todo)
         low[:active], span[:active] = l, s
-        model.learn(slot, last[:active], a, b, cell, now)
+        model.learn(slot, at, a, b, sure2, sure1, kind, now)
         before[:active] = last[:active]
         last[:active] = now
     end = (low + _U((1 << 32) - 1)) >> _U(32)  # two words name a number within the last interval
@@ -200,16 +216,14 @@ def decode_block(block: bytes) -> np.ndarray:
     rows = np.zeros((length, lanes), np.int32)
     for t in range(length):
         active = (n - 1 - t) // length + 1
-        slot, a, b, cell, p2, p1 = model.predict(before[:active], last[:active])
+        slot, place, a, b, sure2, sure1, cell = model.predict(before[:active], last[:active])
         l, s, c = low[:active], span[:active], code[:active]
         part = s >> _U(16)
         value = np.minimum((c - l) // part, _U(_ONE - 1)).astype(np.int64)
-        hit2 = value < p2
-        miss = value >= p2 + p1
-        start = np.where(hit2, 0, np.where(miss, p2 + p1, p2)).astype(_U)
-        size = np.where(hit2, p2, np.where(miss, _ONE - p2 - p1, p1)).astype(_U)
-        now = np.where(hit2, a, b)
-        l, s = l + start * part, part * size
+        other, miss = value >= model.p2[cell], value >= model.both[cell]
+        kind = (cell * np.int16(3) + other + miss).astype(np.intp)
+        now = a + (b - a) * other
+        l, s = l + model.begins.ravel().take(kind) * part, part * model.widths.ravel().take(kind)
         open_ = np.flatnonzero(miss)
         if len(open_):
             step = s[open_] // model.total
@@ -219,7 +233,7 @@ def decode_block(block: bytes) -> np.ndarray:
             l[open_] += model.start[which] * step
             s[open_] = step * model.frequency[which]
         c = c.copy()
-        todo = _due(l, s, np.arange(active))
+        todo = _due(l, s)
         while len(todo):
             l[todo], s[todo] = l[todo] << _U(16), s[todo] << _U(16)
             p = at[todo]
@@ -227,7 +241,7 @@ def decode_block(block: bytes) -> np.ndarray:
             at[todo] = p + 1
             todo = _due(l, s, todo)
         low[:active], span[:active], code[:active] = l, s, c
-        model.learn(slot, last[:active], a, b, cell, now)
+        model.learn(slot, place, a, b, sure2, sure1, kind, now)
         before[:active] = last[:active]
         last[:active] = now
         rows[t, :active] = now
@@ -245,7 +259,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.WORD_VOCABULA
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode
+        encode = tokens.encoder(vocabulary).encode_all
         end = int(end_id).to_bytes(4, "little")
         held: list[bytes] = []
         docs_: list[int | None] = []
@@ -258,14 +272,15 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = tokens.WORD_VOCABULA
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["block", "doc_ids", "lengths", "n_ids", "ids"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                got = encode(text.as_py() or "") + end
-                held.append(got)
-                docs_.append(doc)
-                size += len(got) // 4
-                if size >= BLOCK:
-                    yield flush()
-                    held, docs_, size, number = [], [], 0, number + 1
+            for part in common.slices(batch, "text", 8 << 20):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
+                    got = ids + end
+                    held.append(got)
+                    docs_.append(doc)
+                    size += len(got) // 4
+                    if size >= BLOCK:
+                        yield flush()
+                        held, docs_, size, number = [], [], 0, number + 1
         if held:
             yield flush()
 

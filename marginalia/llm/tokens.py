@@ -13,11 +13,17 @@ import sys
 import types
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 #: How the byte-level vocabulary cuts a text (fixed by its tokenizer).
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Beyond the letters whose lower case does not depend on the library's normalizer.
+_OTHER = re.compile("[^\0-\u024f]")
 _ACROSS = re.compile(r"\s \s|\s \Z")
 
 
@@ -39,6 +45,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         self.spaced = cut["type"] == "ByteLevel"  # a chunk keeps the space before it
         self.cut = regex.compile(_SPACED if self.spaced else cut["pretokenizers"][0]["pattern"]["Regex"])
@@ -64,7 +71,7 @@ class Encoder:
                 self[key] = got
                 return got
 
-        self.parts = Kept(self.part)
+        self.parts, self.lowered = Kept(self.part), Kept(self.low)
         self.cache = Kept(self.chunk)
 
     def whole(self, text: str) -> bytes:
@@ -76,17 +83,21 @@ class Encoder:
             part = part.encode().decode("latin-1").translate(self.letters)
         elif not part.isalpha():  # ASCII letters are spelt as themselves
             part = part.translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def low(self, chunk: str) -> bytes:
+        """Ids of a chunk that the normalizer has been over."""
+        if chunk.isalpha():
+            return self.part(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,":
+            return self.lowered[chunk[:-1]] + self.parts[chunk[-1]]
+        return b"".join(map(self.parts.__getitem__, self.cut.findall(chunk)))
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk from those of its parts."""
         if not self.spaced:
             # Latin letters are composed and have simple lower case; anything else goes through the library
-            chunk = chunk.lower() if chunk.isascii() or max(chunk) < "\u0250" else self.tokenizer.normalizer.normalize_str(chunk)
-            if chunk.isalpha():
-                return self.parts[chunk]
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return self.parts[chunk[:-1]] + self.parts[chunk[-1]]
+            return self.lowered[chunk.lower() if chunk.isascii() or max(chunk) < "\u0250" else self.tokenizer.normalizer.normalize_str(chunk)]
         elif chunk[1:].isalpha() and chunk[0] == " ":
             return self.parts[chunk]
         elif chunk[1:-1].isalpha() and chunk[0] == " " and chunk[-1] in ".,":
@@ -106,6 +117,29 @@ class Encoder:
         chunks = text.replace(" ", "\0 ").split("\0")
         return b"".join(map(find, chunks if chunks[0] else chunks[1:]))
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` of every text (null: empty). Arrow cuts the texts and finds their distinct chunks, so that each is looked up once."""
+        if self.spaced:
+            return [self.encode(t or "") for t in texts.to_pylist()]
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, "\0"))
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "), " ")
+        ends, chunks = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks.dictionary)], chunks.dictionary), " ")[0].as_py()
+        if _OTHER.search(joined):
+            found = map(self.cache.__getitem__, joined.split(" "))
+        else:
+            found = map(self.lowered.__getitem__, joined.lower().split(" "))
+        known = pa.array(list(found)[: len(chunks.dictionary)], pa.large_binary())
+        ids = known.take(chunks.indices)
+        _, bounds, data = ids.buffers()
+        at = np.frombuffer(bounds, np.int64)[ids.offset :][ends].tolist() if len(ids) else [0] * len(ends)
+        whole = memoryview(data) if data else b""
+        made = [bytes(whole[a:b]) for a, b in zip(at, at[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            made[i] = self.encode(texts[i].as_py())
+        return made
+
 
 def encoder(name: str) -> Encoder:
     """This worker's encoder for a vocabulary file name or path.

@@ -458,6 +458,19 @@ def test_block_round_trip():
         tokenfile.decode_block(block[:-4] + bytes(4 * [255 ^ block[-5]]))
 
 
+def test_texts_encoded_together():
+    odd = [None, "", " ", "\n", "a\nb  c\n", "<|endoftext|> a b", "x\0y z", " lead", "Éa İx Σας ΣΑΣ, don't e.g. 3.14 a-b... 中文 字", "\t tab\x0b a b", "é,", "..", "A.", "word Word WORD, word***"]
+    for name in (tokens.WORD_VOCABULARY, tokens.BYTE_VOCABULARY):
+        encoder = tokens.Encoder(tokens.vocabulary(name))
+        for texts in (odd, odd[3:8], odd[-2:], ["İx aÉ b."], [], [None]):
+            want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert encoder.encode_all(pa.array(["-", *texts], pa.string())[1:]) == want
+    encoder = tokens.Encoder(tokens.vocabulary(tokens.WORD_VOCABULARY))
+    asked = []
+    encoder.cache = encoder.lowered = type("Asked", (dict,), {"__missing__": lambda self, key: asked.append(key) or b"\1\0\0\0"})()
+    assert encoder.encode_all(pa.array(["one two one"] * 50)) == [b"\1\0\0\0" * 3] * 50 and sorted(asked) == ["one", "two"]
+
+
 def test_token_files(docs, rows, none):
     got = tokenfile.write_and_read(docs).collect()
     encode = tokens.encoder(tokens.WORD_VOCABULARY).encode
