@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm import common
+from marginalia.llm import common, tokens
 from marginalia.session import written
 
 ORDER = 4
@@ -93,6 +93,7 @@ def _packed(docs: DataFrame, text: str, size: str) -> DataFrame:
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for part in common.slices(batch, text):
                 raw = [t.encode() for t in _texts(part.column(text))]
@@ -111,6 +112,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """Rows (lang, gram, n) of all n-grams of order ``ORDER`` over all whole texts: counted per task, then summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +157,7 @@ def hashed(grams: DataFrame) -> DataFrame:
     """The counted n-grams with h, their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             if batch.num_rows:
                 h = ngrams(batch.column("gram").to_pylist(), batch.column("lang").to_pylist())[2][ORDER - 1 :: ORDER]
@@ -263,6 +266,7 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
     dealt = _packed(rows, "_text", "_size").repartition(common.fan_out(docs.sparkSession), "_chunk")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             chunks = batch.column("_chunk").to_numpy()
@@ -279,6 +283,7 @@ def scored(docs: DataFrame, model: DataFrame, carry: tuple[str, ...]) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(k)], names=["_chunk", "h"])
 
     def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        tokens.forget()
         keys = grams.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, total = keys[order], grams.column("n").fill_null(0).to_numpy()[order]

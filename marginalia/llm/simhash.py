@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm import common
+from marginalia.llm import common, tokens
 from marginalia.session import written
 
 #: A bucket of up to so many fingerprints is compared in one task; a larger one is split by its other bits.
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, words: int = 3, carry: Sequence[str] = ()) ->
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             got = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
             own = [batch.column(c) for c in range(2, batch.num_columns)]
@@ -83,6 +84,7 @@ def _forest(lists: DataFrame, distance: int) -> DataFrame:
     """Links that connect what is within ``distance`` in each list: at most one per member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             ends: list[tuple[int, int]] = []
             for row in batch.column(0):

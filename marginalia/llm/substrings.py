@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm import common
+from marginalia.llm import common, tokens
 from marginalia.session import written
 
 SPAN = 50
@@ -38,7 +38,9 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hashes (modulo 2^64) of all prefixes of some bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters[data] * _power(len(data) + 1)[0][: len(data)], out=out[1:])
+    each = _letters[data]
+    each *= _power(len(data) + 1)[0][: len(data)]
+    np.cumsum(each, out=out[1:])
     return out
 
 
@@ -63,15 +65,22 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     prefix = prefix_hashes(data)
     inverse = _power(n + 1)[1]
-    hashed = mix((prefix[ANCHOR:] - prefix[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
-    least = (hashed & ~_LOW24) | (_LOW24 - np.arange(len(hashed), dtype=np.uint64))
+    hashed = prefix[ANCHOR:] - prefix[:-ANCHOR]  # arrays of 8 bytes a byte: changed in place and dropped as soon as they have served
+    hashed *= inverse[: n - ANCHOR + 1]
+    for shift, factor in ((31, _MIX), (29, np.uint64(1))):  # as mix() does
+        hashed ^= hashed >> np.uint64(shift)
+        hashed *= factor
+    least = hashed & ~_LOW24
+    least |= np.arange(int(_LOW24), int(_LOW24) - len(hashed), -1).view(np.uint64)
     width = 1
     while 2 * width <= _WINDOW:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < _WINDOW:
         least = np.minimum(least[: len(least) - (_WINDOW - width)], least[_WINDOW - width :])
-    place = (_LOW24 - (least & _LOW24)).astype(np.int64)
+    least &= _LOW24
+    place = (np.int64(_LOW24) - least.view(np.int64)).astype(np.int32)
+    del least
     inside = np.ones(n + SPAN, bool)  # no string crosses the end of a text
     for back in range(1, SPAN):
         at = ends - back
@@ -83,7 +92,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = starts[new]
     count = np.diff(np.concatenate([np.flatnonzero(new), [len(starts)]]))
-    at = place[new]
+    at = place[new].astype(np.int64)
+    del starts, place, new
     whole = range_hash(prefix, first, first + count + SPAN - 1)
     return first, count, hashed[at], mix(whole + (at - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + count.astype(np.uint64))
 
@@ -226,11 +236,13 @@ def _squeezed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        tokens.forget()
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            cols = list(batch.columns)
-            cols[at] = pa.array([squeeze(v.as_py()) for v in cols[at]], pa.binary())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+            for part in common.slices(batch, "_data"):
+                cols = list(part.columns)
+                cols[at] = pa.array([squeeze(v.as_py()) for v in cols[at]], pa.binary())
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -239,6 +251,7 @@ def _anchored(marked: DataFrame, buckets: int) -> DataFrame:
     """Rows (kind, bucket, payload): anchors by bucket (0), and strings that an earlier document of the same chunk repeats (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: list[tuple[bytes, int, int, int]] = []
         size = 0
 
@@ -295,6 +308,7 @@ def _met(payloads: DataFrame, buckets: int) -> DataFrame:
     first of each class of surroundings, where a smaller document has the anchor in others, to be compared byte by byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: list[tuple[bytes, bytes, bytes, bytes, bytes]] = []
         now = -1
 
@@ -349,6 +363,7 @@ def _contexts(squeezed: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        tokens.forget()
         for batch in batches:
             for doc, part, packed, places_ in zip(*(batch.column(c) for c in ("_doc", "_part", "_data", "_at"))):
                 data = zstandard.decompress(packed.as_py())
@@ -366,6 +381,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
     """Kind 1 rows for the strings of contexts that a smaller document has at the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         size = 0
 
@@ -447,26 +463,28 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = (), as_text: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        tokens.forget()
         for batch in batches:
-            out: list[tuple] = []
-            for doc, packed, at in zip(batch.column("_doc").to_pylist(), batch.column("_data").to_pylist(), batch.column("_at")):
-                data = zstandard.decompress(packed)
-                kept, removed, spans = data, 0, 0
-                if at.is_valid:
-                    places_ = at.values.field("at").to_numpy()
-                    start = places_ >> 5
-                    cover = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + (places_ & 31) + SPAN, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
-                    removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                if as_text:
-                    kept = kept.decode("utf-8", "ignore")
-                out.append((None if doc == _NONE else doc, kept, len(data), removed, spans))
-            kinds = (pa.int64(), pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            made = [pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in range(3, batch.num_columns))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *carry])
+            for part in common.slices(batch, "_data", 1 << 20):  # compressed: some 3 MB of texts
+                out: list[tuple] = []
+                for doc, packed, at in zip(part.column("_doc").to_pylist(), part.column("_data").to_pylist(), part.column("_at")):
+                    data = zstandard.decompress(packed)
+                    kept, removed, spans = data, 0, 0
+                    if at.is_valid:
+                        places_ = at.values.field("at").to_numpy()
+                        start = places_ >> 5
+                        cover = np.zeros(len(data) + 1, np.int32)
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, start + (places_ & 31) + SPAN, -1)
+                        gone = np.cumsum(cover[:-1]) > 0
+                        removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+                        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    if as_text:
+                        kept = kept.decode("utf-8", "ignore")
+                    out.append((None if doc == _NONE else doc, kept, len(data), removed, spans))
+                kinds = (pa.int64(), pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                made = [pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([*made, *(part.column(c) for c in range(3, part.num_columns))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *carry])
 
     joined = _squeezed(marked).join(places, ["_doc", "_part"], "left").select("_doc", "_data", "_at", *carry)
     carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -152,3 +152,14 @@ def encoder(name: str) -> Encoder:
     if key not in kept:
         kept[key] = Encoder(name if os.path.sep in name else vocabulary(name))
     return kept[key]
+
+
+def forget() -> None:
+    """Empty this worker's caches of chunks, and give back what Arrow holds unused: Spark uses a worker again, and tasks that do not tokenize
+    need that memory for themselves."""
+    kept = sys.modules.get("marginalia_worker_cache")
+    for one in (x for k, x in vars(kept).items() if not k.startswith("__")) if kept else ():
+        for cache in (one.cache, one.lowered, one.parts):
+            cache.clear()
+            cache.old = {}
+    pa.default_memory_pool().release_unused()

@@ -471,6 +471,15 @@ def test_texts_encoded_together():
     assert encoder.encode_all(pa.array(["one two one"] * 50)) == [b"\1\0\0\0" * 3] * 50 and sorted(asked) == ["one", "two"]
 
 
+def test_forgotten_chunks():
+    encoder = tokens.encoder(tokens.BYTE_VOCABULARY)
+    encoder.encode("a cache of words, all new")
+    assert encoder.cache and encoder.parts
+    tokens.forget()
+    assert not (encoder.cache or encoder.parts or encoder.lowered or encoder.cache.old)
+    assert encoder.encode("a cache") == np.array(encoder.tokenizer.encode("a cache", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_files(docs, rows, none):
     got = tokenfile.write_and_read(docs).collect()
     encode = tokens.encoder(tokens.WORD_VOCABULARY).encode
