@@ -34,3 +34,7 @@ def _same(spark, folder, name):
 @pytest.mark.parametrize("name", ["class_summary", "correction_documents", "index_sample", "sink_index", "split_by_class", "union_corpus", "verify_index"])
 def test_empty_documents_do_not_stop_the_corpus(spark, folder, name):
     _same(spark, folder, name)
+
+
+def test_verdict_of_empty_documents(spark, folder):
+    _same(spark, folder, "scan_corrections")
