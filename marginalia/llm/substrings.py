@@ -16,6 +16,8 @@ SPAN = 50
 #: Bytes of an anchor; a string of SPAN bytes is filed under the anchor with the least hash in it.
 ANCHOR = 20
 _WINDOW = SPAN - ANCHOR + 1
+#: Bytes beside an anchor of which a string of SPAN bytes holds either these on the left or one more on the right.
+_SIDE = (SPAN - ANCHOR) // 2
 #: Bytes hashed at a time.
 CHUNK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -55,14 +57,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts that end at ``ends`` in ``data``: (first string, number of strings, hash, hash of all their bytes).
+    """Anchors of the texts that end at ``ends`` in ``data``: (first string, number of strings, hash, hash of all their bytes, hashes of both sides).
 
     Each string of SPAN bytes within a text belongs to the last of its least-hashed anchors, which depends on its bytes alone, so equal strings
     have equal anchors at equal places. An anchor's strings start at neighbouring bytes; the second hash covers them and the anchor's place.
+    The sides are two numbers of 24 bits: of the anchor with the bytes to its left and with those to its right, 0 where no string reaches so far.
     """
     n = len(data)
     if n < SPAN:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     prefix = prefix_hashes(data)
     inverse = _power(n + 1)[1]
     hashed = prefix[ANCHOR:] - prefix[:-ANCHOR]  # arrays of 8 bytes a byte: changed in place and dropped as soon as they have served
@@ -87,7 +90,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         inside[at[at >= 0]] = False
     starts = np.flatnonzero(inside[: len(place)])
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     place = place[starts]
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = starts[new]
@@ -95,7 +98,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     at = place[new].astype(np.int64)
     del starts, place, new
     whole = range_hash(prefix, first, first + count + SPAN - 1)
-    return first, count, hashed[at], mix(whole + (at - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + count.astype(np.uint64))
+    sides = np.zeros(len(at), np.uint64)
+    for has, start, end in ((at - first >= _SIDE, at - _SIDE, at + ANCHOR), (at - first - count + 1 < _SIDE, at, at + SPAN - _SIDE + 1)):
+        sides <<= np.uint64(24)
+        sides[has] |= np.maximum(mix(range_hash(prefix, start[has], end[has])) >> np.uint64(40), np.uint64(1))
+    return first, count, hashed[at], mix(whole + (at - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + count.astype(np.uint64)), sides
 
 
 def longest_common(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int = SPAN) -> np.ndarray:
@@ -161,12 +168,11 @@ def suffix_order(prefix: np.ndarray, data: np.ndarray, starts: np.ndarray, group
     return order
 
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, group: np.ndarray) -> np.ndarray:
+def repeated_starts(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, docs: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which of the strings at ``starts`` also stand in their group with a smaller document (groups ascending).
 
     Neighbours in suffix order with a common extension of SPAN are equal by hash; their bytes are compared before they count.
     """
-    prefix = prefix_hashes(data)
     order = suffix_order(prefix, data, starts, group)
     s, d = starts[order], docs[order]
     same = np.zeros(len(s), bool)
@@ -218,6 +224,32 @@ def _leaders(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, n
     return order, new_h, new_h | np.concatenate([[True], c[1:] != c[:-1]])
 
 
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows have a key that another document has too."""
+    order = np.argsort(key)
+    k = key[order]
+    next_ = k[1:] == k[:-1]
+    again = np.concatenate([next_, [False]]) | np.concatenate([[False], next_]) if len(k) else np.zeros(0, bool)
+    order, k = order[again], k[again]
+    out = np.zeros(len(key), bool)
+    if len(k):
+        d = doc[order]
+        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        several = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)
+        out[order] = np.repeat(several, np.diff(np.concatenate([heads, [len(k)]])))
+    return out
+
+
+def _beside(h: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which anchors have a side that another document has at the same anchor: equal strings have one, so the rest repeats nothing."""
+    out = np.zeros(len(h), bool)
+    for shift in (0, 24):
+        half = side >> np.uint64(shift) & _LOW24
+        has = np.flatnonzero(half)
+        out[has] |= _shared(h[has] << np.uint64(24) | half[has], doc[has])
+    return out
+
+
 def _marked(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Rows (_doc, _part, _data, and the carried columns): documents as bytes. _part is 0, and a 64-bit hash of the text where a doc_id names several texts."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NONE)).alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"), *carry)
@@ -258,32 +290,32 @@ def _anchored(marked: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(t for t, _, _, _ in held), np.uint8)
             ends = np.cumsum([len(t) for t, _, _, _ in held])
-            first, count, h, c = anchors(data, ends)
+            first, count, h, c, side = anchors(data, ends)
             text = np.searchsorted(ends, first, "right")
             doc = np.array([d for _, d, _, _ in held], np.int64)[text]
             part = np.array([p for _, _, p, _ in held], np.int64)[text]
             base = np.array([b for _, _, _, b in held], np.int64)[text]
             where = (base + first - np.concatenate([[0], ends])[text]).astype(np.uint64) << np.uint64(5) | (count - 1).astype(np.uint64)
-            out: list[tuple[int, int, bytes, bytes, bytes, bytes, bytes]] = []
+            out: list[tuple[int, int, bytes, bytes, bytes, bytes, bytes, bytes]] = []
             if len(h):
                 bucket = (h >> np.uint64(48)) % np.uint64(buckets)
                 h = (h >> np.uint64(4)) & np.uint64((1 << 40) - 1)
                 c = c >> np.uint64(16)
                 order, _, new_c = _leaders(h, c, doc)
-                doc, part, where, h, c, bucket = doc[order], part[order], where[order], h[order], c[order], bucket[order]
+                doc, part, where, h, c, side, bucket = doc[order], part[order], where[order], h[order], c[order], side[order], bucket[order]
                 later = doc > doc[new_c][np.cumsum(new_c) - 1]
-                out.append((1, 0, b"", b"", _planes(doc[later], 8), _part_planes(part[later]), _planes(where[later], 8)))
-                doc, part, where, h, c, bucket = doc[~later], part[~later], where[~later], h[~later], c[~later], bucket[~later]
+                out.append((1, 0, b"", b"", b"", _planes(doc[later], 8), _part_planes(part[later]), _planes(where[later], 8)))
+                doc, part, where, h, c, side, bucket = doc[~later], part[~later], where[~later], h[~later], c[~later], side[~later], bucket[~later]
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                     i = order[cuts[b] : cuts[b + 1]]
-                    out.append((0, int(b), _planes(h[i], 5), _planes(c[i], 6), _planes(doc[i], 8), _part_planes(part[i]), _planes(where[i], 8)))
+                    out.append((0, int(b), _planes(h[i], 5), _planes(c[i], 6), _planes(side[i], 6), _planes(doc[i], 8), _part_planes(part[i]), _planes(where[i], 8)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        names = ["kind", "bucket", "h", "c", "doc", "part", "at"]
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+        names = ["kind", "bucket", "h", "c", "side", "doc", "part", "at"]
         for batch in batches:
             for doc, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = data.as_py()
@@ -297,7 +329,7 @@ def _anchored(marked: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return marked.mapInArrow(run, "kind int, bucket int, h binary, c binary, doc binary, part binary, at binary")
+    return marked.mapInArrow(run, "kind int, bucket int, h binary, c binary, side binary, doc binary, part binary, at binary")
 
 
 _FOUND = "kind int, doc bigint, part bigint, at bigint, h bigint"
@@ -305,11 +337,11 @@ _FOUND = "kind int, doc bigint, part bigint, at bigint, h bigint"
 
 def _met(payloads: DataFrame, buckets: int) -> DataFrame:
     """Anchors that meet: rows (kind, doc, part, at, h). Kind 1: strings of equal surroundings in a smaller document, decided. Kind 2: the
-    first of each class of surroundings, where a smaller document has the anchor in others, to be compared byte by byte."""
+    first of each class of surroundings, where another document has the anchor in others with an equal side, to be compared byte by byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
-        held: list[tuple[bytes, bytes, bytes, bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes, bytes, bytes, bytes]] = []
         now = -1
 
         def rows(kind: int, doc: np.ndarray, part: np.ndarray | None, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -319,9 +351,9 @@ def _met(payloads: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(np.zeros(n, np.int64) if x is None else x[s:e].astype(np.int64)) for x in (doc, part, at, h))], names=["kind", "doc", "part", "at", "h"])
 
         def meet() -> Iterator[pa.RecordBatch]:
-            h, c, doc, at = (np.concatenate([_unplanes(p[k], w) for p in held]) for k, w in ((0, 5), (1, 6), (2, 8), (4, 8)))
+            h, c, side, doc, at = (np.concatenate([_unplanes(p[k], w) for p in held]) for k, w in ((0, 5), (1, 6), (2, 6), (3, 8), (5, 8)))
             doc = doc.astype(np.int64)
-            part = np.concatenate([_parts(p[3], len(p[2]) // 8) for p in held]) if any(p[3] for p in held) else None
+            part = np.concatenate([_parts(p[4], len(p[3]) // 8) for p in held]) if any(p[4] for p in held) else None
             order, new_h, new_c = _leaders(h, c, doc)
             h, doc, part, at = h[order], doc[order], None if part is None else part[order], at[order]
             class_of = np.cumsum(new_c) - 1
@@ -330,11 +362,12 @@ def _met(payloads: DataFrame, buckets: int) -> DataFrame:
             yield from rows(1, doc[later], None if part is None else part[later], at[later], h[later])
             heads = np.flatnonzero(new_h[new_c])
             several = np.repeat(np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads), np.diff(np.concatenate([heads, [len(least)]])))
-            ask = several[class_of] & ~later
+            ask = np.flatnonzero(several[class_of] & ~later)
+            ask = ask[_beside(h[ask], side[order[ask]], doc[ask])]
             yield from rows(2, doc[ask], None if part is None else part[ask], at[ask], h[ask] | np.uint64(now % (1 << 23)) << np.uint64(40))
 
         for batch in batches:
-            for kind, bucket, h, c, doc, part, at in zip(*(col.to_pylist() for col in batch.columns)):
+            for kind, bucket, h, c, side, doc, part, at in zip(*(col.to_pylist() for col in batch.columns)):
                 if kind == 1:
                     d = _unplanes(doc, 8).astype(np.int64)
                     yield from rows(1, d, _parts(part, len(d)), _unplanes(at, 8), np.zeros(len(d), np.uint64))
@@ -343,13 +376,13 @@ def _met(payloads: DataFrame, buckets: int) -> DataFrame:
                     yield from meet()
                     held.clear()
                 now = bucket
-                held.append((h, c, doc, part, at))
+                held.append((h, c, side, doc, part, at))
         if held:
             yield from meet()
 
     spread = F.when(F.col("kind") == 1, F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
     dealt = payloads.withColumn("deal", spread).repartition(common.fan_out(payloads.sparkSession), "deal").sortWithinPartitions("kind", "bucket")
-    return dealt.select("kind", "bucket", "h", "c", "doc", "part", "at").mapInArrow(run, _FOUND)
+    return dealt.select("kind", "bucket", "h", "c", "side", "doc", "part", "at").mapInArrow(run, _FOUND)
 
 
 def _places(found: DataFrame, kind: int) -> DataFrame:
@@ -398,12 +431,15 @@ def _compared(contexts: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(upto), count)
             inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             starts = begin[row] + inner
-            anchor = _anchor_in(data, begin)  # strings are equal only at equal distance from the anchor
+            prefix = prefix_hashes(data)
+            anchor = _anchor_in(prefix, begin)  # strings are equal only at equal distance from the anchor
             new = np.concatenate([[True], h[1:] != h[:-1]])
             group = (np.cumsum(new) - 1)[row] * 64 + (anchor[row] - inner)
-            order = np.argsort(group, kind="stable")
+            # a string whose hash no other document has in its group is not sorted
+            order = np.flatnonzero(_shared(mix(range_hash(prefix, starts, starts + SPAN) + group.astype(np.uint64) * _MIX), doc[row]))
+            order = order[np.argsort(group[order], kind="stable")]
             gone = np.zeros(len(row), bool)
-            gone[order] = repeated_starts(data, starts[order], doc[row][order], group[order])
+            gone[order] = repeated_starts(data, prefix, starts[order], doc[row[order]], group[order])
             edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
             brk = np.flatnonzero(gone[1:] & gone[:-1] & (row[1:] != row[:-1])) + 1
             s, e = np.sort(np.concatenate([np.flatnonzero(edge == 1), brk])), np.sort(np.concatenate([np.flatnonzero(edge == -1), brk]))
@@ -426,10 +462,9 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _FOUND)
 
 
-def _anchor_in(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def _anchor_in(prefix: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Distance of the anchor from the start of each context: the last least hash of its first string."""
     at = begin[:, None] + np.arange(_WINDOW)
-    prefix = prefix_hashes(data)
     h = mix(range_hash(prefix, at, at + ANCHOR)) & ~_LOW24
     return _WINDOW - 1 - np.argmin(h[:, ::-1], axis=1)
 
@@ -438,8 +473,8 @@ def removals(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Rows (_doc, _part, _at): per document the places (first byte << 5 | strings - 1) of strings of SPAN bytes that start in a smaller one.
 
     Every string of SPAN bytes has one anchor (about one in sixteen positions is one), equal strings at equal places. Anchors meet by hash, many to a row,
-    without texts; the first of equal surroundings stands for all in later steps. Where surroundings differ, the bytes around the anchors are
-    fetched, their suffixes sorted with hash-compared extensions, and equal ones verified.
+    without texts; the first of equal surroundings stands for all in later steps. Where surroundings differ but one side of the anchor is equal, the bytes
+    around the anchors are fetched, their suffixes sorted with hash-compared extensions, and equal ones verified.
     """
     marked = (_marked(docs) if marked is None else marked).select("_doc", "_part", "_data")
     buckets = 8 * common.fan_out(docs.sparkSession)
